@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -16,6 +18,11 @@ GUID_PATTERN = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse_spaces(col: Column) -> Column:
     """Whitespace runs become one space; both ends are trimmed."""
     return F.trim(F.regexp_replace(col, f"[{SPACE}]+", " "))
@@ -23,15 +30,14 @@ def collapse_spaces(col: Column) -> Column:
 
 def word_count(col: Column) -> Column:
     """Number of whitespace-separated words; 0 for null or blank."""
-    squeezed = collapse_spaces(F.coalesce(col, F.lit("")))
-    return F.when(squeezed == "", F.lit(0)).otherwise(F.size(F.split(squeezed, " ")))
+    parts = F.split(collapse_spaces(F.coalesce(col, F.lit(""))), " ")
+    return F.size(F.array_remove(parts, ""))
 
 
 def _entity_names() -> Column:
-    pairs = []
-    for name, code in sorted(name2codepoint.items()):
-        pairs += [F.lit(name), F.lit(chr(code))]
-    return F.create_map(*pairs, F.lit("apos"), F.lit("'"))
+    """Entity name to character, one literal from the standard library's table."""
+    names = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
 def _numeric_entity(name: Column) -> Column:
@@ -51,21 +57,25 @@ def decode_entities(col: Column) -> Column:
     Text without ``&`` skips the work. Otherwise the text is cut at every ``&`` and the head of
     each piece is looked up, which keeps ``&amp;lt;`` from being decoded twice.
     """
-    pieces = F.split(col, "&")
+    names = _entity_names()
 
     def decoded(piece: Column) -> Column:
         name = F.regexp_extract(piece, "^(#?[0-9A-Za-z]{1,31});", 1)
         char = F.when(name.startswith("#"), _numeric_entity(name)).otherwise(
-            F.try_element_at(_entity_names(), name)
+            F.try_element_at(names, name)
         )
         rest = F.substr(piece, F.length(name) + 2)
-        return F.when((name != "") & char.isNotNull(), F.concat(char, rest)).otherwise(
-            F.concat(F.lit("&"), piece)
+        return F.coalesce(
+            F.when(name != "", F.concat(char, rest)), F.concat(F.lit("&"), piece)
         )
 
-    tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
-    full = F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
-    return F.when(F.instr(col, "&") == 0, col).otherwise(full)
+    def whole(pieces: Column) -> Column:
+        tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
+
+    return let(
+        col, lambda c: F.when(F.instr(c, "&") == 0, c).otherwise(let(F.split(c, "&"), whole))
+    )
 
 
 def clean_text(col: Column) -> Column:
@@ -80,18 +90,20 @@ def clean_text(col: Column) -> Column:
 
 def plain_text(col: Column) -> Column:
     """Display text: complete tags become a space, entities decoded; null when nothing is left."""
-    text = collapse_spaces(decode_entities(F.regexp_replace(col, "<[^>]+>", " ")))
-    return F.when(text != "", text)
+    return F.nullif(
+        collapse_spaces(decode_entities(F.regexp_replace(col, "<[^>]+>", " "))), F.lit("")
+    )
 
 
 def is_machine_value(col: Column) -> Column:
     """Identifiers rather than language: blank, a URI, a GUID, or no whitespace at all."""
     text = F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")
-    return (
-        (text == "")
-        | text.rlike("(?i)^(umb|https?)://")
-        | text.rlike(GUID_PATTERN)
-        | ~text.rlike(f"[{SPACE}]")
+    return let(
+        text,
+        lambda t: (t == "")
+        | t.rlike("(?i)^(umb|https?)://")
+        | t.rlike(GUID_PATTERN)
+        | ~t.rlike(f"[{SPACE}]"),
     )
 
 
@@ -122,15 +134,16 @@ def shorten(col: Column, limit: int) -> Column:
     """Cut at the last space not past ``limit``, if that is past its half; add ``...``."""
     if limit <= 0:
         return col
-    head = F.substring(col, 1, limit + 1)
-    # Position, counted from 0, of the last space at or before index `limit`.
-    cut = F.length(head) - F.instr(F.reverse(head), " ")
-    body = F.when(
-        (F.instr(head, " ") > 0) & (cut > limit // 2), F.substr(col, F.lit(1), cut)
-    ).otherwise(F.substring(col, 1, limit))
-    return F.when(F.length(col) <= limit, col).otherwise(
-        F.concat(F.regexp_replace(body, "[ ,;:-]+$", ""), F.lit("..."))
-    )
+
+    def cut_long(text: Column) -> Column:
+        head = F.substring(text, 1, limit + 1)
+        # Position, counted from 0, of the last space at or before index `limit`.
+        cut = F.length(head) - F.instr(F.reverse(head), " ")
+        at_space = (F.instr(head, " ") > 0) & (cut > limit // 2)
+        body = F.substr(text, F.lit(1), F.when(at_space, cut).otherwise(limit))
+        return F.concat(F.regexp_replace(body, "[ ,;:-]+$", ""), F.lit("..."))
+
+    return let(col, lambda t: F.when(F.length(t) <= limit, t).otherwise(cut_long(t)))
 
 
 def html_encode(col: Column) -> Column:
