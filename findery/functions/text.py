@@ -44,11 +44,13 @@ def _numeric_entity(name: Column) -> Column:
     """Character for ``#233`` or ``#xE9``, null for anything else."""
     hex_code = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,6})$", 1)
     dec_code = F.regexp_extract(name, "^#([0-9]{1,7})$", 1)
-    code = F.when(hex_code != "", F.conv(hex_code, 16, 10).cast("bigint")).when(
-        dec_code != "", dec_code.cast("bigint")
-    )
-    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    code = F.coalesce(dec_code.try_cast("bigint"), F.conv(hex_code, 16, 10).try_cast("bigint"))
+
+    def char(c: Column) -> Column:
+        valid = (c > 0) & (c <= 0x10FFFF) & ~c.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+
+    return let(code, char)
 
 
 def decode_entities(col: Column) -> Column:
@@ -166,4 +168,4 @@ def fence(col: Column) -> Column:
 
 def tokens(col: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), "")

@@ -22,6 +22,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A scan of few files dealt out to all cores; one of many files is left as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Checkpoint into the folder the cluster names; a local one only where none is named."""
     context = frame.sparkSession.sparkContext

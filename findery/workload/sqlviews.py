@@ -111,6 +111,43 @@ FROM (SELECT event_id AS query_key, CAST(json_extract_string(props, '$.k') AS IN
 """
 
 
+# Tokens, postings, vocabulary and statistics of the text index: name, body, culture body.
+
+VIEWS["tok_text"] = """
+SELECT index_name, index_type, type_alias, doc_key, field,
+  list_filter(regexp_split_to_array(lower(value), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS toks
+FROM (SELECT *, 'nodename' AS field, name AS value FROM docs_text
+      UNION ALL SELECT *, 'bodytext', f_bodytext FROM docs_text
+      UNION ALL SELECT *, 'bodytext_' || culture, f_bodytext FROM docs_text)
+"""
+VIEWS["post_text"] = """
+SELECT index_name, index_type, type_alias, doc_key, field, term, doc_len, count(*) AS tf
+FROM (SELECT index_name, index_type, type_alias, doc_key, field, unnest(toks) AS term,
+        len(toks) AS doc_len FROM tok_text)
+GROUP BY ALL
+"""
+VIEWS["vocab_text"] = "SELECT index_name, field, term, count(*) AS df FROM post_text GROUP BY ALL"
+VIEWS["stats_text"] = """
+SELECT index_name, field, count(*) AS n_docs, avg(len(toks)) AS avg_len
+FROM tok_text WHERE len(toks) > 0 GROUP BY ALL
+"""
+VIEWS["words_text"] = """
+SELECT query_id, unnest(range(len(w))) AS group_no, unnest(w) AS variant
+FROM (SELECT query_id, string_split(term, ' ') AS w FROM q_text)
+"""
+
+
+def bm25_sql(matches: str) -> str:
+    """Word weights for a statement giving (query_id, group_no, index_name, field, term)."""
+    return f"""SELECT DISTINCT m.query_id, m.group_no, p.index_name, p.field, p.doc_key, p.term,
+      p.type_alias, ln(1 + (s.n_docs - v.df + 0.5) / (v.df + 0.5)) * p.tf * 2.2
+        / (p.tf + 1.2 * (0.25 + 0.75 * p.doc_len / s.avg_len)) AS weight
+    FROM ({matches}) m
+    JOIN post_text p ON p.index_name = m.index_name AND p.field = m.field AND p.term = m.term
+    JOIN vocab_text v ON v.index_name = p.index_name AND v.field = p.field AND v.term = p.term
+    JOIN stats_text s ON s.index_name = p.index_name AND s.field = p.field"""
+
+
 def sql(body: str) -> str:
     """A statement with the derived frames it names, and those they name, put in front."""
     needed: list[str] = []

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from findery.functions.text import tokens
+from findery.session import spread
 
 EVENTS_AS_OF = "2024-02-01 00:00:00"
 ORDERS_AS_OF = "2011-09-01 00:00:00"
@@ -18,8 +19,13 @@ DOC_COLUMNS = [
 ]
 
 
+# Tables whose rows are long texts: their work is in the row, so few files would idle most cores.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(frame) if name in TEXT_TABLES else frame
 
 
 def field_map(**values: Column) -> Column:
