@@ -10,12 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from findery.functions import dates as D, fields as X
+from findery.functions.text import let
 from findery.operators.dedup import rank_order
 from findery.rules import BestBet, SortOption, SortRule, lookup
 
 MIN_RERANKED = 3
 RELEVANCE = "score"
-# Columns of the browse picker's pages.
 DEFAULT_PAGE_SIZE = 10
 
 
@@ -93,14 +93,16 @@ def rank_hits(hits: DataFrame) -> DataFrame:
 def sort_key(field: str | Column) -> Column:
     """A comparable key: nothing, then dates, then numbers, then text ignoring case."""
     raw = X.sortable_value(field) if isinstance(field, str) else field
-    raw = F.nullif(raw, F.lit(""))
-    date = D.parse_date(raw)
-    number = F.when(date.isNull(), D.parse_number(raw))
-    text = F.when(date.isNull() & number.isNull(), F.lower(raw))
-    kind = (
-        F.when(raw.isNull(), 0).when(date.isNotNull(), 1).when(number.isNotNull(), 2).otherwise(3)
-    )
-    return F.struct(kind.alias("kind"), date.alias("date"), number.alias("number"), text.alias("text"))
+
+    def key(value: Column) -> Column:
+        return let(D.parse_date(value), lambda date: let(D.parse_number(value), lambda number: F.named_struct(
+            F.lit("kind"),
+            F.when(value.isNull(), 0).when(date.isNotNull(), 1).when(number.isNotNull(), 2).otherwise(3),
+            F.lit("date"), date, F.lit("number"), F.when(date.isNull(), number),
+            F.lit("text"), F.when(date.isNull() & number.isNull(), F.lower(value)),
+        )))
+
+    return let(F.nullif(raw, F.lit("")), key)
 
 
 def _score_key() -> Column:

@@ -23,7 +23,7 @@ def session(cores: int = 8, partitions: int = 8):
 
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("findery")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
