@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from findery.functions import dates as D, fields as X
 from findery.functions.text import let
-from findery.rules import Facet, FacetRange, text_array
+from findery.rules import Facet, FacetRange, rule_frame, text_array
 
 UNLIMITED_VALUES = 50
 NO_TEXTS = "array<string>"
@@ -54,9 +54,7 @@ def _fixed_bounds(facet: Facet, as_of: str | None) -> list[tuple[str, Column]]:
         lower, upper = D.date_bound(from_, as_of), D.date_bound(to, as_of)
         inferred = D.inferred_dates(alias, label, as_of)
     rows = [(r.alias, r.label, r.from_bound, r.to_bound) for r in facet.ranges]
-    rules = SparkSession.active().createDataFrame(
-        rows, "alias string, label string, from_bound string, to_bound string"
-    ).coalesce(1)
+    rules = rule_frame(rows, ("alias", "label", "from_bound", "to_bound"))
     read = rules.select(lower.alias("lower"), upper.alias("upper"), inferred.alias("inferred"))
     open_ended = F.col("lower").isNull() & F.col("upper").isNull()
     bounds = read.select(*[

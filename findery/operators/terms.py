@@ -38,10 +38,17 @@ def term_groups(
     queries: DataFrame, stop_words: tuple[str, ...] = (), synonyms: tuple[tuple[str, str], ...] = ()
 ) -> DataFrame:
     """One row per word and synonym: (query_id, group_no, variant_no, variant)."""
-    words = queries.select("query_id", F.posexplode(kept_words(F.col("term"), stop_words)).alias("group_no", "word"))
-    others = F.coalesce(
-        F.try_element_at(_synonym_map(synonyms), F.lower("word")), F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    # A plan's expansions belong to the whole term, so only a one-word term meets them.
+    planned = F.coalesce("expansions", none) if "expansions" in queries.columns else none
+    words = queries.select(
+        "query_id", planned.alias("planned"), F.lower(F.trim("term")).alias("whole"),
+        F.posexplode(kept_words(F.col("term"), stop_words)).alias("group_no", "word"),
     )
+    others = F.array_distinct(F.concat(
+        F.coalesce(F.try_element_at(_synonym_map(synonyms), F.lower("word")), none),
+        F.when(F.lower("word") == F.col("whole"), F.col("planned")).otherwise(none),
+    ))
     return words.select(
         "query_id", "group_no",
         F.posexplode(F.concat(F.array("word"), others)).alias("variant_no", "variant"),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rule rows up to this count may be written into an expression or broadcast; more are joined.
@@ -122,9 +123,10 @@ class RuleSet:
         return replace(self, **changes)
 
 
-def rule_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """Rule rows as a frame, marked for broadcast only when their counted number is small."""
-    frame = spark.createDataFrame(list(rows), schema)
+def rule_frame(rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
+    """Rule texts as a frame held in the plan, marked for broadcast only when few by count."""
+    table = pa.table({c: pa.array([row[i] for row in rows], pa.string()) for i, c in enumerate(columns)})
+    frame = SparkSession.active().createDataFrame(table)
     return F.broadcast(frame) if len(rows) <= MAX_BROADCAST_RULES else frame
 
 

@@ -6,7 +6,10 @@ from importlib import import_module
 
 from findery.workload.registry import QUERIES, SQL, Build
 
-_MODULES = ("analytics_queries", "extract_queries", "match_queries", "rank_queries", "facet_queries")
+_MODULES = (
+    "analytics_queries", "extract_queries", "match_queries", "rank_queries", "facet_queries",
+    "describe_queries", "reply_queries",
+)
 
 
 def _load() -> None:
