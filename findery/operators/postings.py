@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from findery.functions import fields as X, text as T
+from findery.session import store
 
 KEYS = ["index_name", "field"]
 
@@ -26,8 +27,22 @@ class SearchIndex:
     def write(self, path: str) -> None:
         """Kept as tables by index and field, so that a search reads only the fields it names."""
         self.postings.write.mode("overwrite").partitionBy(*KEYS).parquet(f"{path}/postings")
-        self.vocab.write.mode("overwrite").partitionBy(*KEYS).parquet(f"{path}/vocab")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        kept = from_postings(self.postings.sparkSession.read.parquet(f"{path}/postings"))
+        kept.vocab.write.mode("overwrite").partitionBy(*KEYS).parquet(f"{path}/vocab")
+        kept.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    def stored(self) -> SearchIndex:
+        """Written once to the shared folder: every use of it then reads tables, not documents."""
+        derived = from_postings(store(self.postings))
+        return SearchIndex(derived.postings, store(derived.vocab), store(derived.stats))
+
+
+def from_postings(postings: DataFrame) -> SearchIndex:
+    """Vocabulary and statistics counted from postings; each document's first posting stands for it."""
+    vocab = postings.groupBy(*KEYS, "term").agg(F.count(F.lit(1)).alias("df"))
+    n_docs = F.sum(F.col("is_first").cast("bigint"))
+    stats = postings.groupBy(*KEYS).agg(n_docs.alias("n_docs"), (F.sum("tf") / n_docs).alias("avg_len"))
+    return SearchIndex(postings, vocab, stats)
 
 
 def read_index(spark: SparkSession, path: str) -> SearchIndex:
@@ -60,7 +75,7 @@ def indexed_fields(docs: DataFrame, names: list[str] | None = None) -> DataFrame
 
 
 def _runs(sorted_tokens: Column) -> Column:
-    """(term, tf) of a sorted token array."""
+    """(term, tf, is_first) of a sorted token array."""
     n = F.size(sorted_tokens)
     starts = F.filter(
         F.sequence(F.lit(0), n - 1),
@@ -70,7 +85,7 @@ def _runs(sorted_tokens: Column) -> Column:
         s,
         lambda p, k: F.named_struct(
             F.lit("term"), F.get(sorted_tokens, p),
-            F.lit("tf"), F.coalesce(F.get(s, k + 1), n) - p,
+            F.lit("tf"), F.coalesce(F.get(s, k + 1), n) - p, F.lit("is_first"), k == 0,
         ),
     ))
 
@@ -79,13 +94,7 @@ def build_postings(docs: DataFrame, names: list[str] | None = None) -> SearchInd
     """Postings, vocabulary and field statistics; tokens are lower-case letter/digit runs."""
     tokenized = indexed_fields(docs, names).withColumn("tokens", T.tokens(F.col("value")))
     tokenized = tokenized.filter(F.size("tokens") > 0)
-    counted = tokenized.select(
+    return from_postings(tokenized.select(
         *KEYS, "doc_key", "index_type", "type_alias", F.size("tokens").alias("doc_len"),
-        F.inline(T.let(F.array_sort("tokens"), _runs)).alias("term", "tf"),
-    )
-    vocab = counted.groupBy(*KEYS, "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = tokenized.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("avg_len"),
-    )
-    return SearchIndex(counted, vocab, stats)
+        F.inline(T.let(F.array_sort("tokens"), _runs)).alias("term", "tf", "is_first"),
+    ))

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from findery.session import store
+
 K1, B = 1.2, 0.75
 
-# A term's postings are spread over this many join keys, so that a word found in a third of all
-# documents is not one task's work. The (small) query side is repeated as often.
-HOT_TERM_SALT = 8
+# Matched terms up to this count go to every task; their rows are a few dozen bytes.
+MAX_BROADCAST_MATCHES = 500_000
+
+# Beyond that both sides are shuffled, and a term's postings are spread over this many join keys,
+# so that a word found in a third of all documents is not one task's work.
+HOT_TERM_SALT = 16
 
 
 def bm25(tf: Column, df: Column, n_docs: Column, doc_len: Column, avg_len: Column) -> Column:
@@ -18,14 +23,22 @@ def bm25(tf: Column, df: Column, n_docs: Column, doc_len: Column, avg_len: Colum
 
 
 def posting_matches(
-    matches: DataFrame, postings: DataFrame, stats: DataFrame, salt: int = HOT_TERM_SALT
+    matches: DataFrame, postings: DataFrame, stats: DataFrame,
+    broadcast_limit: int = MAX_BROADCAST_MATCHES, salt: int = HOT_TERM_SALT,
 ) -> DataFrame:
-    """Matched terms joined to their postings, with a weight per word and document."""
+    """Matched terms joined to their postings, with a weight per word and document.
+
+    The matched terms are stored and counted first. A counted few are broadcast, so the postings
+    stay where they are; more are joined by salted keys.
+    """
     keys = ["index_name", "field", "term"]
-    informed = matches.join(stats, ["index_name", "field"])
-    spread = informed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    salted = postings.withColumn("salt", F.pmod(F.xxhash64("doc_key"), F.lit(salt)).cast("int"))
-    joined = salted.join(spread, [*keys, "salt"])
+    informed = store(matches.join(stats, ["index_name", "field"]))
+    if informed.count() <= broadcast_limit:
+        joined = postings.join(F.broadcast(informed), keys)
+    else:
+        spread = informed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        salted = postings.withColumn("salt", F.pmod(F.xxhash64("doc_key"), F.lit(salt)).cast("int"))
+        joined = salted.join(spread, [*keys, "salt"])
     weight = bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("doc_len"), F.col("avg_len"))
     kept = [c for c in matches.columns if c not in ("term", "df")]
     return joined.select(*kept, "doc_key", weight.alias("weight"))

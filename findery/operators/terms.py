@@ -35,14 +35,15 @@ def _synonym_map(synonyms: tuple[tuple[str, str], ...]) -> Column:
 
 
 def term_groups(
-    queries: DataFrame, stop_words: tuple[str, ...] = (), synonyms: tuple[tuple[str, str], ...] = ()
+    queries: DataFrame, stop_words: tuple[str, ...] = (), synonyms: tuple[tuple[str, str], ...] = (),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per word and synonym: (query_id, group_no, variant_no, variant)."""
+    """One row per word and synonym: (query_id, group_no, variant_no, variant) and carried columns."""
     none = F.array().cast("array<string>")
     # A plan's expansions belong to the whole term, so only a one-word term meets them.
     planned = F.coalesce("expansions", none) if "expansions" in queries.columns else none
     words = queries.select(
-        "query_id", planned.alias("planned"), F.lower(F.trim("term")).alias("whole"),
+        "query_id", *carry, planned.alias("planned"), F.lower(F.trim("term")).alias("whole"),
         F.posexplode(kept_words(F.col("term"), stop_words)).alias("group_no", "word"),
     )
     others = F.array_distinct(F.concat(
@@ -50,7 +51,7 @@ def term_groups(
         F.when(F.lower("word") == F.col("whole"), F.col("planned")).otherwise(none),
     ))
     return words.select(
-        "query_id", "group_no",
+        "query_id", *carry, "group_no",
         F.posexplode(F.concat(F.array("word"), others)).alias("variant_no", "variant"),
     )
 
@@ -147,7 +148,9 @@ def expand_cultures(fields: DataFrame, cultures: tuple[str, ...], catalogue: Dat
 
 
 def search_fields(queries: DataFrame, rules: RuleSet, stats: DataFrame) -> DataFrame:
-    """Per query and index: the fields it searches, with boost, mode and their number.
+    """Every row of ``queries`` (with its ``cultures``) for every field it searches.
+
+    Adds index_name, field, boost, match_mode and n_fields, the number of fields in that index.
 
     What an index offers comes from its (schema-sized) field statistics as one scalar map, so the
     choice is made inside each query's row. Request cultures override those of the rules.
@@ -174,11 +177,10 @@ def search_fields(queries: DataFrame, rules: RuleSet, stats: DataFrame) -> DataF
         )))
         return F.filter(expanded, lambda r: F.array_contains(available, r["field"]))
 
-    chosen = queries.select("query_id", cultures.alias("wanted_cultures"), F.explode(offered).alias("index_name", "available"))
+    kept = [c for c in queries.columns if c != "cultures"]
+    chosen = queries.select(*kept, cultures.alias("wanted_cultures"), F.explode(offered).alias("index_name", "available"))
     if rules.index_names:
         chosen = chosen.filter(F.lower("index_name").isin([n.lower() for n in rules.index_names]))
-    chosen = chosen.select("query_id", "index_name", resolved(F.col("available")).alias("chosen"))
-    return chosen.select(
-        "query_id", "index_name", F.size(F.array_distinct(F.transform("chosen", lambda r: r["field"]))).alias("n_fields"),
-        F.inline("chosen"),
-    )
+    chosen = chosen.select(*kept, "index_name", resolved(F.col("available")).alias("chosen"))
+    distinct = F.array_distinct(F.transform("chosen", lambda r: r["field"]))
+    return chosen.select(*kept, "index_name", F.size(distinct).alias("n_fields"), F.inline("chosen"))

@@ -40,8 +40,11 @@ def searched_names(rules: RuleSet) -> list[str]:
 
 
 def index_for(docs: DataFrame, rules: RuleSet) -> SearchIndex:
-    """Postings of the fields the rules search."""
-    return build_postings(docs, searched_names(rules))
+    """Postings of the fields the rules search, stored before they are used.
+
+    A site searched again and again keeps its index with ``SearchIndex.write`` and passes it in.
+    """
+    return build_postings(docs, searched_names(rules)).stored()
 
 
 def runnable(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataFrame:
@@ -59,20 +62,17 @@ def query_words(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataF
 
     A synonym of several words matches by each of them; only the last takes the field's mode.
     """
-    groups = TM.term_groups(queries, rules.stop_words, rules.synonyms)
-    counted = queries.select(
-        "query_id", F.size(TM.kept_words(F.col("term"), rules.stop_words)).alias("n_groups")
-    )
-    words = groups.select(
-        "query_id", "group_no", "variant_no",
-        F.posexplode(tokens(F.col("variant"))).alias("_pos", "word"),
-        F.size(tokens(F.col("variant"))).alias("_size"),
+    counted = queries.withColumn("n_groups", F.size(TM.kept_words(F.col("term"), rules.stop_words)))
+    groups = TM.term_groups(counted, rules.stop_words, rules.synonyms, ("cultures", "n_groups"))
+    parts = groups.withColumn("_tokens", tokens(F.col("variant")))
+    words = parts.select(
+        "query_id", "cultures", "n_groups", "group_no", F.size("_tokens").alias("_size"),
+        F.posexplode("_tokens").alias("_pos", "word"),
     )
-    fields = TM.search_fields(queries, rules, index.stats)
-    rows = words.join(counted, "query_id").join(fields, "query_id")
+    rows = TM.search_fields(words, rules, index.stats)
     mode = F.when(F.col("_pos") == F.col("_size") - 1, F.col("match_mode")).otherwise("exact")
     return rows.select(
-        "query_id", "index_name", "field", "group_no", "variant_no", F.col("word").alias("variant"),
+        "query_id", "index_name", "field", "group_no", F.col("word").alias("variant"),
         mode.alias("match_mode"), "boost", "n_groups", "n_fields",
     )
 
@@ -82,7 +82,7 @@ def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> Da
     words = query_words(queries, rules, index)
     # A term may itself hold several tokens (a hyphen), whose first ones match exactly.
     modes = {r.match_mode for r in rules.fields if r.enabled} | {"exact"}
-    matches = match_words(words, index.vocab, modes, rules.fuzziness).drop("match_mode", "variant", "variant_no")
+    matches = match_words(words, index.vocab, modes, rules.fuzziness).drop("match_mode", "variant")
     gated = index.postings.filter(FL.type_included(rules) & FL.type_not_excluded(rules))
     return score_bm25(matches, gated, index.stats, rules.all_terms, rules.operator)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,15 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names; a local one only where none is named."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return frame.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def store(frame: DataFrame, *partition_by: str) -> DataFrame:
+    """The frame written as a table in the shared folder and read back: its lineage ends there."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

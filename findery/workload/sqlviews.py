@@ -74,7 +74,7 @@ TEXT_ID = "CAST(('0x' || substring(md5({0}), 1, 15)) AS BIGINT)"
 
 VIEWS["q_text"] = """
 SELECT item_id AS query_id, array_to_string(list_transform(list_sort(list_transform(
-    list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')),
+    list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND length(t) <= 5)),
     lambda w: {'n': -length(w), 'w': w}))[1:2], lambda s: s.w), ' ') AS term
 FROM benchmark
 """

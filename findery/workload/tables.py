@@ -243,8 +243,8 @@ def query_defaults(frame: DataFrame) -> DataFrame:
 
 
 def q_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key words of each benchmark passage: its two longest distinct words."""
-    words = F.array_distinct(tokens(F.col("text")))
+    """Key words of each benchmark passage: its two longest distinct words of up to five letters."""
+    words = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: F.length(w) <= 5)
     ranked_words = F.transform(words, lambda w: F.named_struct(F.lit("n"), -F.length(w), F.lit("w"), w))
     term = F.array_join(
         F.transform(F.slice(F.array_sort(ranked_words), 1, 2), lambda s: s["w"]), " "
