@@ -48,7 +48,7 @@ def _first_words(col: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(col, "[ \t\r\n]+"), 1, n), " ")
 
 
-def _text_docs(frame: DataFrame, index_name: str, index_rank: int) -> DataFrame:
+def text_docs(frame: DataFrame, index_name: str, index_rank: int) -> DataFrame:
     c = F.col
     fields = F.map_concat(
         field_map(
@@ -73,13 +73,13 @@ def _text_docs(frame: DataFrame, index_name: str, index_rank: int) -> DataFrame:
 
 def docs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return _text_docs(documents.join(labels, "doc_id", "left"), "main", 0)
+    return text_docs(documents.join(labels, "doc_id", "left"), "main", 0)
 
 
 def docs_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second index: the labelled documents, held again."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return _text_docs(documents.join(labels, "doc_id"), "mirror", 1)
+    return text_docs(documents.join(labels, "doc_id"), "mirror", 1)
 
 
 def docs_both(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,10 +277,10 @@ def q_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Logs.
 
-def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_rows(all_events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     term = F.concat(F.lit("k"), (k % 20).cast("string"))
-    events = table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
+    events = all_events.filter(F.col("event_type") == "view")
     return events.select(
         F.col("event_id").alias("query_key"), F.lit("site").alias("profile_alias"),
         term.alias("term"), term.alias("normalized_term"),
@@ -290,9 +290,17 @@ def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_rows(table(spark, sf_dir, "events"))
+
+
 def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return click_rows(table(spark, sf_dir, "events"))
+
+
+def click_rows(all_events: DataFrame) -> DataFrame:
     """Clicks of the event that opened their group of four; some of those are no searches."""
-    events = table(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+    events = all_events.filter(F.col("event_type") == "click")
     return events.select(
         (F.col("event_id") - 1 - F.col("event_id") % 4).alias("query_key"),
         (F.col("event_id") % 50).cast("string").alias("node_key"),
@@ -303,11 +311,15 @@ def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_search_rows(table(spark, sf_dir, "events"))
+
+
+def raw_search_rows(events: DataFrame) -> DataFrame:
     """Search requests as a site would report them, before the recording rules."""
     k = F.get_json_object("props", "$.k").cast("int")
     spaced = F.concat(F.lit("  Blue   K"), k.cast("string"), F.lit(" "))
     term = F.when(k % 5 == 0, F.lit("   ")).when(k % 5 == 1, F.lit(" q ")).otherwise(spaced)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("query_key"),
         F.when(k % 11 == 0, "ad-hoc").otherwise("site").alias("profile_alias"), term.alias("term"),
         (F.floor("value").cast("int") % 7).alias("result_count"),
@@ -328,7 +340,11 @@ def request_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budget_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return budget_rows(table(spark, sf_dir, "events"))
+
+
+def budget_rows(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", F.lit("all").alias("stage"), F.col("user_id").alias("caller"), "ts"
     )
 
