@@ -49,10 +49,10 @@ def read_index(spark: SparkSession, path: str) -> SearchIndex:
     return SearchIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "stats")])
 
 
-def indexed_fields(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
+def indexed_fields(docs: DataFrame, names: list[str] | None = None, variants: bool = True) -> DataFrame:
     """(index, doc, type, field, value): the node name and the stored fields.
 
-    With ``names``, only those fields and their culture variants.
+    With ``names``, only those fields and, with ``variants``, their culture variants.
     """
     entries = F.map_entries(F.map_concat(
         F.create_map(F.lit(X.NODE_NAME), F.col("name")),
@@ -63,7 +63,7 @@ def indexed_fields(docs: DataFrame, names: list[str] | None = None) -> DataFrame
 
         def wanted(key: Column) -> Column:
             match = key.isin(lowered)
-            for name in lowered:
+            for name in lowered if variants else ():
                 match = match | key.startswith(name + "_")
             return match
 
@@ -81,19 +81,19 @@ def _runs(sorted_tokens: Column) -> Column:
         F.sequence(F.lit(0), n - 1),
         lambda i: (i == 0) | (F.get(sorted_tokens, i) != F.get(sorted_tokens, i - 1)),
     )
-    return T.let(starts, lambda s: F.transform(
+    runs = T.let(starts, lambda s: F.transform(
         s,
         lambda p, k: F.named_struct(
             F.lit("term"), F.get(sorted_tokens, p),
             F.lit("tf"), F.coalesce(F.get(s, k + 1), n) - p, F.lit("is_first"), k == 0,
         ),
     ))
+    return F.when(n > 0, runs)
 
 
-def build_postings(docs: DataFrame, names: list[str] | None = None) -> SearchIndex:
+def build_postings(docs: DataFrame, names: list[str] | None = None, variants: bool = True) -> SearchIndex:
     """Postings, vocabulary and field statistics; tokens are lower-case letter/digit runs."""
-    tokenized = indexed_fields(docs, names).withColumn("tokens", T.tokens(F.col("value")))
-    tokenized = tokenized.filter(F.size("tokens") > 0)
+    tokenized = indexed_fields(docs, names, variants).withColumn("tokens", T.tokens(F.col("value")))
     return from_postings(tokenized.select(
         *KEYS, "doc_key", "index_type", "type_alias", F.size("tokens").alias("doc_len"),
         F.inline(T.let(F.array_sort("tokens"), _runs)).alias("term", "tf", "is_first"),

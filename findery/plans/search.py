@@ -39,12 +39,12 @@ def searched_names(rules: RuleSet) -> list[str]:
     return [r.name.strip().lower() for r in rules.fields if r.enabled and r.name.strip()]
 
 
-def index_for(docs: DataFrame, rules: RuleSet) -> SearchIndex:
+def index_for(docs: DataFrame, rules: RuleSet, cultures: bool = True) -> SearchIndex:
     """Postings of the fields the rules search, stored before they are used.
 
-    A site searched again and again keeps its index with ``SearchIndex.write`` and passes it in.
+    ``cultures=False`` states that no search asks for a culture, so variants are left out. A site searched again and again keeps its index with ``SearchIndex.write`` and passes it in.
     """
-    return build_postings(docs, searched_names(rules)).stored()
+    return build_postings(docs, searched_names(rules), cultures or bool(rules.cultures)).stored()
 
 
 def runnable(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataFrame:
@@ -142,6 +142,9 @@ def ranked_hits(
     """Merged, source-filtered and scored rows: what facets are counted on."""
     rows = windowed(queries, docs, rules, index, browse)
     hits = rows.join(rule_attributes(docs, rules), ["index_name", "doc_key"])
+    # A query's rows are few by now. Placed by query once, every later window and join of theirs
+    # finds them in place.
+    hits = hits.repartition("query_id")
     hits = ST.merge_indexes_first_wins(hits)
     hits = FL.filter_subtree(hits, rules.root_ids)
     hits = FL.filter_excluded_nodes(hits, rules.excluded_ids, rules.exclude_descendants)
@@ -162,11 +165,11 @@ def ranked_hits(
 def search(
     queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None = None, *,
     index: SearchIndex | None = None, protected: DataFrame | None = None,
-    node_keys: DataFrame | None = None, browse: bool = False,
+    node_keys: DataFrame | None = None, browse: bool = False, cultures: bool = True,
 ) -> SearchResult:
     """The whole search, in the order its results depend on: window, source rules, boosts, facet
     counts, facet filters, score floor, de-duplication, sort, page."""
-    index = index or index_for(docs, rules)
+    index = index or index_for(docs, rules, cultures)
     scored = ranked_hits(queries, docs, rules, as_of, index, protected, browse)
     hits, facets = scored, None
     if rules.facets:
@@ -191,10 +194,10 @@ def with_texts(page: DataFrame, docs: DataFrame) -> DataFrame:
 
 def search_batch(
     queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None = None, *,
-    index: SearchIndex | None = None, browse: bool = False,
+    index: SearchIndex | None = None, browse: bool = False, cultures: bool = True,
 ) -> DataFrame:
     """Each query's result page as rows in rank order."""
-    return search(queries, docs, rules, as_of, index=index, browse=browse).page
+    return search(queries, docs, rules, as_of, index=index, browse=browse, cultures=cultures).page
 
 
 def name_rules(rules: RuleSet, mode: str, fuzziness: float, n: int) -> RuleSet:

@@ -33,7 +33,7 @@ WHERE fetch_rank <= 400
 """
 VIEWS["flag_hits"] = """
 SELECT query_id, doc_key, raw_score, name, type_alias, culture,
-  round(raw_score * CASE type_alias WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1 END, 6) AS score
+  CAST(round(CAST(raw_score AS DECIMAL(18, 6)) * CASE type_alias WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END, 6) AS DOUBLE) AS score
 FROM flag_window JOIN docs_text USING (doc_key)
 WHERE f_hidefromsearch IS NULL AND coalesce(f_published, 'y') = 'y' AND NOT list_contains(path, 5)
 """
@@ -45,12 +45,12 @@ WHERE n = 1
 
 
 def _flag(spark: SparkSession, sf_dir: str, rules: RuleSet = RULES, queries: DataFrame | None = None) -> PL.SearchResult:
-    return PL.search(queries or T.q_text(spark, sf_dir), T.docs_text(spark, sf_dir), rules)
+    return PL.search(queries or T.q_text(spark, sf_dir), T.docs_text(spark, sf_dir), rules, cultures=False)
 
 
 @register("search_batch", "SELECT query_id, doc_key, name, score, rank FROM flag_ranked WHERE rank <= 10")
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = PL.search_batch(T.q_text(spark, sf_dir), T.docs_text(spark, sf_dir), RULES)
+    page = PL.search_batch(T.q_text(spark, sf_dir), T.docs_text(spark, sf_dir), RULES, cultures=False)
     return page.select("query_id", "doc_key", "name", "score", "rank")
 
 
@@ -96,7 +96,7 @@ def fallback_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inferred filters that leave nothing are taken back."""
     rules = RULES.with_(facets=(_SOURCE,), best_bets=())
     docs = T.docs_text(spark, sf_dir)
-    index = PL.index_for(docs, rules)
+    index = PL.index_for(docs, rules, cultures=False)
     found = ST.fallback_union(
         T.q_text(spark, sf_dir), _selected(spark, sf_dir),
         lambda q: PL.search(q, docs, rules, index=index).hits.select("query_id", "doc_key", "score"),
