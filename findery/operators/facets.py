@@ -277,8 +277,7 @@ def facet_counts(
 ) -> DataFrame:
     """(query_id, value, n) of one facet over the given rows, zero buckets included."""
     rows = hits.select(
-        "query_id", *[c.alias(f"_o{i}") for i, c in enumerate(_order_values())],
-        F.posexplode(memberships(facet, as_of, node_keys)).alias("_pos", "value"),
+        "query_id", _order().alias("_order"), F.explode(memberships(facet, as_of, node_keys)).alias("value"),
     )
     counted = rows.withColumn("n", F.lit(1))
     if facet.ranges:
@@ -289,9 +288,9 @@ def facet_counts(
     return _top(grouped, [facet]).drop("facet")
 
 
-def _order_values() -> list[Column]:
-    """Rank order as values that compare ascending, for picking the first spelling."""
-    return [~F.col("is_best_bet"), -F.col("score"), F.col("doc_key")]
+def _order() -> Column:
+    """Rank as one ascending number: best bets, then the score."""
+    return F.when(F.col("is_best_bet"), F.lit(float("-inf"))).otherwise(-F.col("score"))
 
 
 def _zero_buckets(query_ids: DataFrame, facets: Sequence[Facet]) -> DataFrame:
@@ -301,11 +300,15 @@ def _zero_buckets(query_ids: DataFrame, facets: Sequence[Facet]) -> DataFrame:
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    first = F.struct("_o0", "_o1", "_o2", "_pos")
-    return rows.groupBy("query_id", "facet", F.lower("value").alias("_lower")).agg(
-        F.min_by("value", first).alias("first_value"), F.min("value").alias("any_value"),
-        F.sum("n").alias("n"),
-    ).select("query_id", "facet", F.coalesce("first_value", "any_value").alias("value"), "n")
+    """Uses per value ignoring case, shown in the spelling of its best-ranked row.
+
+    Spellings are counted first, with numbers only in the buffers; what is left is small.
+    """
+    spelled = rows.groupBy("query_id", "facet", "value").agg(F.sum("n").alias("n"), F.min("_order").alias("_order"))
+    best = F.struct(F.col("_order").isNull(), "_order", "value")
+    return spelled.groupBy("query_id", "facet", F.lower("value").alias("_lower")).agg(
+        F.min_by("value", best).alias("value"), F.sum("n").alias("n")
+    ).drop("_lower")
 
 
 def _top(grouped: DataFrame, facets: Sequence[Facet]) -> DataFrame:
@@ -365,14 +368,14 @@ def facet_counts_excluding_self(
 
     def counted_values(i: int, facet: Facet) -> Column:
         counts = (F.col("_failed") == 0) | ((F.col("_failed") == 1) & ~F.col(f"_p{i}"))
-        pairs = F.transform(F.col(f"_v{i}"), lambda v, n: F.named_struct(
-            F.lit("facet"), F.lit(facet.alias), F.lit("value"), v, F.lit("_pos"), n
+        pairs = F.transform(F.col(f"_v{i}"), lambda v: F.named_struct(
+            F.lit("facet"), F.lit(facet.alias), F.lit("value"), v
         ))
         return F.filter(pairs, lambda p: counts)
 
     values = F.concat(*[counted_values(i, f) for i, f in enumerate(facets)])
     counted = rows.select(
-        "query_id", *[c.alias(f"_o{i}") for i, c in enumerate(_order_values())], F.inline(values),
+        "query_id", _order().alias("_order"), F.inline(values),
     ).withColumn("n", F.lit(1))
     ranged = [f for f in facets if f.ranges]
     if ranged:

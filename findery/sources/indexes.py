@@ -72,18 +72,25 @@ def discover_fields(docs: DataFrame, declared: dict[str, str] | None = None) ->
     """The field catalogue of each index, from all documents.
 
     A sort twin counts towards the field it belongs to, so one aggregation over field names is
-    enough. The sample is the first filled value by document key.
+    enough. It keeps only the lowest id with a filled value; that one value per field is fetched
+    afterwards, so no text passes through the aggregation.
     """
     declared = {k.lower(): v for k, v in (declared or {}).items()}
-    rows = docs.select("index_name", "doc_key", F.explode("fields").alias("stored_name", "value"))
+    rows = docs.select("index_name", "node_id", F.explode("fields").alias("stored_name", "value"))
     rows = rows.filter(~F.col("stored_name").startswith(X.RAW_PREFIX))
     twin = F.col("stored_name").startswith(X.SORT_PREFIX)
     base = F.when(twin, F.substr(F.col("stored_name"), F.lit(len(X.SORT_PREFIX) + 1))).otherwise(F.col("stored_name"))
-    filled = F.when(~twin & (F.trim("value") != ""), F.col("value"))
-    found = rows.groupBy("index_name", base.alias("field")).agg(
+    filled = ~twin & (F.trim("value") != "")
+    counted = rows.groupBy("index_name", base.alias("field")).agg(
         F.bool_or(twin).alias("has_twin"), F.bool_or(~twin).alias("is_stored"),
-        F.min_by(filled, F.when(filled.isNotNull(), F.col("doc_key"))).alias("sample"),
+        F.min(F.when(filled, F.col("node_id"))).alias("sample_id"),
     ).filter("is_stored")
+    samples = rows.select(
+        "index_name", F.col("stored_name").alias("field"), F.col("node_id").alias("sample_id"), F.col("value").alias("sample")
+    )
+    keys = ["index_name", "field", "sample_id"]
+    wanted = counted.select(*keys).filter("sample_id IS NOT NULL")
+    found = counted.join(samples.join(wanted, keys, "left_semi"), keys, "left")
     pairs = [x for k, v in declared.items() for x in (F.lit(k), F.lit(v))]
     kinds = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     kind = F.coalesce(F.try_element_at(kinds, F.col("field")), F.lit(DEFAULT_TYPE))

@@ -49,12 +49,12 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "discover_fields",
     """SELECT field, type, is_system, is_searchable, is_sortable, looks_structured, is_extracted, sample FROM (
       SELECT 'p_brand' AS field, 'fulltext' AS type, FALSE AS is_system, TRUE AS is_searchable, TRUE AS is_sortable, FALSE AS looks_structured,
-        FALSE AS is_extracted, min_by(f_p_brand, doc_key) AS sample FROM docs_parts
-      UNION ALL SELECT 'p_size', 'Int', FALSE, FALSE, TRUE, FALSE, FALSE, min_by(CAST(n_size AS VARCHAR), doc_key) FROM docs_parts
-      UNION ALL SELECT 'extractedcontent_en', 'fulltext', FALSE, TRUE, FALSE, TRUE, TRUE, min_by('{"a": "' || name || '"}', doc_key) FROM docs_parts WHERE type_alias = 'PROMO'
-      UNION ALL SELECT 'sortorder', 'fulltext', FALSE, FALSE, FALSE, FALSE, FALSE, min_by(doc_key, doc_key) FROM docs_parts
-      UNION ALL SELECT '__nodename', 'fulltext', TRUE, TRUE, FALSE, FALSE, FALSE, min_by(name, doc_key) FROM docs_parts
-      UNION ALL SELECT '__icon', 'fulltext', TRUE, FALSE, FALSE, FALSE, FALSE, min_by(name, doc_key) FROM docs_parts)""",
+        FALSE AS is_extracted, min_by(f_p_brand, node_id) AS sample FROM docs_parts
+      UNION ALL SELECT 'p_size', 'Int', FALSE, FALSE, TRUE, FALSE, FALSE, min_by(CAST(n_size AS VARCHAR), node_id) FROM docs_parts
+      UNION ALL SELECT 'extractedcontent_en', 'fulltext', FALSE, TRUE, FALSE, TRUE, TRUE, min_by('{"a": "' || name || '"}', node_id) FROM docs_parts WHERE type_alias = 'PROMO'
+      UNION ALL SELECT 'sortorder', 'fulltext', FALSE, FALSE, FALSE, FALSE, FALSE, min_by(doc_key, node_id) FROM docs_parts
+      UNION ALL SELECT '__nodename', 'fulltext', TRUE, TRUE, FALSE, FALSE, FALSE, min_by(name, node_id) FROM docs_parts
+      UNION ALL SELECT '__icon', 'fulltext', TRUE, FALSE, FALSE, FALSE, FALSE, min_by(name, node_id) FROM docs_parts)""",
 )
 def discover_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
