@@ -33,7 +33,7 @@ def truncate_columns(df: DataFrame, widths: dict[str, int]) -> DataFrame:
 def searches_to_log(searches: DataFrame, settings: LogSettings = LogSettings()) -> DataFrame:
     """The rows worth recording, trimmed, normalised and cut to the log's widths."""
     term = F.trim("term")
-    keep: Column = F.lit(settings.enabled) & (F.col("profile_alias") != AD_HOC)
+    keep: Column = F.lit(settings.enabled) & ~F.col("profile_alias").eqNullSafe(AD_HOC)
     keep = keep & (F.length(term) >= max(1, settings.minimum_term_length))
     if settings.zero_results_only:
         keep = keep & (F.col("result_count") == 0)
