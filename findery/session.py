@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +33,24 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+@lru_cache(maxsize=None)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a local one only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir for intermediate tables.
+
+    A session of one process (master `local`) that names none gets a folder of its own; on a cluster
+    that is an error, because executors and driver do not share local disks.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return _local_folder()
+    raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
 
 
 def store(frame: DataFrame, *partition_by: str) -> DataFrame:
