@@ -52,11 +52,10 @@ def located(frame: DataFrame) -> tuple[DataFrame, str, str]:
         return located(session.store(frame))
 
 
-def without(docs: DataFrame, dropped: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
-    """The rows of docs whose locators are not among those that `dropped` finds; columns as they were."""
-    placed, file, row = located(docs)
-    gone = dropped(placed, file, row).select(F.col(file), F.col(row))
-    return placed.join(gone, [file, row], "left_anti").select(*[placed[c] for c in docs.columns])
+def without(placed: DataFrame, file: str, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a located frame whose place is not among (file, row) of `gone`, in the given columns."""
+    gone = gone.select(F.col("file").alias(file), F.col("row").alias(row))
+    return placed.join(gone, [file, row], "left_anti").select(*[placed[c] for c in columns])
 
 
 class Memo:

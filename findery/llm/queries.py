@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import byte_bpe, token_counts, token_files
+from findery.llm import byte_bpe, exact_dedup, token_counts, token_files, toxicity
 from findery.llm.common import table
 from findery.session import shared_folder
 
@@ -39,3 +39,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return coded.drop("ids")
+
+
+@query
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op3_exact_dedup"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS whole, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain
+  FROM documents
+), ranked AS (
+  SELECT doc_id, plain, first_value(doc_id) OVER best AS keep_id, row_number() OVER best = 1 AS kept,
+    count(*) OVER (PARTITION BY plain) AS group_size
+  FROM texts WINDOW best AS (PARTITION BY plain ORDER BY length(whole) DESC, doc_id)
+)
+SELECT doc_id, keep_id, group_size, kept, sha256(plain) AS text_sha256 FROM ranked
+"""
