@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import byte_bpe, exact_dedup, token_counts, token_files, toxicity
+from findery.llm import byte_bpe, exact_dedup, near_dups, token_counts, token_files, toxicity
 from findery.llm.common import table
 from findery.session import shared_folder
 
@@ -51,6 +51,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dups.near_duplicates(table(spark, sf_dir, "documents"))[0]
+    return found.drop("file", "row")
+
+
 SQL["op3_exact_dedup"] = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS whole, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain

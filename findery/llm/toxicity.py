@@ -161,7 +161,7 @@ def train(
             total = np.zeros(len(now) + 1)
             for batch in batches:
                 found = [np.array(x, "i8") for x in batch.column("at").to_pylist()]
-                total += gradient(now[0], now[1 : size + 1], now[size + 1 :].reshape(size, -1), found, batch.column("label").to_numpy())
+                total += gradient(now[0], now[1 : size + 1], now[size + 1 :].reshape(size, factors), found, batch.column("label").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
         # A row a task, each of the model's size; the sample's size bounds the tasks.
@@ -169,7 +169,7 @@ def train(
         slope = total[:-1] / total[-1] + decay * np.concatenate([[0.0], state[1:]])
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         state = state - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return Model(picked, float(state[0]), state[1 : size + 1], state[size + 1 :].reshape(size, -1))
+    return Model(picked, float(state[0]), state[1 : size + 1], state[size + 1 :].reshape(size, factors))
 
 
 def scorer(model: Model):
