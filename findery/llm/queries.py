@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import byte_bpe, exact_dedup, near_dups, token_counts, token_files, toxicity
+from findery.llm import byte_bpe, exact_dedup, licenses, near_dups, token_counts, token_files, toxicity, url_rules
 from findery.llm.common import table
 from findery.session import shared_folder
 
@@ -29,6 +29,16 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -68,3 +78,40 @@ WITH texts AS (
 )
 SELECT doc_id, keep_id, group_size, kept, sha256(plain) AS text_sha256 FROM ranked
 """
+
+
+def _license_sql() -> str:
+    """All blocks against all notices, without any filter."""
+    wanted = [(label, licenses.plain_words(text)) for label, text in licenses.NOTICES]
+    step = max(len(words) for _, words in wanted)
+    notices = ", ".join(f"('{label}', {sorted(set(words))!r})" for label, words in wanted)
+    starts = " UNION ALL ".join(
+        f"SELECT id, unnest(list_filter(range(len(words)), lambda i: array_to_string(words[i + 1 : i + {len(p.split())}], ' ') = '{p}')) AS spot,"
+        f" '{label}' AS label FROM cut" for p, label in licenses.PHRASES
+    )
+    return rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS id, doc_id,
+    regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), starts AS ({starts}
+), base AS (
+  SELECT id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM starts GROUP BY id
+), blocks AS (
+  SELECT id, words[s + 1 : s + {2 * step}] AS held
+  FROM (SELECT id, words, unnest(range(0, greatest(len(words) - {step}, 1), {step})) AS s FROM cut)
+), met AS (
+  SELECT id, label, len(list_intersect(notice, held)) / len(notice) AS containment
+  FROM blocks, (VALUES {notices}) AS n(label, notice)
+), found AS (
+  SELECT id, max(containment) AS best, list(DISTINCT label) AS labels FROM met WHERE containment >= 0.9 - 1e-9 GROUP BY id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM cut LEFT JOIN base USING (id) LEFT JOIN found USING (id)
+"""
+
+
+SQL["op4_licenses"] = _license_sql()
