@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import byte_bpe, exact_dedup, licenses, near_dups, token_counts, token_files, toxicity, url_rules
+from findery.llm import byte_bpe, exact_dedup, licenses, maxent, near_dups, token_counts, token_files, toxicity, url_rules
 from findery.llm.common import table
 from findery.session import shared_folder
 
@@ -39,6 +39,11 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.language_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
