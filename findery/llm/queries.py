@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import byte_bpe, exact_dedup, licenses, maxent, near_dups, token_counts, token_files, toxicity, url_rules
+from findery.llm import byte_bpe, decontaminate, exact_dedup, licenses, maxent, near_dups, token_counts, token_files, toxicity, url_rules
 from findery.llm.common import table
 from findery.session import shared_folder
 
@@ -56,6 +56,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("ids")
 
 
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
