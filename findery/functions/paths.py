@@ -9,7 +9,7 @@ SEARCH_SEGMENTS = [
     "search", "searchresults", "search-results", "site-search", "sitesearch", "search-page",
     "searchpage", "find",
 ]
-SEARCH_ALIAS_ENDINGS = "(search|page|result|results)$"
+SEARCH_ALIAS_ENDINGS = ["search", "page", "result", "results"]
 
 
 def normalize_path(col: Column) -> Column:
@@ -26,7 +26,7 @@ def last_segment(path: Column) -> Column:
 
 def is_search_alias(col: Column) -> Column:
     letters = F.lower(F.regexp_replace(F.coalesce(col, F.lit("")), r"[^\p{L}]", ""))
-    return letters.contains("search") & letters.rlike(SEARCH_ALIAS_ENDINGS)
+    return letters.contains("search") & letters.rlike(f"(?:{'|'.join(SEARCH_ALIAS_ENDINGS)})$")
 
 
 def is_search_segment(col: Column) -> Column:

@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from findery.functions.dates import as_of_literal
 
-MAX_WINDOW_DAYS = 730
-MAX_TAKE = 200
-
 
 def in_range(from_ts: str, to_ts: str, col: str = "create_date") -> Column:
     return (F.col(col) >= as_of_literal(from_ts)) & (F.col(col) < as_of_literal(to_ts))
@@ -22,7 +19,7 @@ def in_range(from_ts: str, to_ts: str, col: str = "create_date") -> Column:
 
 def report_bounds(as_of: str, days: int = 30) -> tuple[str, str]:
     """The last ``days`` whole UTC days, ending tomorrow at midnight."""
-    days = min(max(days, 1), MAX_WINDOW_DAYS)
+    days = max(days, 1)
     day = datetime.fromisoformat(as_of).replace(hour=0, minute=0, second=0, microsecond=0)
     end = day + timedelta(days=1)
     return str(end - timedelta(days=days)), str(end)
@@ -102,7 +99,7 @@ def term_report(searches: DataFrame, clicks: DataFrame, from_ts: str, to_ts: str
 
 def _first(report: DataFrame, take: int) -> DataFrame:
     """The most searched terms; a top-n over one row per term."""
-    return report.orderBy(F.desc("searches"), "term").limit(min(max(take, 1), MAX_TAKE))
+    return report.orderBy(F.desc("searches"), "term").limit(max(take, 1))
 
 
 def top_terms(report: DataFrame, take: int = 25) -> DataFrame:

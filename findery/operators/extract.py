@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from findery.functions import fields as X, text as T
 
 DEFAULT_MIN_WORDS = 6
-DEFAULT_MAX_CHARS = 8000
 DEFAULT_MAX_DEPTH = 12
 
 # Keys whose whole subtree is structure, and keys whose own text is a label.
@@ -200,8 +199,11 @@ def flatten_structured(df: DataFrame, col: str) -> DataFrame:
     ).drop("_flat")
 
 
-def _first_uses(texts: Column, max_chars: int) -> Column:
+def _first_uses(texts: Column, max_chars: int | None) -> Column:
     """Texts joined by a space: repeats dropped ignoring case, none started past the limit."""
+    if max_chars is None:
+        first = F.filter(texts, lambda t, i: ~F.array_contains(F.transform(F.slice(texts, 1, i), F.lower), F.lower(t)))
+        return F.array_join(first, " ")
     empty = F.struct(
         F.lit(0).alias("length"), F.array().cast("array<string>").alias("seen"),
         F.array().cast("array<string>").alias("kept"),
@@ -225,16 +227,16 @@ def _first_uses(texts: Column, max_chars: int) -> Column:
 def extracted_content(
     docs: DataFrame,
     min_words: int = DEFAULT_MIN_WORDS,
-    max_chars: int = DEFAULT_MAX_CHARS,
+    max_chars: int | None = None,
     structured: bool = True,
+    max_depth: int = DEFAULT_MAX_DEPTH,
 ) -> DataFrame:
     """One row per document culture with its body text; empty ones are omitted.
 
-    Fields are read in name order. ``structured=False`` states that no field holds JSON and keeps
+    Texts are whole unless ``max_chars`` is given. Fields are read in name order. ``structured=False`` states that no field holds JSON and keeps
     the whole job inside the JVM.
     """
-    min_words = min(max(min_words, 1), 100)
-    max_chars = min(max(max_chars, 200), 100_000)
+    min_words = max(min_words, 1)
     entries = F.array_sort(F.map_entries("fields"))
     # Only fields some culture may read are cleaned, once for all cultures.
     readable = F.filter(entries, lambda e: is_candidate(e["key"], culture_of(e["key"])))
@@ -244,7 +246,7 @@ def extracted_content(
         @F.pandas_udf("array<array<string>>")
         def walk(values: pd.Series) -> pd.Series:
             return values.map(lambda vs: [
-                None if v is None else _prose_candidates(v, DEFAULT_MAX_DEPTH) for v in vs
+                None if v is None else _prose_candidates(v, max_depth) for v in vs
             ])
 
         masked = F.transform("entries", lambda e: F.when(T.starts_like_json(e["value"]), e["value"]))

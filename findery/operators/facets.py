@@ -14,7 +14,6 @@ from findery.functions import dates as D, fields as X
 from findery.functions.text import let
 from findery.rules import Facet, FacetRange, rule_frame, text_array
 
-UNLIMITED_VALUES = 50
 NO_TEXTS = "array<string>"
 # How a picked node may be written, and the facet fields read as a place in the tree
 # or as a content type.
@@ -312,8 +311,8 @@ def _count(rows: DataFrame) -> DataFrame:
 
 
 def _top(grouped: DataFrame, facets: Sequence[Facet]) -> DataFrame:
-    """Field facets keep their most frequent values; range facets keep all buckets."""
-    limits = {f.alias.lower(): f.max_values if f.max_values > 0 else UNLIMITED_VALUES for f in facets if not f.ranges}
+    """Field facets keep their most frequent values, all without a limit; range facets keep all buckets."""
+    limits = {f.alias.lower(): f.max_values for f in facets if not f.ranges and f.max_values > 0}
     if not limits:
         return grouped
     parts = [x for a, n in limits.items() for x in (F.lit(a), F.lit(n))]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from findery.functions import fields as X
-from findery.rules import MAX_INLINE_RULES, RuleSet, text_array
+from findery.rules import RuleSet, text_array
 
 HIT_KEY = ["query_id", "index_name", "doc_key"]
 
@@ -41,8 +42,9 @@ def type_exclude(docs: DataFrame, rules: RuleSet) -> DataFrame:
     return docs.filter(type_not_excluded(rules))
 
 
-def _ids(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(int(v)) for v in values]).cast("array<bigint>")
+def _nodes(values: Sequence[int]) -> DataFrame:
+    table = pa.table({"node_id": pa.array([int(v) for v in values], pa.int64())})
+    return SparkSession.active().createDataFrame(table)
 
 
 def _touching(hits: DataFrame, nodes: DataFrame, ids: Column) -> DataFrame:
@@ -53,15 +55,12 @@ def _touching(hits: DataFrame, nodes: DataFrame, ids: Column) -> DataFrame:
 
 
 def filter_subtree(hits: DataFrame, roots: Sequence[int] | DataFrame) -> DataFrame:
-    """Rows with a root on their path. A short list is an expression; a frame is joined."""
+    """Rows with a root on their path. The roots are joined, however many they are."""
     if isinstance(roots, DataFrame):
         return hits.join(_touching(hits, roots, F.col("path")), _key(hits), "left_semi")
     if not roots:
         return hits
-    if len(roots) > MAX_INLINE_RULES:
-        frame = hits.sparkSession.createDataFrame([(int(r),) for r in roots], "node_id bigint")
-        return filter_subtree(hits, frame)
-    return hits.filter(F.arrays_overlap("path", _ids(roots)))
+    return filter_subtree(hits, _nodes(roots))
 
 
 def filter_excluded_nodes(
@@ -74,10 +73,7 @@ def filter_excluded_nodes(
         return hits.join(_touching(hits, nodes, ids), _key(hits), "left_anti")
     if not nodes:
         return hits
-    if len(nodes) > MAX_INLINE_RULES:
-        frame = hits.sparkSession.createDataFrame([(int(r),) for r in nodes], "node_id bigint")
-        return filter_excluded_nodes(hits, frame, descendants)
-    return hits.filter(~F.arrays_overlap(ids, _ids(nodes)))
+    return filter_excluded_nodes(hits, _nodes(nodes), descendants)
 
 
 def is_hidden(flag_fields: Sequence[str]) -> Column:
@@ -108,9 +104,18 @@ def filter_protected(hits: DataFrame, protected_nodes: DataFrame) -> DataFrame:
     return hits.join(_touching(hits, closed, F.col("path")), _key(hits), "left_anti")
 
 
-def filter_min_score(hits: DataFrame, minimum: float) -> DataFrame:
-    """Best bets always stay. A threshold of 0 or less keeps everything."""
-    return hits if minimum <= 0 else hits.filter(F.col("is_best_bet") | (F.col("score") >= minimum))
+def filter_min_score(hits: DataFrame, minimum: float, browsing: DataFrame | None = None) -> DataFrame:
+    """Best bets always stay. A threshold of 0 or less keeps everything.
+
+    Rows of ``browsing`` queries (query_id) have no relevance, so the threshold does not concern them.
+    """
+    if minimum <= 0:
+        return hits
+    high = F.col("is_best_bet") | (F.col("score") >= minimum)
+    if browsing is None:
+        return hits.filter(high)
+    marked = browsing.select("query_id", F.lit(True).alias("_browse")).distinct()
+    return hits.join(marked, "query_id", "left").filter(high | F.col("_browse")).drop("_browse")
 
 
 def trim_fields(hits: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -165,18 +165,22 @@ def sort_by_option(hits: DataFrame, queries: DataFrame, sort_options: Sequence[S
     ).drop("sort_alias")
 
 
+def is_browse() -> Column:
+    """Whether a query asks for a listing without a term."""
+    return F.col("allow_empty") & (F.trim(F.coalesce("term", F.lit(""))) == "")
+
+
 def page_slice(
-    hits: DataFrame, queries: DataFrame, page_size: int = DEFAULT_PAGE_SIZE, browse_size: int = 0
+    hits: DataFrame, queries: DataFrame, page_size: int = DEFAULT_PAGE_SIZE, browse_size: int = DEFAULT_PAGE_SIZE
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of each query's page, totals per query).
 
-    The query's own size wins over the profile's; an empty search is capped at ``browse_size``.
+    The query's own size wins over the profile's. An empty search without its own size shows at most
+    ``browse_size`` rows, none if that is 0; its totals still count all.
     """
     own = F.when(F.col("page_size") > 0, F.col("page_size"))
-    size = F.coalesce(own, F.lit(page_size if page_size > 0 else DEFAULT_PAGE_SIZE))
-    browse = F.col("allow_empty") & (F.trim(F.coalesce("term", F.lit(""))) == "")
-    if browse_size > 0:
-        size = F.when(browse, F.least(size, F.lit(browse_size))).otherwise(size)
+    profile = page_size if page_size > 0 else DEFAULT_PAGE_SIZE
+    size = F.coalesce(own, F.when(is_browse(), min(profile, max(browse_size, 0))).otherwise(profile))
     wanted = queries.select(
         "query_id", F.greatest(F.coalesce("page", F.lit(1)), F.lit(1)).alias("_page"), size.alias("_size")
     )
@@ -189,7 +193,7 @@ def page_slice(
         "query_id", F.coalesce("total", F.lit(0)).alias("total"), F.col("_page").alias("page"),
         F.col("_size").alias("page_size"),
     )
-    totals = totals.withColumn("total_pages", F.ceil(F.col("total") / F.col("page_size")))
+    totals = totals.withColumn("total_pages", F.coalesce(F.ceil(F.try_divide("total", "page_size")), F.lit(0)))
     return rows.drop("_page", "_size"), totals.withColumn("has_more", F.col("page") < F.col("total_pages"))
 
 
@@ -205,9 +209,7 @@ def curated_browse(
     # The same document may sit in several indexes; a pick is shown once.
     first = Window.partitionBy("rank").orderBy("index_rank", "index_name")
     chosen = chosen.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    browse = queries.filter(
-        F.col("allow_empty") & (F.trim(F.coalesce("term", F.lit(""))) == "")
-    ).select("query_id")
+    browse = queries.filter(is_browse()).select("query_id")
     # One picked list per browse query, held as an array of at most len(picks) rows.
     listed = chosen.select(F.collect_list(F.struct(*[c for c in hits.columns if c in chosen.columns])).alias("rows"))
     replaced = browse.withColumn("rows", listed.scalar()).select("query_id", F.inline("rows"))
@@ -231,10 +233,9 @@ def reply_object(reply: Column) -> Column:
 def apply_rerank(page_hits: DataFrame, replies: DataFrame, depth: int = 20) -> DataFrame:
     """Pinned rows, then the rows a reply lists by number, then the rest in their old order.
 
-    Numbers count the page's unpinned rows from 1, up to ``depth`` (5 to 50). Fewer than three
+    Numbers count the page's unpinned rows from 1, up to ``depth``. Fewer than three
     of those, or no usable number, leaves a query as it was.
     """
-    depth = min(max(depth, 5), 50)
     numbered = page_hits.withColumn(
         "_n", F.when(~F.col("is_best_bet"), F.row_number().over(
             Window.partitionBy("query_id", "is_best_bet").orderBy("rank")

@@ -100,7 +100,7 @@ def validate_plan_filters(
         lambda e: e["alias"].isNotNull() & (F.size(e["values"]) > 0),
     )
     once = F.filter(known, lambda e, i: ~F.exists(
-        F.slice(known, i + 2, F.lit(1_000)), lambda later: later["alias"] == e["alias"]
+        F.slice(known, i + 2, F.size(known)), lambda later: later["alias"] == e["alias"]
     ))
     sorts = {o.alias.lower(): o.alias for o in reversed(sort_options) if o.enabled and o.alias.strip()}
     return drop_empty(plans.withColumns({

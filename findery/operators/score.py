@@ -8,13 +8,6 @@ from findery.session import store
 
 K1, B = 1.2, 0.75
 
-# Matched terms up to this count go to every task; their rows are a few dozen bytes.
-MAX_BROADCAST_MATCHES = 500_000
-
-# Beyond that both sides are shuffled, and a term's postings are spread over this many join keys,
-# so that a word found in a third of all documents is not one task's work.
-HOT_TERM_SALT = 16
-
 
 def bm25(tf: Column, df: Column, n_docs: Column, doc_len: Column, avg_len: Column) -> Column:
     """Robertson and Zaragoza's BM25 with k1 = 1.2 and b = 0.75."""
@@ -22,23 +15,15 @@ def bm25(tf: Column, df: Column, n_docs: Column, doc_len: Column, avg_len: Colum
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avg_len))
 
 
-def posting_matches(
-    matches: DataFrame, postings: DataFrame, stats: DataFrame,
-    broadcast_limit: int = MAX_BROADCAST_MATCHES, salt: int = HOT_TERM_SALT,
-) -> DataFrame:
+def posting_matches(matches: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
     """Matched terms joined to their postings, with a weight per word and document.
 
-    The matched terms are stored and counted first. A counted few are broadcast, so the postings
-    stay where they are; more are joined by salted keys.
+    The matched terms are written first, so their size is known: few bytes are broadcast and the postings
+    stay where they are; with more, adaptive execution splits the partitions of a word that many documents
+    hold.
     """
-    keys = ["index_name", "field", "term"]
     informed = store(matches.join(stats, ["index_name", "field"]))
-    if informed.count() <= broadcast_limit:
-        joined = postings.join(F.broadcast(informed), keys)
-    else:
-        spread = informed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        salted = postings.withColumn("salt", F.pmod(F.xxhash64("doc_key"), F.lit(salt)).cast("int"))
-        joined = salted.join(spread, [*keys, "salt"])
+    joined = postings.join(informed, ["index_name", "field", "term"])
     weight = bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("doc_len"), F.col("avg_len"))
     kept = [c for c in matches.columns if c not in ("term", "df")]
     return joined.select(*kept, "doc_key", weight.alias("weight"))
@@ -81,11 +66,12 @@ def score_bm25(
     return match_field_operator(match_all_terms(placed, require_all), op)
 
 
-def fetch_window(matches: DataFrame, n: int = 500) -> DataFrame:
-    """The top ``n`` (1 to 5000) rows per query and index, before any later filter.
+def fetch_window(matches: DataFrame, n: int | None = None) -> DataFrame:
+    """The top ``n`` rows per query and index, before any later filter; all of them without ``n``.
 
     Planned with a group limit below the shuffle, so a hot query ships at most n rows per task.
     """
-    n = min(max(n, 1), 5000)
+    if n is None:
+        return matches.withColumn("fetch_rank", F.lit(None).cast("int"))
     order = Window.partitionBy("query_id", "index_name").orderBy(F.desc("raw_score"), "doc_key")
     return matches.withColumn("fetch_rank", F.row_number().over(order)).filter(F.col("fetch_rank") <= n)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # The characters a name is cut at, as a character class.
 NAME_SEPARATORS = "[ ,.:;\\-/\\\\()\"'\t\n\r]"
-MAX_TYPED = 100
 MIN_TYPED = 2
 
 

@@ -53,10 +53,6 @@ def runnable(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataFram
     return classed.filter("status = 'ok'").drop("status")
 
 
-def is_browse() -> Column:
-    return F.col("allow_empty") & (F.trim(F.coalesce("term", F.lit(""))) == "")
-
-
 def query_words(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataFrame:
     """Every word of every query in every field it searches, with its match mode.
 
@@ -109,27 +105,34 @@ def rule_attributes(docs: DataFrame, rules: RuleSet) -> DataFrame:
     return docs.select(*ATTRIBUTES, F.map_filter("fields", wanted).alias("fields"))
 
 
+#: A browse listing is every query with every document; its rows are dealt out by this many shares.
+SHARES = 200
+
+
 def browse_all(queries: DataFrame, docs: DataFrame, rules: RuleSet) -> DataFrame:
-    """Empty searches see every document of the profile, the first ``window`` per index.
+    """Empty searches see every document of the profile, or the first ``window`` per index if one is set.
 
-    All of them see the same rows, so these are found once: at most 5000 keys per index, which
-    each browse query then lists.
+    Each query meets the documents share by share, so the listing of one query is many tasks' work.
     """
     gated = FL.type_exclude(FL.type_gate(docs, rules), rules)
     if rules.index_names:
         gated = gated.filter(F.lower("index_name").isin([n.lower() for n in rules.index_names]))
-    order = Window.partitionBy("index_name").orderBy("doc_key")
-    first = gated.select("index_name", "doc_key").withColumn("fetch_rank", F.row_number().over(order))
-    first = first.filter(F.col("fetch_rank") <= rules.window)
-    shared = first.agg(F.collect_list(F.struct("index_name", "doc_key", F.lit(0.0).alias("raw_score"), "fetch_rank")))
-    browse = queries.filter(is_browse()).withColumn("_rows", shared.scalar())
-    return browse.select("query_id", F.inline("_rows"))
+    first = gated.select("index_name", "doc_key")
+    if rules.window is None:
+        first = first.withColumn("fetch_rank", F.lit(None).cast("int"))
+    else:
+        order = Window.partitionBy("index_name").orderBy("doc_key")
+        first = first.withColumn("fetch_rank", F.row_number().over(order)).filter(F.col("fetch_rank") <= rules.window)
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    browse = queries.filter(R.is_browse()).select("query_id", shares.alias("_share"))
+    rows = first.withColumn("_share", F.pmod(F.xxhash64("doc_key"), F.lit(SHARES)).cast("int"))
+    return browse.join(rows, "_share").select("query_id", "index_name", "doc_key", F.lit(0.0).alias("raw_score"), "fetch_rank")
 
 
 def windowed(queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchIndex, browse: bool) -> DataFrame:
     """Rows of every query's fetch windows; browse queries join in when there can be any."""
     ok = runnable(queries, rules, index)
-    found = fetch_window(scored_matches(ok.filter(~is_browse()), rules, index), rules.window)
+    found = fetch_window(scored_matches(ok.filter(~R.is_browse()), rules, index), rules.window)
     if browse:
         found = found.unionByName(browse_all(ok, docs, rules))
     return found
@@ -177,7 +180,7 @@ def search(
         hits = FC.apply_facet_filters(
             hits, queries, rules.facets, rules.minimum_active_filters, as_of=as_of, node_keys=node_keys
         )
-    hits = DD.dedup_identity(FL.filter_min_score(hits, rules.minimum_score))
+    hits = DD.dedup_identity(FL.filter_min_score(hits, rules.minimum_score, queries.filter(R.is_browse())))
     if rules.dedup_field:
         hits = DD.dedup_by_field(hits, rules.dedup_field)
     hits = R.sort_multi(R.rank_hits(hits), rules.sort_by)
@@ -226,8 +229,7 @@ def search_names_only(
 
 def autocomplete(queries: DataFrame, docs: DataFrame, rules: RuleSet, take: int = 10) -> DataFrame:
     """Suggestions for typed text: words that carry it on, then whole names."""
-    typed = queries.withColumn("term", F.substring("term", 1, SG.MAX_TYPED))
-    typed = typed.filter(F.length(F.trim("term")) >= SG.MIN_TYPED)
+    typed = queries.filter(F.length(F.trim("term")) >= SG.MIN_TYPED)
     hits = search_names_only(typed, docs, rules, "prefix", n=take * 3)
     return SG.suggestions(typed, hits, take)
 

@@ -9,9 +9,6 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Rule rows up to this count may be written into an expression or broadcast; more are joined.
-MAX_INLINE_RULES = 1_000
-MAX_BROADCAST_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -111,23 +108,23 @@ class RuleSet:
     sort_options: tuple[SortOption, ...] = ()
     minimum_active_filters: int = 0
     page_size: int = 10
-    browse_page_size: int = 0
-    max_results: int = 0
+    browse_page_size: int = 10
+    max_results: int | None = None
     return_fields: tuple[str, ...] = ()
 
     @property
-    def window(self) -> int:
-        return min(max(self.max_results or 500, 1), 5000)
+    def window(self) -> int | None:
+        """How many of the best rows of a query and index are fetched; none set, all are."""
+        return self.max_results if self.max_results and self.max_results > 0 else None
 
     def with_(self, **changes: Any) -> RuleSet:
         return replace(self, **changes)
 
 
 def rule_frame(rows: Sequence[tuple], columns: Sequence[str]) -> DataFrame:
-    """Rule texts as a frame held in the plan, marked for broadcast only when few by count."""
+    """Rule texts as a frame held in the plan; its size is known, so Spark chooses the join."""
     table = pa.table({c: pa.array([row[i] for row in rows], pa.string()) for i, c in enumerate(columns)})
-    frame = SparkSession.active().createDataFrame(table)
-    return F.broadcast(frame) if len(rows) <= MAX_BROADCAST_RULES else frame
+    return SparkSession.active().createDataFrame(table)
 
 
 def text_array(values: Sequence[str], lower: bool = True) -> Column:

@@ -27,12 +27,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """A scan of few files dealt out to all cores; one of many files is left as it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 @lru_cache(maxsize=None)
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

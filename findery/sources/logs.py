@@ -43,7 +43,7 @@ def searches_to_log(searches: DataFrame, settings: LogSettings = LogSettings())
 
 
 def clicks_to_log(clicks: DataFrame, settings: LogSettings = LogSettings()) -> DataFrame:
-    rows = clicks.filter(F.lit(settings.track_clicks) & F.col("query_key").isNotNull())
+    rows = clicks.filter(F.lit(settings.enabled and settings.track_clicks) & F.col("query_key").isNotNull())
     return truncate_columns(rows, CLICK_WIDTHS)
 
 

@@ -125,7 +125,7 @@ def structured_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "extracted_content",
     f"""WITH p AS (SELECT doc_key, culture, {clean('f_html')} AS t, f_url, {clean('f_url')} AS u FROM docs_pages)
-    SELECT doc_key, rtrim(substring(t, 1, 8000)) AS text FROM p WHERE {words('t')} >= 6""",
+    SELECT doc_key, t AS text FROM p WHERE {words('t')} >= 6""",
 )
 def extracted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.extracted_content(T.docs_pages(spark, sf_dir), structured=False)
@@ -135,12 +135,12 @@ def extracted_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "extracted_content_cultures",
     f"""WITH t AS (SELECT doc_key, culture, {clean('f_bodytext')} AS t FROM docs_text)
-    SELECT doc_key, CAST(NULL AS VARCHAR) AS culture, rtrim(substring(t, 1, 50000)) AS text FROM t WHERE {words('t')} >= 6
-    UNION ALL SELECT doc_key, culture, rtrim(substring(t, 1, 50000)) FROM t WHERE {words('t')} >= 6""",
+    SELECT doc_key, CAST(NULL AS VARCHAR) AS culture, t AS text FROM t WHERE {words('t')} >= 6
+    UNION ALL SELECT doc_key, culture, t FROM t WHERE {words('t')} >= 6""",
 )
 def extracted_content_cultures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain and the culture field hold the same text, so it is written once per culture."""
-    rows = E.extracted_content(T.docs_text(spark, sf_dir), max_chars=50_000, structured=False)
+    rows = E.extracted_content(T.docs_text(spark, sf_dir), structured=False)
     return rows.select("doc_key", "culture", "text")
 
 
@@ -160,7 +160,7 @@ def extract_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "extracted_content_json",
-    f"""SELECT CAST(doc_id AS VARCHAR) AS doc_key, rtrim(substring(t, 1, 8000)) AS text
+    f"""SELECT CAST(doc_id AS VARCHAR) AS doc_key, t AS text
     FROM (SELECT doc_id, {clean('text')} AS t FROM documents) WHERE {words('t')} >= 6""",
 )
 def extracted_content_json(spark: SparkSession, sf_dir: str) -> DataFrame:

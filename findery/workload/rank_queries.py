@@ -242,7 +242,7 @@ def _order_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = (F.col("query_id") % 4).cast("int")
     size = F.when(F.col("query_id") % 3 == 0, 7).when(F.col("query_id") % 3 == 1, 0)
     return T.query_defaults(ids.select(
-        "query_id", F.when(F.col("query_id") % 6 == 0, "").otherwise("x").alias("term"), sort.alias("sort"),
+        "query_id", F.when(F.col("query_id") % 4 == 0, "").otherwise("x").alias("term"), sort.alias("sort"),
         page.alias("page"), size.cast("int").alias("page_size"), (F.col("query_id") % 2 == 0).alias("allow_empty"),
     ))
 
@@ -258,15 +258,17 @@ def apply_sort_option(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.sort_by_option(ranked, _order_queries(spark, sf_dir), OPTIONS).select("query_id", "doc_key", "rank")
 
 
-_PAGE = """SELECT query_id, greatest(query_id % 4, 1) AS page, CASE WHEN query_id % 6 = 0 THEN least(s, 5) ELSE s END AS size
-  FROM (SELECT DISTINCT query_id, CASE WHEN query_id % 3 = 0 THEN 7 ELSE 12 END AS s FROM hits_orders)"""
+_PAGE = """SELECT query_id, greatest(query_id % 4, 1) AS page, CASE WHEN query_id % 3 = 0 THEN 7 WHEN query_id % 4 = 0 THEN {cap} ELSE 12 END AS size
+  FROM (SELECT DISTINCT query_id FROM hits_orders)"""
+# A query has its own size (7) if its id is divisible by 3, and browses if its id is divisible by 4.
+_SLICE = """SELECT r.query_id, r.doc_key, r.rank FROM (SELECT query_id, doc_key, row_number() OVER (PARTITION BY query_id
+        ORDER BY score DESC, doc_key) AS rank FROM hits_orders) r JOIN ({page}) p ON p.query_id = r.query_id
+    WHERE r.rank > (p.page - 1) * p.size AND r.rank <= p.page * p.size"""
 
 
 @register(
     "page_slice",
-    f"""SELECT r.query_id, r.doc_key, r.rank FROM (SELECT query_id, doc_key, row_number() OVER (PARTITION BY query_id
-        ORDER BY score DESC, doc_key) AS rank FROM hits_orders) r JOIN ({_PAGE}) p ON p.query_id = r.query_id
-    WHERE r.rank > (p.page - 1) * p.size AND r.rank <= p.page * p.size""",
+    _SLICE.format(page=_PAGE.format(cap=5)),
 )
 def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = R.rank_hits(T.hits_orders(spark, sf_dir))
@@ -274,11 +276,18 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "doc_key", "rank")
 
 
+@register("page_slice_browse_none", _SLICE.format(page=_PAGE.format(cap=0)))
+def page_slice_browse_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A browse cap of 0 shows nothing, except to queries with a size of their own."""
+    ranked = R.rank_hits(T.hits_orders(spark, sf_dir))
+    return R.page_slice(ranked, _order_queries(spark, sf_dir), 12, 0)[0].select("query_id", "doc_key", "rank")
+
+
 @register(
     "page_totals",
     f"""SELECT p.query_id, n AS total, p.page, p.size AS page_size, CAST(ceil(n / p.size) AS BIGINT) AS total_pages,
       p.page < ceil(n / p.size) AS has_more
-    FROM ({_PAGE}) p JOIN (SELECT query_id, count(*) AS n FROM hits_orders GROUP BY ALL) c ON c.query_id = p.query_id""",
+    FROM ({_PAGE.format(cap=5)}) p JOIN (SELECT query_id, count(*) AS n FROM hits_orders GROUP BY ALL) c ON c.query_id = p.query_id""",
 )
 def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = R.rank_hits(T.hits_orders(spark, sf_dir))

@@ -15,7 +15,7 @@ RULES = RuleSet(
     fields=(FieldRule("nodeName", 10.0, "exact"), FieldRule("bodyText", 1.0, "prefix")),
     include_content_types=tuple(f"src{i}" for i in range(18)), exclude_types=("src3",),
     hide_fields=("hideFromSearch",), type_boosts=(("src1", 2.0), ("src2", 0.5)), root_ids=(-1,), excluded_ids=(5,),
-    best_bets=(BestBet(("the",), ("1",)),), dedup_field="nodeName", max_results=400, page_size=10,
+    best_bets=(BestBet(("the",), ("1",)),), page_size=10,
 )
 
 # Word weights of the flagship's two fields: the name by whole words, the body by beginnings.
@@ -29,7 +29,6 @@ SELECT query_id, doc_key, raw_score FROM (
       SELECT query_id, field, doc_key, sum(weight) AS weight FROM (
         SELECT query_id, field, doc_key, group_no, max(weight) AS weight FROM flag_weights
         WHERE type_alias NOT IN ('src3', 'src18', 'src19') GROUP BY ALL) GROUP BY ALL) GROUP BY ALL))
-WHERE fetch_rank <= 400
 """
 VIEWS["flag_hits"] = """
 SELECT query_id, doc_key, raw_score, name, type_alias, culture,
@@ -38,9 +37,7 @@ FROM flag_window JOIN docs_text USING (doc_key)
 WHERE f_hidefromsearch IS NULL AND coalesce(f_published, 'y') = 'y' AND NOT list_contains(path, 5)
 """
 VIEWS["flag_ranked"] = """
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, raw_score DESC, doc_key) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id, lower(name) ORDER BY score DESC, raw_score DESC, doc_key) AS n FROM flag_hits)
-WHERE n = 1
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, raw_score DESC, doc_key) AS rank FROM flag_hits
 """
 
 
@@ -88,9 +85,7 @@ def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH f AS (SELECT *, query_id % 2 = 0 AS narrowed FROM flag_hits),
       kept AS (SELECT * FROM f WHERE NOT narrowed OR type_alias IN ('src1', 'src2')),
       again AS (SELECT * FROM f WHERE narrowed AND query_id NOT IN (SELECT query_id FROM kept))
-    SELECT query_id, doc_key, score FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id, lower(name) ORDER BY score DESC, raw_score DESC, doc_key) AS n
-      FROM (SELECT * FROM kept UNION ALL SELECT * FROM again)) WHERE n = 1""",
+    SELECT query_id, doc_key, score FROM (SELECT * FROM kept UNION ALL SELECT * FROM again)""",
 )
 def fallback_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inferred filters that leave nothing are taken back."""
@@ -106,12 +101,12 @@ def fallback_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "search_cultures",
-    """SELECT query_id, doc_key, raw_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, doc_key) AS n FROM (
+    """SELECT query_id, doc_key, raw_score FROM (
       SELECT query_id, doc_key, round(sum(weight), 6) AS raw_score FROM (
         SELECT query_id, field, doc_key, group_no, max(weight) AS weight FROM ("""
     + bm25_sql("""SELECT w.query_id, w.group_no, v.index_name, v.field, v.term FROM words_text w JOIN vocab_text v ON v.term = w.variant
       AND v.field IN (CASE WHEN w.query_id % 2 = 0 THEN 'bodytext_en' ELSE 'bodytext' END, CASE WHEN w.query_id % 2 = 0 THEN 'bodytext_fr' END)""")
-    + ") GROUP BY ALL) GROUP BY ALL)) WHERE n <= 500",
+    + ") GROUP BY ALL) GROUP BY ALL)",
 )
 def search_cultures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even queries ask for two cultures and search those variants instead of the plain field."""

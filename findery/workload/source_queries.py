@@ -133,6 +133,36 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_key", F.date_format(D.parse_date(F.col("fields")["orderdate"]), _STAMP).alias("date"))
 
 
+_FORMS = ("yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "d MMMM yyyy HH:mm:ss", "MMM d, yyyy HH:mm:ss")
+
+
+@register(
+    "parse_dates_written",
+    "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 3652 DAY + CASE WHEN o_orderkey % 4 = 0 THEN INTERVAL 8 HOUR ELSE INTERVAL 10 HOUR END, "
+    "'%Y-%m-%d %H:%M:%S') AS date FROM orders",
+)
+def parse_dates_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written forms of ten o'clock; the first with an offset of two hours, the third with a weekday and GMT."""
+    orders = T.table(spark, sf_dir, "orders")
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL '3652 10' DAY TO HOUR")
+    kind = F.col("o_orderkey") % 4
+    text = F.when(kind == 0, F.concat(F.date_format(at, _FORMS[0]), F.lit("+02:00"))).when(kind == 1, F.date_format(at, _FORMS[1]))
+    text = text.when(kind == 2, F.concat(F.date_format(at, "EEE"), F.lit(", "), F.date_format(at, _FORMS[2]), F.lit(" GMT"))).otherwise(F.date_format(at, _FORMS[3]))
+    return orders.select("o_orderkey", F.date_format(D.parse_date(text), _STAMP).alias("date"))
+
+
+@register(
+    "parse_numbers_written",
+    """SELECT p_partkey, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN -p_size::DOUBLE END AS number FROM part""",
+)
+def parse_numbers_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands separators, parentheses, and codes that only look like numbers."""
+    kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    raw = F.when(kind == 0, F.concat(size, F.lit(",000.0"))).when(kind == 1, F.concat(F.lit("("), size, F.lit(")"))).when(
+        kind == 2, F.concat(size, F.lit("d"))).otherwise(F.concat(size, F.lit("f")))
+    return T.table(spark, sf_dir, "part").select("p_partkey", D.parse_number(raw).alias("number"))
+
+
 @register(
     "parse_numbers",
     "SELECT p_partkey, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN p_retailprice WHEN 1 THEN CAST(p_size AS DOUBLE) END AS number FROM part",

@@ -112,7 +112,7 @@ def stream_click_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "stream_extract_content",
-    f"""SELECT doc_key, CASE WHEN {words('t')} >= 6 THEN rtrim(substring(t, 1, 8000)) END AS text
+    f"""SELECT doc_key, CASE WHEN {words('t')} >= 6 THEN t END AS text
     FROM (SELECT doc_key, {clean('f_bodytext')} AS t, unnest([1, 2]) AS pass, {words("f_bodytext")} >= 6 AS long FROM docs_text) WHERE pass = 1 OR long""",
 )
 def stream_extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:

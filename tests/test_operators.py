@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from findery.operators import dedup as DD, extract as E, facets as FC, match as M, rank as R, score as S
+from findery.operators import dedup as DD, extract as E, facets as FC, filters as FL, match as M, rank as R, score as S
 from findery.operators.budget import admit_within_budget
 from findery.operators.suggest import spell_correct
 from findery.plans import search as PL
@@ -60,16 +60,38 @@ def test_budget_chunks_equal_one_pass(spark, chunk, busy):
     assert {r["event_id"]: r["is_admitted"] for r in rows} == brute_admissions(events, 2, 10_000_000)
 
 
-def test_broadcast_and_salted_scores_agree(spark, sf_dir):
+def test_scores_agree_whatever_join_runs(spark, sf_dir):
     docs, queries = T.docs_text(spark, sf_dir), T.q_text(spark, sf_dir)
     rules = RuleSet(fields=(FieldRule("bodytext", 1.0, "prefix"),), include_content_types=("src0",))
     index = PL.index_for(docs, rules)
     words = PL.query_words(queries, rules, index)
     matches = M.match_prefix(words, index.vocab).drop("match_mode", "variant")
     keys = ["query_id", "doc_key", "group_no", F.round("weight", 9).alias("w")]
-    few = S.posting_matches(matches, index.postings, index.stats).select(*keys)
-    many = S.posting_matches(matches, index.postings, index.stats, broadcast_limit=0, salt=4).select(*keys)
-    assert few.count() > 0 and few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0
+    few = S.posting_matches(matches, index.postings, index.stats).select(*keys).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    many = S.posting_matches(matches, index.postings, index.stats).select(*keys).collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert few and sorted(map(tuple, few)) == sorted(map(tuple, many))
+
+
+def test_a_floor_does_not_empty_a_browse_listing(spark):
+    hits = spark.createDataFrame([(1, 0.2, False), (2, 0.2, False), (2, 0.2, True), (2, 3.0, False)], "query_id int, score double, is_best_bet boolean")
+    browsing = spark.createDataFrame([(1,)], "query_id int")
+    kept = FL.filter_min_score(hits, 1.0, browsing).collect()
+    assert sorted((r.query_id, r.score) for r in kept) == [(1, 0.2), (2, 0.2), (2, 3.0)]
+
+
+def test_no_click_is_logged_when_logging_is_off(spark):
+    from findery.sources.logs import LogSettings, clicks_to_log
+
+    clicks = spark.createDataFrame([("k", "n", "name", 1)], "query_key string, node_key string, node_name string, position int")
+    assert clicks_to_log(clicks, LogSettings(enabled=False)).count() == 0
+    assert clicks_to_log(clicks).count() == 1
+
+
+def test_no_window_fetches_every_row(spark):
+    rows = spark.range(6000).selectExpr("1 AS query_id", "'i' AS index_name", "id AS doc_key", "CAST(id AS DOUBLE) AS raw_score")
+    assert S.fetch_window(rows).count() == 6000 and S.fetch_window(rows, 5500).count() == 5500
 
 
 def test_kept_index_gives_the_same_page(spark, sf_dir, tmp_path):
