@@ -58,28 +58,45 @@ def without(placed: DataFrame, file: str, row: str, gone: DataFrame, columns: li
     return placed.join(gone, [file, row], "left_anti").select(*[placed[c] for c in columns])
 
 
+class _Known(dict):
+    """A dictionary that notes the keys it is asked for in vain."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.asked: list = []
+
+    def __missing__(self, key):
+        self.asked.append(key)
+
+
 class Memo:
     """Results by word, kept while they are few and small. `build` gives the results of sorted new words."""
 
     def __init__(self, build: Callable[[list], Iterable], words: int = 1_000_000, size: int = 64_000_000) -> None:
         self.build, self.words, self.size = build, words, size
-        self.known: dict = {}
+        self.known = _Known()
         self.held = 0
 
     def lookup(self, cut: list[list]) -> list[list]:
-        """The results of each list's words."""
-        found = [list(map(self.known.get, words)) for words in cut]
-        short = [i for i, values in enumerate(found) if None in values]
-        new = sorted({w for i in short for w, value in zip(cut[i], found[i], strict=True) if value is None})
-        if new:
+        """The results of each list's words; none of them may be None."""
+        known, asked, found, short = self.known, self.known.asked, [], []
+        for i, words in enumerate(cut):
+            before = len(asked)
+            found.append(list(map(known.__getitem__, words)))
+            if len(asked) > before:
+                short.append(i)
+        if short:
+            new = sorted(set(asked))
+            asked.clear()
             built = dict(zip(new, self.build(new), strict=True))
             for i in short:
                 found[i] = [built[w] if value is None else value for w, value in zip(cut[i], found[i], strict=True)]
             more = sum(map(len, new))
-            if len(self.known) + len(new) > self.words or self.held + more > self.size:
-                self.known, self.held = {}, 0
+            if len(known) + len(new) > self.words or self.held + more > self.size:
+                known.clear()
+                self.held = 0
             if len(new) <= self.words and more <= self.size:
-                self.known.update(built)
+                known.update(built)
                 self.held += more
         return found
 

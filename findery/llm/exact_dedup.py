@@ -30,6 +30,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # A partition's store is closed once its task is done: an open one holds files of some MB, even if near empty.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -69,11 +71,9 @@ def fingerprints(placed: DataFrame, file: str, row: str, width: int) -> DataFram
     )
 
 
-def groups_of_stream(prints: DataFrame, files_per_batch: int | None) -> DataFrame:
-    """(digest, group_size, best) from the state, once the stream has taken every fingerprint there is."""
+def groups_of_stream(prints: DataFrame, folder: str, files_per_batch: int | None) -> DataFrame:
+    """(digest, group_size, best) from the state, once the stream has taken every fingerprint in the folder."""
     spark = prints.sparkSession
-    folder = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
-    prints.write.parquet(f"{folder}/prints")
     source = spark.readStream.schema(prints.schema)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
@@ -98,8 +98,10 @@ def members(docs: DataFrame, files_per_batch: int | None = None, width: int = 32
     the comparison of full bytes parts again.
     """
     placed, file, row = located(docs)
-    prints = store(fingerprints(placed, file, row, width))
-    groups = groups_of_stream(prints, files_per_batch)
+    folder = f"{shared_folder(docs.sparkSession)}/dedup-{uuid.uuid4().hex}"
+    fingerprints(placed, file, row, width).write.parquet(f"{folder}/prints")
+    prints = docs.sparkSession.read.parquet(f"{folder}/prints")
+    groups = groups_of_stream(prints, folder, files_per_batch)
     every = prints.join(groups, "digest")
     hits = every.where("group_size > 1").select("file", "row", "digest", "shorter", "no_id", "doc_id")
     content = placed.select(F.col(file).alias("file"), F.col(row).alias("row"), normalised(F.col("text")).alias("content"))

@@ -120,10 +120,9 @@ def chosen_terms(sample: DataFrame, terms: int, least: float, lift: float) -> np
                 ["term", "n", "toxic"],
             )
 
-    totals = sample.agg(F.count("*").alias("rows"), F.sum("label").alias("bad"))
+    n_rows, n_bad = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = sample.mapInArrow(run, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
-    # The totals are one row.
-    seen = counts.where("n >= 3").join(F.broadcast(totals))
+    seen = counts.where("n >= 3").withColumns({"rows": F.lit(n_rows).cast("long"), "bad": F.lit(n_bad).cast("long")})
     share = F.col("a") * F.col("rows") - F.col("n") * F.col("bad")
     spread = F.col("n") * F.col("bad") * (F.col("rows") - F.col("n")) * (F.col("rows") - F.col("bad"))
     score = F.when(spread > 0, F.col("rows") * share * share / spread.cast("double"))
