@@ -218,9 +218,16 @@ def improved(model: Model, part: DataFrame, rate: float) -> Model:
 def blank(counts: DataFrame, words: int) -> Model:
     """The dictionary, its classes, and weights of a plain class model."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
-    if total and END not in dict(top):
-        top = [*top[:-1], (END, counts.where(F.length("word") == 0).first().n)]
+    # Words by the size of their count, in steps of a sixteenth of a doubling: some hundred rows at most. The
+    # dictionary is END and the words of the largest steps that are `words` together, so no task sends a full list.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, room = 0, words - 1
+    for r in counts.where(F.length("word") > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        room -= r.n
+        if room < 0:
+            least = r.step + 1
+            break
+    top = [(bytes(r.word), r.n) for r in counts.where((step >= least) | (F.length("word") == 0)).collect()]
     top.sort(key=lambda r: (r[0] != END, -r[1], r[0]))
     n = np.array([c for _, c in top], np.float64)
     classes = np.full(len(top) + 1, CLASSES - 1)
