@@ -4,9 +4,10 @@ A text's features are the hashes of its distinct words and of their first four a
 score = sigmoid(bias + sum of weights + sum over pairs of features of the dot product of their factors),
 so that two terms can mean more together than apart.
 
-The labelled rows for training are a bounded sample (`rows`, the first by hash of doc_id); terms that
-tell the labels apart beyond chance are chosen from counts over that sample, and at most `terms` of them
-make the model, so its size is fixed. Every round is one Spark job: each task sums the gradient of its rows,
+The labelled rows for training are a bounded sample (`rows`, the first by hash of doc_id). Its terms are chosen from
+counts over that sample: those that tell the labels apart beyond chance, for or against toxicity, over all rows or
+among the rows with a term that goes with toxic ones, so that a neutral or excusing side of a pair is there to
+be learned. At most `terms` of them make the model, so its size is fixed. Every round is one Spark job: each task sums the gradient of its rows,
 and the driver, which only holds the model, takes one step. Scoring reads every text once, with no shuffle.
 
 A null text is an empty one and scores the bias; a null doc_id is in no fold; repeated rows are scored
@@ -103,15 +104,16 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("text", "label")
 
 
-def chosen_terms(sample: DataFrame, terms: int, least: float, lift: float) -> np.ndarray:
-    """Feature hashes that go with toxic rows: their chi-square over the labels is at least `least` and their
-    share of toxic rows `lift` times that of all rows; the strongest `terms` of them."""
+def tallied(sample: DataFrame, within: np.ndarray | None) -> DataFrame:
+    """(term, n, a): rows and toxic rows by feature hash, and of all under -1; only of rows that have a feature of `within`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(lambda words: [np.array(word_features(w), "<i4").tobytes() for w in words], words=300_000)
         for batch in batches:
             found = memo.lookup([t.encode().lower().split() for t in batch.column("text").to_pylist()])
-            rows = [np.unique(np.frombuffer(b"".join(x), "<i4")) for x in found]
+            rows = [np.append(np.unique(np.frombuffer(b"".join(x), "<i4")), np.int32(-1)) for x in found]
+            if within is not None:
+                rows = [r if np.isin(r, within).any() else r[:0] for r in rows]
             labels = np.repeat(batch.column("label").to_numpy(), [len(r) for r in rows])
             hashes, at = np.unique(np.concatenate([*rows, np.zeros(0, "<i4")]), return_inverse=True)
             toxic = np.bincount(at, labels, len(hashes)) if len(hashes) else np.zeros(0)
@@ -120,24 +122,43 @@ def chosen_terms(sample: DataFrame, terms: int, least: float, lift: float) -> np
                 ["term", "n", "toxic"],
             )
 
-    n_rows, n_bad = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    counts = sample.mapInArrow(run, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a"))
-    seen = counts.where("n >= 3").withColumns({"rows": F.lit(n_rows).cast("long"), "bad": F.lit(n_bad).cast("long")})
+    counts = sample.mapInArrow(run, "term int, n long, toxic long")
+    return store(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a")))
+
+
+def telling(counts: DataFrame, terms: int, least: float) -> list:
+    """(term, score, toxic): the strongest `terms` whose chi-square over the labels is at least `least`, and
+    whether they go with toxic rows."""
+    whole = counts.where("term = -1").first()
+    if whole is None:
+        return []
+    seen = counts.where("term >= 0 and n >= 3").withColumns({"rows": F.lit(whole.n).cast("long"), "bad": F.lit(whole.a).cast("long")})
     share = F.col("a") * F.col("rows") - F.col("n") * F.col("bad")
     spread = F.col("n") * F.col("bad") * (F.col("rows") - F.col("n")) * (F.col("rows") - F.col("bad"))
-    score = F.when(spread > 0, F.col("rows") * share * share / spread.cast("double"))
-    lifted = seen.where(F.col("a") * F.col("rows") >= lift * F.col("n") * F.col("bad"))
-    best = lifted.select("term", score.alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "term").limit(terms)
-    return np.array(sorted(r.term for r in best.collect()), "i8")
+    score = F.when(spread > 0, F.col("rows") * share.cast("double") * share / spread.cast("double"))
+    best = seen.select("term", score.alias("score"), (share > 0).alias("toxic")).where(F.col("score") >= least)
+    return best.orderBy(F.desc("score"), "term").limit(terms).collect()
+
+
+def chosen_terms(sample: DataFrame, terms: int, least: float) -> np.ndarray:
+    """Feature hashes that tell the labels apart, alone or among rows that have one that goes with toxic rows;
+    the strongest `terms` of them."""
+    alone = telling(tallied(sample, None), terms, least)
+    toxic = np.array([r.term for r in alone if r.toxic], "<i4")
+    beside = telling(tallied(sample, toxic), terms, least) if len(toxic) else []
+    best: dict[int, float] = {}
+    for r in [*alone, *beside]:
+        best[r.term] = max(r.score, best.get(r.term, 0.0))
+    return np.array(sorted(sorted(best, key=lambda t: (-best[t], t))[:terms]), "i8")
 
 
 def train(
     docs: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int = 8_192, factors: int = 4, rounds: int = 40,
-    rate: float = 0.1, decay: float = 1e-4, least: float = 25.0, lift: float = 1.5, seed: int = 7,
+    rate: float = 0.1, decay: float = 1e-4, least: float = 25.0, seed: int = 7,
 ) -> Model:
     """A model of the labelled rows that are not held out."""
     sample = store(labelled(docs, labels, rows))
-    picked = chosen_terms(sample, terms, least, lift)
+    picked = chosen_terms(sample, terms, least)
     rng = np.random.default_rng(seed)
     blank = Model(picked, 0.0, np.zeros(len(picked)), rng.normal(0, 0.05, (len(picked), factors)))
 

@@ -35,6 +35,28 @@ def test_a_pair_can_mean_what_its_terms_do_not(spark):
     assert found.where("predicted <> toxic").count() == 0 and found.count() > 100
 
 
+def held_out_mistakes(spark, bits, toxic):
+    """Of 1,600 rows whose words are given by their number."""
+    rows = [(i, " ".join(w for w, on in bits.items() if on(i))) for i in range(1600)]
+    labels = [(i, int(toxic(set(text.split())))) for i, text in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = toxicity.toxicity(docs, marks).join(marks, "doc_id").where("held_out")
+    assert found.count() > 200
+    return found.where("predicted <> toxic").count()
+
+
+def test_a_pair_with_a_neutral_term(spark):
+    """'folk' is in half of the toxic rows and in half of all; 'dumb' is toxic with it only, and 'slur' always."""
+    bits = {"dumb": lambda i: i % 8 in (0, 1), "folk": lambda i: i % 2, "slur": lambda i: i % 8 == 2, "tree": lambda i: i // 8 % 2}
+    assert held_out_mistakes(spark, bits, lambda words: "slur" in words or {"dumb", "folk"} <= words) == 0
+
+
+def test_a_pair_with_an_excusing_term(spark):
+    """'dumb' is toxic, but not with 'joke', which alone is rather clean."""
+    bits = {"dumb": lambda i: i % 4 == 0, "joke": lambda i: i // 4 % 2, "tree": lambda i: i // 8 % 2}
+    assert held_out_mistakes(spark, bits, lambda words: "dumb" in words and "joke" not in words) == 0
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
