@@ -8,7 +8,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import byte_bpe, decontaminate, exact_dedup, licenses, maxent, near_dups, token_counts, token_files, toxicity, url_rules
+from findery.llm import (
+    byte_bpe, decontaminate, exact_dedup, licenses, maxent, near_dups, repeats, spelling, token_counts, token_files, toxicity,
+    url_rules, vector_codes,
+)
 from findery.llm.common import table
 from findery.session import shared_folder
 
@@ -77,6 +80,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("file", "row")
 
 
+@query
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 SQL["op3_exact_dedup"] = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS whole, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain
@@ -125,3 +143,60 @@ FROM cut LEFT JOIN base USING (id) LEFT JOIN found USING (id)
 
 
 SQL["op4_licenses"] = _license_sql()
+
+
+SQL["op12_repeated_passages"] = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT id, s, array_to_string(words[s + 1 : s + 35], ' ') AS held FROM (SELECT id, words, unnest(range(len(words) - 34)) AS s FROM cut)
+), gone AS (
+  SELECT DISTINCT id, unnest(range(s, s + 35)) AS p FROM windows WHERE held IN (SELECT held FROM windows GROUP BY held HAVING count(*) > 1)
+), placed AS (
+  SELECT id, unnest(words) AS word, unnest(range(len(words))) AS p FROM cut
+), kept AS (
+  SELECT id, string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone.p IS NULL) AS held, count(gone.p) AS n_removed
+  FROM placed LEFT JOIN gone USING (id, p) GROUP BY id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(held, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (id)
+"""
+
+
+def _vector_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every part compared with every entry, round after round."""
+    near = """SELECT rid, p, arg_min(e, (far, e)) AS e, min(far) AS far FROM (
+    SELECT rid, c.p, e, list_sum(list_transform(list_zip(c.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far
+    FROM cut c JOIN b{r} b ON b.p = c.p) GROUP BY rid, p"""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({near.format(r=r)}
+), s{r} AS (
+  SELECT p, e, list((total - ((total % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT p, e, i, sum(v)::BIGINT AS total, count(*) AS n
+    FROM (SELECT a.p, a.e, unnest(c.x) AS v, unnest(range(len(c.x))) AS i FROM a{r} a JOIN cut c USING (rid, p)) GROUP BY p, e, i
+  ) GROUP BY p, e
+), b{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(s.x, b.x) AS x FROM b{r} b LEFT JOIN s{r} s USING (p, e)
+), """)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT rid, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) r(p)
+), b0 AS (
+  SELECT p, rid - 1 AS e, x FROM cut WHERE rid <= {entries}
+), {"".join(steps)}coded AS ({near.format(r=rounds)}
+), found AS (
+  SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM coded GROUP BY rid
+), entries AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS sha FROM b{rounds}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256
+FROM found JOIN kept USING (rid), entries
+"""
+
+
+SQL["op13_vector_codes"] = _vector_sql()
