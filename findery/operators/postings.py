@@ -1,28 +1,40 @@
 """Term postings of a document frame.
 
-Term counts are made inside each document's row (sort its tokens, measure the runs), so building
-postings explodes a row per distinct term and needs no shuffle.
+A document's terms are counted where its tokens are cut, an Arrow batch at a time, so building postings gives a row per
+distinct term and needs no shuffle.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from findery.functions import fields as X, text as T
+from findery.operators.forward import ForwardIndex, build_forward, read_forward
+from findery.operators.terms import FALLBACK_FIELDS
+from findery.rules import RuleSet
 from findery.session import store
+from findery.sources.indexes import searchable_name
 
 KEYS = ["index_name", "field"]
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """postings(index, field, term, doc_key, tf, doc_len, type), vocab(df), stats(n_docs, avg_len)."""
+    """postings(index, field, term, doc_key, tf, doc_len, type), vocab(df), stats(n_docs, avg_len, is_searchable), and
+    optionally what rules read of a document."""
 
     postings: DataFrame
     vocab: DataFrame
     stats: DataFrame
+    forward: ForwardIndex | None = None
+
+    def with_forward(self, docs: DataFrame, rules: RuleSet) -> SearchIndex:
+        return replace(self, forward=build_forward(docs, rules))
 
     def write(self, path: str) -> None:
         """Kept as tables by index and field, so that a search reads only the fields it names."""
@@ -30,11 +42,14 @@ class SearchIndex:
         kept = from_postings(self.postings.sparkSession.read.parquet(f"{path}/postings"))
         kept.vocab.write.mode("overwrite").partitionBy(*KEYS).parquet(f"{path}/vocab")
         kept.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        if self.forward:
+            self.forward.write(path)
 
     def stored(self) -> SearchIndex:
         """Written once to the shared folder: every use of it then reads tables, not documents."""
         derived = from_postings(store(self.postings))
-        return SearchIndex(derived.postings, store(derived.vocab), store(derived.stats))
+        forward = self.forward.stored() if self.forward else None
+        return SearchIndex(derived.postings, store(derived.vocab), store(derived.stats), forward)
 
 
 def from_postings(postings: DataFrame) -> SearchIndex:
@@ -42,59 +57,81 @@ def from_postings(postings: DataFrame) -> SearchIndex:
     vocab = postings.groupBy(*KEYS, "term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = F.sum(F.col("is_first").cast("bigint"))
     stats = postings.groupBy(*KEYS).agg(n_docs.alias("n_docs"), (F.sum("tf") / n_docs).alias("avg_len"))
-    return SearchIndex(postings, vocab, stats)
+    return SearchIndex(postings, vocab, stats.withColumn("is_searchable", searchable_name(F.col("field"))))
 
 
 def read_index(spark: SparkSession, path: str) -> SearchIndex:
-    return SearchIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "stats")])
+    tables = [spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "stats")]
+    return SearchIndex(*tables, read_forward(spark, path))
 
 
 def indexed_fields(docs: DataFrame, names: list[str] | None = None, variants: bool = True) -> DataFrame:
     """(index, doc, type, field, value): the node name and the stored fields.
 
-    With ``names``, only those fields and, with ``variants``, their culture variants.
+    With ``names``, only those fields and, with ``variants``, their culture variants. An empty list stands for every
+    field that is searchable by its name.
     """
-    entries = F.map_entries(F.map_concat(
-        F.create_map(F.lit(X.NODE_NAME), F.col("name")),
-        F.map_filter("fields", lambda k, v: ~k.isin(X.NODE_NAME) & v.isNotNull()),
-    ))
-    if names is not None:
-        lowered = [n.lower() for n in names]
-
-        def wanted(key: Column) -> Column:
-            match = key.isin(lowered)
-            for name in lowered if variants else ():
-                match = match | key.startswith(name + "_")
-            return match
-
-        entries = F.filter(entries, lambda e: wanted(e["key"]))
+    own = F.struct(F.lit(X.NODE_NAME).alias("key"), F.col("name").alias("value"))
+
+    def held(wanted: Callable[[Column], Column]) -> Column:
+        """The filled stored fields whose name is wanted; the node name is the document's own."""
+        fields = F.map_filter("fields", lambda k, v: wanted(k) & (k != X.NODE_NAME) & v.isNotNull())
+        return F.map_entries(fields)
+
+    if names is None:
+        entries = F.concat(F.array(own), held(lambda k: F.lit(True)))
+    elif not names:
+        entries = F.concat(F.array(own), held(lambda k: searchable_name(k) | k.isin(*FALLBACK_FIELDS)))
+    else:
+        lowered = sorted({n.lower() for n in names})
+        plain = [n for n in lowered if n != X.NODE_NAME]
+        # A field asked for by name is looked up; only culture variants need every key of the map.
+        found = [F.struct(F.lit(n).alias("key"), X.stored(n).alias("value")) for n in plain]
+        entries = F.array(*([own] if X.NODE_NAME in lowered else []), *found)
+        if variants:
+            def variant(key: Column) -> Column:
+                match = F.lit(False)
+                for name in lowered:
+                    match = match | key.startswith(name + "_")
+                return match & ~key.isin(*plain) if plain else match
+
+            entries = F.concat(entries, held(variant))
     return docs.select(
-        "index_name", "index_type", "type_alias", "doc_key",
-        F.inline(entries).alias("field", "value"),
-    )
-
-
-def _runs(sorted_tokens: Column) -> Column:
-    """(term, tf, is_first) of a sorted token array."""
-    n = F.size(sorted_tokens)
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get(sorted_tokens, i) != F.get(sorted_tokens, i - 1)),
-    )
-    runs = T.let(starts, lambda s: F.transform(
-        s,
-        lambda p, k: F.named_struct(
-            F.lit("term"), F.get(sorted_tokens, p),
-            F.lit("tf"), F.coalesce(F.get(s, k + 1), n) - p, F.lit("is_first"), k == 0,
-        ),
-    ))
-    return F.when(n > 0, runs)
+        "index_name", "index_type", "type_alias", "doc_key", F.inline(entries).alias("field", "value"),
+    ).filter("value IS NOT NULL")
+
+
+POSTINGS = (
+    "index_name string, field string, doc_key string, index_type string, type_alias string, doc_len int, term string, "
+    "tf int, is_first boolean"
+)
+
+
+def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows with their ``tokens``, a batch at a time: equal (row, term) codes are counted as one sorted array."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        sizes = np.diff(tokens.offsets.to_numpy())
+        coded = tokens.flatten().dictionary_encode()
+        words = len(coded.dictionary)
+        if not words:
+            continue
+        codes = np.repeat(np.arange(len(sizes)), sizes) * words + coded.indices.to_numpy().astype(np.int64)
+        kept, tf = np.unique(codes, return_counts=True)
+        row = kept // words
+        first = np.concatenate([[True], row[1:] != row[:-1]])
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[batch.column(c).take(pa.array(row)) for c in (*KEYS, "doc_key", "index_type", "type_alias")],
+                pa.array(sizes[row], pa.int32()), coded.dictionary.take(pa.array(kept % words)), pa.array(tf, pa.int32()),
+                pa.array(first),
+            ],
+            [*KEYS, "doc_key", "index_type", "type_alias", "doc_len", "term", "tf", "is_first"],
+        )
 
 
 def build_postings(docs: DataFrame, names: list[str] | None = None, variants: bool = True) -> SearchIndex:
     """Postings, vocabulary and field statistics; tokens are lower-case letter/digit runs."""
-    tokenized = indexed_fields(docs, names, variants).withColumn("tokens", T.tokens(F.col("value")))
-    return from_postings(tokenized.select(
-        *KEYS, "doc_key", "index_type", "type_alias", F.size("tokens").alias("doc_len"),
-        F.inline(T.let(F.array_sort("tokens"), _runs)).alias("term", "tf", "is_first"),
-    ))
+    rows = indexed_fields(docs, names, variants)
+    tokenized = rows.select(*KEYS, "doc_key", "index_type", "type_alias", T.tokens(F.col("value")).alias("tokens"))
+    return from_postings(tokenized.mapInArrow(_count_terms, POSTINGS))

@@ -1,6 +1,7 @@
 """Boosts, best bets, order, pages and re-ranking of hits.
 
-Windows here are per query and follow the fetch window, which bounds a query's rows.
+A query may have any number of hits. A page takes its first rows by bounded heaps over pieces of a query's
+hits, merged afterwards, so no task meets all of them; only ``rank_hits`` and ``sort_multi`` number every hit.
 """
 
 from __future__ import annotations
@@ -112,20 +113,33 @@ def _score_key() -> Column:
     )
 
 
-def _key_of(field: str) -> Column:
-    return _score_key() if field.lower() == RELEVANCE else sort_key(field)
+def sort_column(field: str) -> str:
+    """The column in which an index keeps a field's parsed sort key."""
+    return f"sort:{field.strip().lower()}"
+
+
+def _key_of(field: str, columns: Sequence[str] = ()) -> Column:
+    if field.lower() == RELEVANCE:
+        return _score_key()
+    kept = sort_column(field)
+    return F.col("`" + kept.replace("`", "``") + "`") if kept in columns else sort_key(field)
+
+
+def _directed(key: Column, direction: str) -> Column:
+    return key.asc() if direction == "ascending" else key.desc()
+
+
+def sort_order(hits: DataFrame, sort_rules: Sequence[SortRule], last: Sequence[Column]) -> list[Column]:
+    """Best bets, then each rule in turn, then ``last``."""
+    keys = [_directed(_key_of(r.field, hits.columns), r.direction) for r in sort_rules if r.field.strip()]
+    return [F.desc("is_best_bet"), *keys, *last]
 
 
 def sort_multi(hits: DataFrame, sort_rules: Sequence[SortRule]) -> DataFrame:
     """Best bets, then each rule in turn; ties keep the previous rank."""
-    rules = [r for r in sort_rules if r.field.strip()]
-    if not rules:
+    if not any(r.field.strip() for r in sort_rules):
         return hits
-    order = [F.desc("is_best_bet")]
-    for rule in rules:
-        key = _key_of(rule.field)
-        order.append(key.asc() if rule.direction == "ascending" else key.desc())
-    return hits.withColumn("rank", F.row_number().over(_per_query(*order, F.asc("rank"))))
+    return hits.withColumn("rank", F.row_number().over(_per_query(*sort_order(hits, sort_rules, [F.asc("rank")]))))
 
 
 def apply_sort_option(queries: DataFrame, sort_options: Sequence[SortOption]) -> DataFrame:
@@ -145,24 +159,27 @@ def apply_sort_option(queries: DataFrame, sort_options: Sequence[SortOption]) ->
     })
 
 
-def sort_by_option(hits: DataFrame, queries: DataFrame, sort_options: Sequence[SortOption]) -> DataFrame:
-    """Each query's rows in the order its sort option asks for, best bets first.
+def with_sort_alias(hits: DataFrame, queries: DataFrame, sort_options: Sequence[SortOption]) -> DataFrame:
+    picked = apply_sort_option(queries, sort_options).select("query_id", "sort_alias")
+    return hits.join(picked, "query_id", "left")
+
+
+def option_order(hits: DataFrame, sort_options: Sequence[SortOption], last: Sequence[Column]) -> list[Column]:
+    """The order each row's ``sort_alias`` asks for, best bets first, then ``last``.
 
     Every enabled option's key is a column of the row; a query's alias picks the one that counts.
     """
     options = {o.alias.lower(): o for o in reversed(sort_options) if o.enabled and o.alias.strip() and o.field.strip()}
-    if not options:
-        return hits
     alias = F.lower("sort_alias")
-    picked = apply_sort_option(queries, sort_options).select("query_id", "sort_alias")
-    order = [F.desc("is_best_bet")]
-    for name, option in options.items():
-        key = F.when(alias == name, _key_of(option.field))
-        order.append(key.asc() if option.direction == "ascending" else key.desc())
-    ranked = hits.join(picked, "query_id", "left")
-    return ranked.withColumn(
-        "rank", F.row_number().over(_per_query(*order, F.asc("rank")))
-    ).drop("sort_alias")
+    keys = [_directed(F.when(alias == n, _key_of(o.field, hits.columns)), o.direction) for n, o in options.items()]
+    return [F.desc("is_best_bet"), *keys, *last]
+
+
+def sort_by_option(hits: DataFrame, queries: DataFrame, sort_options: Sequence[SortOption]) -> DataFrame:
+    """Each query's rows in the order its sort option asks for, best bets first."""
+    ranked = with_sort_alias(hits, queries, sort_options)
+    order = option_order(ranked, sort_options, [F.asc("rank")])
+    return ranked.withColumn("rank", F.row_number().over(_per_query(*order))).drop("sort_alias")
 
 
 def is_browse() -> Column:
@@ -170,21 +187,50 @@ def is_browse() -> Column:
     return F.col("allow_empty") & (F.trim(F.coalesce("term", F.lit(""))) == "")
 
 
-def page_slice(
-    hits: DataFrame, queries: DataFrame, page_size: int = DEFAULT_PAGE_SIZE, browse_size: int = DEFAULT_PAGE_SIZE
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of each query's page, totals per query).
+def first_rows(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str, piece_of: Sequence[str] = ("doc_key",)
+) -> DataFrame:
+    """The first ``n`` rows of each group, numbered in ``out``.
 
-    The query's own size wins over the profile's. An empty search without its own size shows at most
-    ``browse_size`` rows, none if that is 0; its totals still count all.
+    A group is dealt into pieces by hash; each piece keeps its first ``n`` rows (Spark limits them before the shuffle
+    too), and only those meet. A group of any size thus brings at most pieces x n rows into one task. There are as many pieces
+    as shuffle partitions, which grow with the data.
     """
+    pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_piece", F.pmod(F.xxhash64(*piece_of), F.lit(pieces)))
+    local = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    heaps = dealt.withColumn("_n", F.row_number().over(local)).filter(F.col("_n") <= n).drop("_n", "_piece")
+    merged = Window.partitionBy(*keys).orderBy(*order)
+    return heaps.withColumn(out, F.row_number().over(merged)).filter(F.col(out) <= n)
+
+
+def wanted_pages(queries: DataFrame, page_size: int, browse_size: int) -> DataFrame:
+    """(query_id, _page, _size): the page each query asks for and the rows it holds."""
     own = F.when(F.col("page_size") > 0, F.col("page_size"))
     profile = page_size if page_size > 0 else DEFAULT_PAGE_SIZE
     size = F.coalesce(own, F.when(is_browse(), min(profile, max(browse_size, 0))).otherwise(profile))
-    wanted = queries.select(
+    return queries.select(
         "query_id", F.greatest(F.coalesce("page", F.lit(1)), F.lit(1)).alias("_page"), size.alias("_size")
     )
-    rows = hits.join(wanted, "query_id").filter(
+
+
+def page_slice(
+    hits: DataFrame, queries: DataFrame, page_size: int = DEFAULT_PAGE_SIZE, browse_size: int = DEFAULT_PAGE_SIZE,
+    order: Sequence[Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of each query's page with their ``rank``, totals per query).
+
+    Hits that carry a rank are cut by it; others are ordered by ``order``, or best bets and score. The
+    query's own size wins over the profile's. An empty search without its own size shows at most
+    ``browse_size`` rows, none if that is 0; its totals still count all.
+    """
+    wanted = wanted_pages(queries, page_size, browse_size)
+    ranked = hits
+    if "rank" not in hits.columns:
+        # One number about the query table: how far down the farthest page reaches.
+        last = wanted.agg(F.max(F.col("_page").cast("long") * F.col("_size"))).first()[0]
+        ranked = first_rows(hits, ["query_id"], order or rank_order(), min(int(last or 0), 2**31 - 1), "rank")
+    rows = ranked.join(wanted, "query_id").filter(
         (F.col("rank") > (F.col("_page") - 1) * F.col("_size"))
         & (F.col("rank") <= F.col("_page") * F.col("_size"))
     )

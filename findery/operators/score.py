@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from findery.operators.rank import first_rows
 from findery.session import store
 
 K1, B = 1.2, 0.75
@@ -30,11 +31,11 @@ def posting_matches(matches: DataFrame, postings: DataFrame, stats: DataFrame) -
 
 
 def match_all_terms(matches: DataFrame, require_all: bool) -> DataFrame:
-    """Per document and field: the best variant of each word, summed.
+    """Per document, field and rule: the best variant of each word, summed.
 
     With ``require_all`` every word of the query must have matched in the field.
     """
-    field_keys = ["query_id", "index_name", "doc_key", "field"]
+    field_keys = ["query_id", "index_name", "doc_key", "field", *[c for c in ("rule_no",) if c in matches.columns]]
     carried = [F.first(c).alias(c) for c in ("n_groups", "n_fields", "boost") if c in matches.columns]
     best = matches.groupBy(*field_keys, "group_no").agg(F.max("weight").alias("weight"), *carried)
     per_field = best.groupBy(*field_keys).agg(
@@ -44,7 +45,7 @@ def match_all_terms(matches: DataFrame, require_all: bool) -> DataFrame:
 
 
 def match_field_operator(matches: DataFrame, op: str = "or") -> DataFrame:
-    """Per document: field scores times their boost, summed; ``and`` needs every searched field."""
+    """Per document: scores of fields and rules times their boost, summed; ``and`` needs every one of them."""
     grouped = matches.groupBy("query_id", "index_name", "doc_key").agg(
         F.round(F.sum(F.col("boost") * F.col("weight")), 6).alias("raw_score"),
         F.count(F.lit(1)).alias("fields_matched"), F.first("n_fields").alias("n_fields"),
@@ -56,7 +57,7 @@ def match_field_operator(matches: DataFrame, op: str = "or") -> DataFrame:
 def score_bm25(
     matches: DataFrame, postings: DataFrame, stats: DataFrame, require_all: bool = False, op: str = "or"
 ) -> DataFrame:
-    """``raw_score = Σ field boost × Σ word max variant BM25`` per query and document.
+    """``raw_score = Σ rule boost × Σ word max variant BM25`` per query and document.
 
     Rows are placed by (query, document) once; the three aggregations that follow need no further
     shuffle.
@@ -69,9 +70,8 @@ def score_bm25(
 def fetch_window(matches: DataFrame, n: int | None = None) -> DataFrame:
     """The top ``n`` rows per query and index, before any later filter; all of them without ``n``.
 
-    Planned with a group limit below the shuffle, so a hot query ships at most n rows per task.
+    A hot query's rows are limited piece by piece first, so no task meets all of them.
     """
     if n is None:
         return matches.withColumn("fetch_rank", F.lit(None).cast("int"))
-    order = Window.partitionBy("query_id", "index_name").orderBy(F.desc("raw_score"), "doc_key")
-    return matches.withColumn("fetch_rank", F.row_number().over(order)).filter(F.col("fetch_rank") <= n)
+    return first_rows(matches, ["query_id", "index_name"], [F.desc("raw_score"), F.asc("doc_key")], n, "fetch_rank")

@@ -101,10 +101,15 @@ def resolve_field_rules(catalogue: DataFrame, field_rules: tuple[FieldRule, ...]
     Configured fields when there are any; otherwise every searchable field the index exposes,
     names at 10, titles at 5, the rest at 1; an index exposing none is searched by node name.
     """
-    configured = [r for r in field_rules if r.enabled and r.name.strip()]
     indexes = catalogue.groupBy("index_name").agg(
         F.collect_set(F.when(F.col("is_searchable"), F.col("field"))).alias("searchable")
     )
+    return indexes.select("index_name", F.inline(_rules_of(F.col("searchable"), field_rules)))
+
+
+def _rules_of(searchable: Column, field_rules: tuple[FieldRule, ...]) -> Column:
+    """The rules of one index as an array; ``searchable`` counts only where none are configured."""
+    configured = [r for r in field_rules if r.enabled and r.name.strip()]
 
     def rule_struct(name: str, boost: float, mode: str) -> Column:
         return F.struct(
@@ -113,20 +118,18 @@ def resolve_field_rules(catalogue: DataFrame, field_rules: tuple[FieldRule, ...]
         )
 
     if configured:
-        chosen = F.array(*[rule_struct(r.name, r.boost, r.match_mode) for r in configured])
-    else:
-        boost = lambda f: F.when(
-            f.isin(X.NODE_NAME, X.SYSTEM_NODE_NAME) | f.startswith(X.NODE_NAME + "_"), F.lit(10.0)
-        ).when(f.rlike("(title|heading|headline)$"), F.lit(5.0)).otherwise(F.lit(1.0))
-        discovered = F.transform(
-            "searchable",
-            lambda f: F.named_struct(
-                F.lit("field"), f, F.lit("boost"), boost(f), F.lit("match_mode"), F.lit("prefix")
-            ),
-        )
-        fallback = F.array(*[rule_struct(n, 1.0, "prefix") for n in FALLBACK_FIELDS])
-        chosen = F.when(F.size("searchable") > 0, discovered).otherwise(fallback)
-    return indexes.select("index_name", F.inline(chosen))
+        return F.array(*[rule_struct(r.name, r.boost, r.match_mode) for r in configured])
+    boost = lambda f: F.when(
+        f.isin(X.NODE_NAME, X.SYSTEM_NODE_NAME) | f.startswith(X.NODE_NAME + "_"), F.lit(10.0)
+    ).when(f.rlike("(title|heading|headline)$"), F.lit(5.0)).otherwise(F.lit(1.0))
+    discovered = F.transform(
+        F.array_sort(searchable),
+        lambda f: F.named_struct(
+            F.lit("field"), f, F.lit("boost"), boost(f), F.lit("match_mode"), F.lit("prefix")
+        ),
+    )
+    fallback = F.array(*[rule_struct(n, 1.0, "prefix") for n in FALLBACK_FIELDS])
+    return F.when(F.size(searchable) > 0, discovered).otherwise(fallback)
 
 
 def culture_fields(field: Column, cultures: Column, available: Column) -> Column:
@@ -150,37 +153,35 @@ def expand_cultures(fields: DataFrame, cultures: tuple[str, ...], catalogue: Dat
 def search_fields(queries: DataFrame, rules: RuleSet, stats: DataFrame) -> DataFrame:
     """Every row of ``queries`` (with its ``cultures``) for every field it searches.
 
-    Adds index_name, field, boost, match_mode and n_fields, the number of fields in that index.
+    Adds index_name, field, boost, match_mode, rule_no and n_fields, the number of rules times fields in that
+    index. Two rules on one field are two searches of it, told apart by ``rule_no``.
 
     What an index offers comes from its (schema-sized) field statistics as one scalar map, so the
-    choice is made inside each query's row. Request cultures override those of the rules.
+    choice is made inside each query's row. Request cultures override those of the rules. Without configured
+    fields, those marked ``is_searchable`` are searched.
     """
-    per_index = stats.groupBy("index_name").agg(F.collect_set("field").alias("fields"))
-    offered = per_index.agg(F.map_from_entries(F.collect_list(F.struct("index_name", "fields")))).scalar()
+    searchable = F.col("is_searchable") if "is_searchable" in stats.columns else F.lit(True)
+    per_index = stats.groupBy("index_name").agg(
+        F.collect_set("field").alias("fields"), F.collect_set(F.when(searchable, F.col("field"))).alias("searchable"),
+    )
+    entry = F.struct("index_name", F.struct("fields", "searchable").alias("offer"))
+    offered = per_index.agg(F.map_from_entries(F.collect_list(entry))).scalar()
     cultures = F.when(F.size("cultures") > 0, F.col("cultures")).otherwise(
         text_array(rules.cultures, lower=False)
     )
-    wanted = F.array(*[
-        F.struct(
-            F.lit(r.name.strip().lower()).alias("field"), F.lit(float(r.boost)).alias("boost"),
-            F.lit(r.match_mode).alias("match_mode"),
-        )
-        for r in rules.fields if r.enabled and r.name.strip()
-    ])
 
-    def resolved(available: Column) -> Column:
-        expanded = F.flatten(F.transform(wanted, lambda r: F.transform(
-            culture_fields(r["field"], F.col("wanted_cultures"), available),
+    def resolved(offer: Column) -> Column:
+        expanded = F.flatten(F.transform(_rules_of(offer["searchable"], rules.fields), lambda r, i: F.transform(
+            culture_fields(r["field"], F.col("wanted_cultures"), offer["fields"]),
             lambda f: F.named_struct(
-                F.lit("field"), f, F.lit("boost"), r["boost"], F.lit("match_mode"), r["match_mode"]
+                F.lit("field"), f, F.lit("boost"), r["boost"], F.lit("match_mode"), r["match_mode"], F.lit("rule_no"), i,
             ),
         )))
-        return F.filter(expanded, lambda r: F.array_contains(available, r["field"]))
+        return F.filter(expanded, lambda r: F.array_contains(offer["fields"], r["field"]))
 
     kept = [c for c in queries.columns if c != "cultures"]
-    chosen = queries.select(*kept, cultures.alias("wanted_cultures"), F.explode(offered).alias("index_name", "available"))
+    chosen = queries.select(*kept, cultures.alias("wanted_cultures"), F.explode(offered).alias("index_name", "offer"))
     if rules.index_names:
         chosen = chosen.filter(F.lower("index_name").isin([n.lower() for n in rules.index_names]))
-    chosen = chosen.select(*kept, "index_name", resolved(F.col("available")).alias("chosen"))
-    distinct = F.array_distinct(F.transform("chosen", lambda r: r["field"]))
-    return chosen.select(*kept, "index_name", F.size(distinct).alias("n_fields"), F.inline("chosen"))
+    chosen = chosen.select(*kept, "index_name", resolved(F.col("offer")).alias("chosen"))
+    return chosen.select(*kept, "index_name", F.size("chosen").alias("n_fields"), F.inline("chosen"))

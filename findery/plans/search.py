@@ -1,33 +1,34 @@
 """Whole searches: a table of queries against a frame of documents.
 
 Only keys and scores travel through matching and the fetch window. What the rules need of a
-document (flags, dates, facet and sort fields) joins the windowed rows; its texts join the page.
+document (flags, dates, facet and sort fields) comes from the index's columns and joins the windowed rows; its texts
+join the page. Scored rows are written once, and page, totals and facets are taken from them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from findery.functions import fields as X
 from findery.functions.text import tokens
 from findery.operators import dedup as DD, facets as FC, filters as FL, rank as R, sets as ST, suggest as SG
 from findery.operators import terms as TM
+from findery.operators.forward import PLACE, ForwardIndex, build_forward
 from findery.operators.match import match_words
 from findery.operators.postings import SearchIndex, build_postings
 from findery.operators.score import fetch_window, score_bm25
 from findery.rules import FieldRule, RuleSet
-
-ATTRIBUTES = [
-    "index_name", "doc_key", "node_id", "name", "type_alias", "index_type", "index_rank", "path", "culture",
-    "create_date", "update_date",
-]
+from findery.session import store
 
 
 @dataclass(frozen=True)
 class SearchResult:
-    """``hits`` all ranked survivors, ``page`` each query's rows, ``totals``, ``facets`` or null."""
+    """``scored`` all rows before facet filters, ``hits`` the survivors, ``page`` each query's rows with their rank,
+    ``totals``, ``facets`` or null."""
+
+    scored: DataFrame
 
     hits: DataFrame
     page: DataFrame
@@ -40,11 +41,13 @@ def searched_names(rules: RuleSet) -> list[str]:
 
 
 def index_for(docs: DataFrame, rules: RuleSet, cultures: bool = True) -> SearchIndex:
-    """Postings of the fields the rules search, stored before they are used.
+    """Postings of the fields the rules search (every searchable one, where they name none) and the columns they read,
+    stored before they are used.
 
     ``cultures=False`` states that no search asks for a culture, so variants are left out. A site searched again and again keeps its index with ``SearchIndex.write`` and passes it in.
     """
-    return build_postings(docs, searched_names(rules), cultures or bool(rules.cultures)).stored()
+    postings = build_postings(docs, searched_names(rules), cultures or bool(rules.cultures))
+    return postings.with_forward(docs, rules).stored()
 
 
 def runnable(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataFrame:
@@ -69,7 +72,7 @@ def query_words(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataF
     mode = F.when(F.col("_pos") == F.col("_size") - 1, F.col("match_mode")).otherwise("exact")
     return rows.select(
         "query_id", "index_name", "field", "group_no", F.col("word").alias("variant"),
-        mode.alias("match_mode"), "boost", "n_groups", "n_fields",
+        mode.alias("match_mode"), "boost", "rule_no", "n_groups", "n_fields",
     )
 
 
@@ -77,36 +80,17 @@ def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> Da
     """(query_id, index_name, doc_key, raw_score) before any window."""
     words = query_words(queries, rules, index)
     # A term may itself hold several tokens (a hyphen), whose first ones match exactly.
-    modes = {r.match_mode for r in rules.fields if r.enabled} | {"exact"}
+    named = {r.match_mode for r in rules.fields if r.enabled and r.name.strip()}
+    modes = (named or {"prefix"}) | {"exact"}
     matches = match_words(words, index.vocab, modes, rules.fuzziness).drop("match_mode", "variant")
     gated = index.postings.filter(FL.type_included(rules) & FL.type_not_excluded(rules))
     return score_bm25(matches, gated, index.stats, rules.all_terms, rules.operator)
 
 
-def _rule_fields(rules: RuleSet) -> list[str]:
-    """Stored fields the ranking rules read."""
-    names = [X.NAVI_HIDE, X.PUBLISHED, X.UPDATE_DATE, X.CREATE_DATE, *rules.hide_fields, rules.dedup_field]
-    names += [rules.recency.field] if rules.recency else []
-    names += [s.field for s in rules.sort_by] + [o.field for o in rules.sort_options]
-    names += [f.target for f in rules.facets]
-    return sorted({n.strip().lower() for n in names if n and n.strip()})
-
-
-def rule_attributes(docs: DataFrame, rules: RuleSet) -> DataFrame:
-    """Documents reduced to what ranking needs: the field map keeps no text nobody asked for."""
-    names = _rule_fields(rules)
-
-    def wanted(key: Column, _: Column) -> Column:
-        keep = key.isin(names + [X.SORT_PREFIX + n for n in names])
-        for name in (X.NAVI_HIDE, *[f.strip().lower() for f in rules.hide_fields if f.strip()]):
-            keep = keep | key.startswith(name + "_")
-        return keep
-
-    return docs.select(*ATTRIBUTES, F.map_filter("fields", wanted).alias("fields"))
-
-
-#: A browse listing is every query with every document; its rows are dealt out by this many shares.
-SHARES = 200
+def forward_of(docs: DataFrame, rules: RuleSet, index: SearchIndex) -> ForwardIndex:
+    """The index's own columns where they hold all that the rules read; otherwise the documents' field maps."""
+    kept = index.forward
+    return kept if kept is not None and kept.covers(rules) else build_forward(docs, rules)
 
 
 def browse_all(queries: DataFrame, docs: DataFrame, rules: RuleSet) -> DataFrame:
@@ -123,16 +107,20 @@ def browse_all(queries: DataFrame, docs: DataFrame, rules: RuleSet) -> DataFrame
     else:
         order = Window.partitionBy("index_name").orderBy("doc_key")
         first = first.withColumn("fetch_rank", F.row_number().over(order)).filter(F.col("fetch_rank") <= rules.window)
-    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    # As many shares as shuffle partitions, which grow with the data.
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     browse = queries.filter(R.is_browse()).select("query_id", shares.alias("_share"))
-    rows = first.withColumn("_share", F.pmod(F.xxhash64("doc_key"), F.lit(SHARES)).cast("int"))
+    rows = first.withColumn("_share", F.pmod(F.xxhash64("doc_key"), F.lit(count)).cast("int"))
     return browse.join(rows, "_share").select("query_id", "index_name", "doc_key", F.lit(0.0).alias("raw_score"), "fetch_rank")
 
 
-def windowed(queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchIndex, browse: bool) -> DataFrame:
-    """Rows of every query's fetch windows; browse queries join in when there can be any."""
+def windowed(queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchIndex, browse: bool | None = None) -> DataFrame:
+    """Rows of every query's fetch windows. Browse queries join in where the query table has any; the caller may say so."""
     ok = runnable(queries, rules, index)
     found = fetch_window(scored_matches(ok.filter(~R.is_browse()), rules, index), rules.window)
+    if browse is None:
+        browse = not queries.filter(R.is_browse()).isEmpty()
     if browse:
         found = found.unionByName(browse_all(ok, docs, rules))
     return found
@@ -140,15 +128,15 @@ def windowed(queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchI
 
 def ranked_hits(
     queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None, index: SearchIndex,
-    protected: DataFrame | None = None, browse: bool = False,
+    protected: DataFrame | None = None, browse: bool | None = None,
 ) -> DataFrame:
-    """Merged, source-filtered and scored rows: what facets are counted on."""
-    rows = windowed(queries, docs, rules, index, browse)
-    hits = rows.join(rule_attributes(docs, rules), ["index_name", "doc_key"])
-    # A query's rows are few by now. Placed by query once, every later window and join of theirs
-    # finds them in place.
-    hits = hits.repartition("query_id")
-    hits = ST.merge_indexes_first_wins(hits)
+    """Merged, source-filtered and scored rows: what facets are counted on.
+
+    No step gathers a query's rows: they are placed by document, by node and by key.
+    """
+    forward = forward_of(docs, rules, index)
+    rows = windowed(queries, forward.rows, rules, index, browse)
+    hits = ST.merge_indexes_first_wins(rows.join(forward.attributes(rules), PLACE))
     hits = FL.filter_subtree(hits, rules.root_ids)
     hits = FL.filter_excluded_nodes(hits, rules.excluded_ids, rules.exclude_descendants)
     flags = [X.NAVI_HIDE] if rules.respect_navi_hide else []
@@ -168,36 +156,41 @@ def ranked_hits(
 def search(
     queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None = None, *,
     index: SearchIndex | None = None, protected: DataFrame | None = None,
-    node_keys: DataFrame | None = None, browse: bool = False, cultures: bool = True,
+    node_keys: DataFrame | None = None, browse: bool | None = None, cultures: bool = True,
 ) -> SearchResult:
     """The whole search, in the order its results depend on: window, source rules, boosts, facet
     counts, facet filters, score floor, de-duplication, sort, page."""
     index = index or index_for(docs, rules, cultures)
-    scored = ranked_hits(queries, docs, rules, as_of, index, protected, browse)
+    scored = store(ranked_hits(queries, docs, rules, as_of, index, protected, browse))
     hits, facets = scored, None
     if rules.facets:
         facets = FC.facet_counts_excluding_self(scored, queries, rules.facets, as_of=as_of, node_keys=node_keys)
         hits = FC.apply_facet_filters(
             hits, queries, rules.facets, rules.minimum_active_filters, as_of=as_of, node_keys=node_keys
         )
-    hits = DD.dedup_identity(FL.filter_min_score(hits, rules.minimum_score, queries.filter(R.is_browse())))
-    if rules.dedup_field:
-        hits = DD.dedup_by_field(hits, rules.dedup_field)
-    hits = R.sort_multi(R.rank_hits(hits), rules.sort_by)
+    hits = FL.filter_min_score(hits, rules.minimum_score, queries.filter(R.is_browse()))
+    if rules.deduplicate:
+        hits = DD.dedup_identity(hits)
+        if rules.dedup_field:
+            hits = DD.dedup_by_field(hits, rules.dedup_field)
+    order, placed = R.rank_order(), hits
+    if rules.sort_by:
+        order = R.sort_order(hits, rules.sort_by, order[1:])
     if rules.sort_options:
-        hits = R.sort_by_option(hits, queries, rules.sort_options)
-    page, totals = R.page_slice(hits, queries, rules.page_size, rules.browse_page_size)
-    return SearchResult(hits, page, totals, facets)
+        placed = R.with_sort_alias(hits, queries, rules.sort_options)
+        order = R.option_order(placed, rules.sort_options, order[1:])
+    page, totals = R.page_slice(placed, queries, rules.page_size, rules.browse_page_size, order)
+    return SearchResult(scored, hits, page.drop("sort_alias"), totals, facets)
 
 
 def with_texts(page: DataFrame, docs: DataFrame) -> DataFrame:
     """Page rows with their documents' whole field maps, for description."""
-    return page.drop("fields").join(docs.select("index_name", "doc_key", "fields"), ["index_name", "doc_key"])
+    return page.drop("fields").join(docs.select(*PLACE, "fields"), PLACE)
 
 
 def search_batch(
     queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None = None, *,
-    index: SearchIndex | None = None, browse: bool = False, cultures: bool = True,
+    index: SearchIndex | None = None, browse: bool | None = None, cultures: bool = True,
 ) -> DataFrame:
     """Each query's result page as rows in rank order."""
     return search(queries, docs, rules, as_of, index=index, browse=browse, cultures=cultures).page

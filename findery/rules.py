@@ -103,6 +103,7 @@ class RuleSet:
     best_bets: tuple[BestBet, ...] = ()
     sort_by: tuple[SortRule, ...] = ()
     # results
+    deduplicate: bool = True
     dedup_field: str = ""
     facets: tuple[Facet, ...] = ()
     sort_options: tuple[SortOption, ...] = ()

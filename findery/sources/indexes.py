@@ -62,6 +62,11 @@ def index_stats(docs: DataFrame) -> DataFrame:
     ).withColumn("is_healthy", F.col("document_count") > 0)
 
 
+def searchable_name(name: Column) -> Column:
+    """Whether a stored field of undeclared type is searched where a profile names no fields."""
+    return _is_searchable(name, F.lit(DEFAULT_TYPE))
+
+
 def _is_searchable(name: Column, kind: Column) -> Column:
     return F.when(name.startswith("__"), name == X.SYSTEM_NODE_NAME).otherwise(
         ~name.isin(X.METADATA_FIELDS) & F.lower(kind).isin(SEARCHABLE_TYPES)

@@ -297,8 +297,8 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "curated_browse",
     """SELECT query_id, doc_key, rank FROM (SELECT query_id, doc_key, row_number() OVER (PARTITION BY query_id
-        ORDER BY score DESC, doc_key) AS rank FROM hits_orders WHERE query_id % 6 <> 0)
-    UNION ALL SELECT query_id, doc_key, rank FROM (SELECT DISTINCT query_id FROM hits_orders WHERE query_id % 6 = 0)
+        ORDER BY score DESC, doc_key) AS rank FROM hits_orders WHERE query_id % 4 <> 0)
+    UNION ALL SELECT query_id, doc_key, rank FROM (SELECT DISTINCT query_id FROM hits_orders WHERE query_id % 4 = 0)
       CROSS JOIN (VALUES ('12', 1), ('5', 2), ('900', 3)) AS p(doc_key, rank)""",
 )
 def curated_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
