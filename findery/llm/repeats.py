@@ -4,14 +4,14 @@
    equal ones the leftmost). Consecutive windows that share a minimiser's place are one super-k-mer. Equal windows have
    equal minimisers, so a window can only repeat if its minimiser stands at the head of two super-k-mers.
    Minimisers are counted first, and only super-k-mers of repeated ones travel.
-2. The words of each of those are cut out as one packed string and go to their minimiser's bucket. There their windows are
-   sorted, whole words and all, and equal neighbours counted: hashes choose buckets and decide nothing.
-3. A bucket of more than `crowd` super-k-mers, as a passage of very many documents makes, is no single task's: its
-   equal strings are counted before they are shuffled, and the windows of the different ones are grouped as rows, partial
-   counts first. The result is the same.
-4. A document's words are read once more to leave out those covered by repeated windows.
-
-Every task holds one text, or one bucket of at most `crowd` strings of at most 2 * width - gram words. Words are the runs
+2. The words of each of those are cut out as one packed string, named by its 128-bit digest. Equal strings of a task are one
+   row with a list of places, so a passage of very many documents is few rows. Strings go to their minimiser's bucket;
+   there their windows are sorted, whole words and all, and equal neighbours counted.
+3. A bucket of more than `crowd` rows, as a passage with many different surroundings makes, is no single task's: the
+   windows of its strings are grouped as rows, partial counts first. The result is the same.
+4. The marks of a string go back to its places, and a document's words are read once more to leave out those covered.
+
+Every task holds one text, some thousand packed strings, or one bucket of at most `crowd` strings of at most 2 * width - gram words. Words are the runs
 between ASCII white space, compared as they are. Null and empty texts have no words; texts shorter than a window
 lose none; repeated rows are places of their own, so they repeat each other; null doc_ids are kept; other
 columns are ignored; an empty table gives no rows.
@@ -33,14 +33,14 @@ from findery.llm.common import grouped, located
 from findery.session import store
 
 SCANNED = "file long, row long, doc_id long, n_words long, sha string, minis array<long>, starts array<int>, counts array<int>"
-PIECES = "file long, row long, start int, mini long, packed binary"
-MASKS = "file long, row long, start int, mask long"
+PIECES = "mini long, digest binary, packed binary, places array<struct<file:long,row:long,start:int>>"
+MASKS = "digest binary, mask long"
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Bytes that are hashed at once, and rows that are sent at once.
-BLOCK, SENT = 1 << 20, 2_000
+#: Bytes that are hashed at once, and places among which equal strings are sought before they are sent.
+BLOCK, SENT = 1 << 20, 10_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -161,26 +161,31 @@ def scan(placed: DataFrame, file: str, row: str, width: int, gram: int) -> DataF
 
 
 def packed_pieces(wanted: DataFrame, width: int) -> DataFrame:
-    """The words of each wanted super-k-mer of (file, row, text, hits) as one string."""
+    """The words of each wanted super-k-mer of (file, row, text, hits) as one string, with the places that have it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        held: dict[bytes, tuple[int, bytes, list[dict]]] = {}
+        count = 0
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("file", pa.int64()), ("row", pa.int64()), ("start", pa.int32())]))]
 
         def send() -> pa.RecordBatch:
-            arrays = [pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["file", "row", "start", "mini", "packed"])
+            columns = [[v[0] for v in held.values()], list(held), [v[1] for v in held.values()], [v[2] for v in held.values()]]
+            arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["mini", "digest", "packed", "places"])
 
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
             for file, row, text, hits in zip(*(batch.column(c).to_pylist() for c in ("file", "row", "text", "hits")), strict=True):
                 words = text.encode().split()
                 for hit in hits:
                     start = hit["start"]
-                    out.append((file, row, start, hit["mini"], b" ".join(words[start : start + hit["count"] + width - 1])))
-                    if len(out) >= SENT:
+                    packed = b" ".join(words[start : start + hit["count"] + width - 1])
+                    digest = hashlib.blake2b(packed, digest_size=16).digest()
+                    held.setdefault(digest, (hit["mini"], packed, []))[2].append({"file": file, "row": row, "start": start})
+                    count += 1
+                    if count % SENT == 0:
                         yield send()
-        if out:
+        if held:
             yield send()
 
     return wanted.mapInArrow(run, PIECES)
@@ -216,43 +221,43 @@ def repeated_masks(times: dict[bytes, int], width: int) -> dict[bytes, int]:
     return masks
 
 
-def bucket_masks(pieces: DataFrame, width: int) -> DataFrame:
+def bucket_masks(strings: DataFrame, width: int) -> DataFrame:
     """Repeated windows of buckets that one task can hold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, ["mini"]):
-            masks = repeated_masks(Counter(r["packed"] for r in rows), width)
-            found = [(r["file"], r["row"], r["start"], masks[r["packed"]]) for r in rows if masks[r["packed"]]]
+            times: Counter = Counter()
+            for r in rows:
+                times[r["packed"]] += r["times"]
+            masks = repeated_masks(times, width)
+            found = {r["digest"]: masks[r["packed"]] for r in rows if masks[r["packed"]]}
             if found:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["file", "row", "start", "mask"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["digest", "mask"])
 
-    return pieces.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, MASKS)
+    return strings.repartition("mini").sortWithinPartitions("mini").mapInArrow(run, MASKS)
 
 
-def crowded_masks(pieces: DataFrame, width: int) -> DataFrame:
+def crowded_masks(strings: DataFrame, width: int) -> DataFrame:
     """The same of crowded buckets: equal strings counted, then the windows of the different ones as rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strings, times = batch.column("packed").to_pylist(), batch.column("times").to_pylist()
-            for low in range(0, len(strings), 100):
-                rows = [(p, t, i, w) for p, t in zip(strings[low : low + 100], times[low : low + 100], strict=True)
+            columns = [batch.column(c).to_pylist() for c in ("digest", "packed", "times")]
+            for low in range(0, batch.num_rows, 100):
+                rows = [(d, t, i, w) for d, p, t in zip(*(c[low : low + 100] for c in columns), strict=True)
                         for i, w in enumerate(windows_of(p, width))]
                 kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["packed", "times", "i", "window"]
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["digest", "times", "i", "window"]
                 )
 
-    different = store(pieces.groupBy("packed").agg(F.count("*").alias("times")))
+    different = store(strings.groupBy("digest", "packed").agg(F.sum("times").alias("times")))
     # A string that stands in two places repeats all its windows, whatever else they meet.
-    often = different.where("times > 1").select("packed", F.expr(f"shiftleft(1L, {_windows(width)}) - 1").alias("mask"))
-    windows = different.mapInArrow(run, "packed binary, times long, i int, window binary")
-    again = windows.groupBy("window").agg(F.sum("times").alias("places")).where("places > 1")
-    met = windows.where("times = 1").join(again, "window").groupBy("packed").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
-    return pieces.join(often.unionByName(met), "packed").select("file", "row", "start", "mask")
+    often = different.where("times > 1").select("digest", F.expr(f"shiftleft(1L, {_windows(width)}) - 1").alias("mask"))
+    windows = different.mapInArrow(run, "digest binary, times long, i int, window binary")
+    again = windows.groupBy("window").agg(F.sum("times").alias("spots")).where("spots > 1")
+    met = windows.where("times = 1").join(again, "window").groupBy("digest").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    return often.unionByName(met)
 
 
 def _windows(width: int) -> str:
@@ -295,13 +300,16 @@ def repeated_windows(
     hits = heads.join(repeated, "mini").groupBy("file", "row").agg(F.collect_list(F.struct("mini", "start", "count")).alias("hits"))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     texts = store(placed.select(F.col(file).alias("file"), F.col(row).alias("row"), text).join(hits, ["file", "row"]))
-    pieces = packed_pieces(texts, width)
-    large = store(repeated.where(F.col("times") > crowd).select("mini"))
+    pieces = store(packed_pieces(texts, width))
+    strings = pieces.select("mini", "digest", "packed", F.size("places").cast("long").alias("times"))
+    large = store(strings.groupBy("mini").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd).select("mini"))
     if large.isEmpty():
-        return bucket_masks(pieces, width), texts
-    pieces = store(pieces)
-    few, many = pieces.join(large, "mini", "left_anti"), pieces.join(large, "mini", "left_semi")
-    return bucket_masks(few, width).unionByName(crowded_masks(store(many), width)), texts
+        masks = bucket_masks(strings, width)
+    else:
+        few, many = strings.join(large, "mini", "left_anti"), strings.join(large, "mini", "left_semi")
+        masks = bucket_masks(few, width).unionByName(crowded_masks(many, width))
+    marked = pieces.select("digest", "places").join(masks, "digest").select("mask", F.inline("places"))
+    return marked.select("file", "row", "start", "mask"), texts
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, crowd: int = 2_000) -> DataFrame:
