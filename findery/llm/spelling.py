@@ -4,7 +4,8 @@ A word's bigrams, rarest first, start with a prefix of three: one edit destroys
 prefix, dynamic programming chooses the two that do not overlap and are rarest together: its pivots. One edit
 cannot touch both, so of two near words the one whose prefix ends earlier in the global order has a pivot among the other's
 prefix. Pivots are therefore joined with prefixes on the gram and on where it may stand: at the same place in a word
-of the same length, and at most one place along in one a letter longer or shorter. The edit distance is verified
+of the same length, and at most one place along in one a letter longer or shorter. The edit lies on one side of a pivot that
+survives, so everything on its other side has to be equal, and is part of the join's key. The edit distance is verified
 inside that join, so candidates are never written out.
 
 Bigrams are counted over the whole vocabulary; their table is bounded by the alphabet (90 letters: 8,100 pairs). Words are
@@ -82,11 +83,15 @@ def keyed(vocab: DataFrame) -> DataFrame:
             words = batch.column("word").to_pylist()
             lasts, prefixes, pivots = [], [], []
             for word in words:
-                order = sorted((ranks[word[p : p + GRAM]][0], p) for p in range(len(word) - GRAM + 1))[:PREFIX]
+                every = sorted((ranks[word[p : p + GRAM]][0], p) for p in range(len(word) - GRAM + 1))
+                order = every[:PREFIX]
                 placed = sorted(order, key=lambda g: g[1])
                 chosen = disjoint([(p, table[rank][0]) for rank, p in placed], PIVOTS)
-                lasts.append(order[-1][0] << 40 | order[-1][1])
-                prefixes.append([{"gram": rank, "pos": p} for rank, p in order])
+                last, end = order[-1]
+                lasts.append(last << 40 | end)
+                # In a run of one letter the last gram stands once more a place along, where a moved pivot may have to find it.
+                again = [(last, end + 1)] if (last, end + 1) in every[PREFIX : PREFIX + 1] else []
+                prefixes.append([{"gram": rank, "pos": p} for rank, p in order + again])
                 pivots.append([{"gram": placed[i][0], "pos": placed[i][1]} for i in chosen])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -102,16 +107,22 @@ def keyed(vocab: DataFrame) -> DataFrame:
 def near_pairs(vocab: DataFrame) -> DataFrame:
     """(a, b), a before b, of all words exactly one edit apart. Words need PREFIX + 1 letters at least."""
     marked = store(keyed(vocab))
-    prefixes = marked.select(F.col("word").alias("other"), F.col("last").alias("other_last"), "length", F.inline("prefix"))
-    # Where the other word may hold a pivot: (how much longer it is, how far the pivot moves).
-    moves = F.array(*[F.struct(F.lit(d).alias("longer"), F.lit(m).alias("moved")) for d, m in ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))])
-    pivots = marked.select("word", "last", F.col("length").alias("own"), F.inline("pivots")).select(
-        "word", "last", "own", "gram", F.col("pos").alias("at"), F.inline(moves)).select(
-        "word", "last", "gram", (F.col("at") + F.col("moved")).alias("pos"), (F.col("own") + F.col("longer")).alias("length"))
-    left, right = pivots.alias("l"), prefixes.alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("gram", "pos", "length")]
+
+    def key(word: str, side: Column, at: Column, pos: Column, length: Column) -> Column:
+        """Gram (within the text on its side), place, length and side as one number; words themselves are verified."""
+        text = F.when(side == "left", F.substr(word, F.lit(1), at + GRAM)).otherwise(F.substr(word, at + 1))
+        return F.xxhash64("gram", pos, length, side, text).alias("key")
+
+    sides = F.array(F.lit("left"), F.lit("right"))
+    prefixes = marked.select("word", "last", "length", F.inline("prefix")).select("*", F.explode(sides).alias("side")).select(
+        F.col("word").alias("other"), F.col("last").alias("other_last"), key("word", F.col("side"), F.col("pos"), F.col("pos"), F.col("length")))
+    # Where the other word may hold a pivot: (how much longer it is, how far the pivot moves, which side is unchanged).
+    cases = ((0, 0, "left"), (0, 0, "right"), (1, 0, "left"), (1, 1, "right"), (-1, 0, "left"), (-1, -1, "right"))
+    moves = F.array(*[F.struct(F.lit(d).alias("longer"), F.lit(m).alias("moved"), F.lit(s).alias("side")) for d, m, s in cases])
+    pivots = marked.select("word", "last", "length", F.inline("pivots")).select("*", F.inline(moves)).select(
+        "word", "last", key("word", F.col("side"), F.col("pos"), F.col("pos") + F.col("moved"), F.col("length") + F.col("longer")))
     verified = (F.col("last") <= F.col("other_last")) & (F.levenshtein("word", "other", 1) == 1)
-    met = left.join(right, [*same, verified])
+    met = pivots.alias("l").join(prefixes.alias("r"), (F.col("l.key") == F.col("r.key")) & verified)
     return met.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
 
 

@@ -67,6 +67,13 @@ def test_small_alphabets_have_repeated_grams_and_long_chains(spark):
     assert any(w[1] and w[1] != w[2] for w in want)
 
 
+def test_runs_of_one_letter(spark):
+    """Grams that repeat side by side, where a pivot moves onto its own repeat."""
+    words = {a * i + b * j + c * k for a, b, c in ("xyx", "xyz", "xxy", "yxx") for i in range(6) for j in range(6) for k in range(6)}
+    text = " ".join(w for w in sorted(words) if len(w) >= 5 for _ in range(3))
+    assert got(spelling_forms(spark.createDataFrame([(1, text)], "doc_id long, text string"))) == plain([(1, text)])
+
+
 def test_chain_of_forms(spark):
     chain = ["aaaaaaa", "aaaaaab", "aaaaabb", "aaaabbb", "aaabbbb", "aabbbbb"]
     rows = [(1, " ".join(w for i, w in enumerate(chain) for _ in range(3 * 2**i)))]
