@@ -3,12 +3,20 @@
 Every function takes query words (``variant``, with ``query_id, group_no, variant_no`` and
 optionally ``index_name`` and ``field``) and a vocabulary, and returns the words with the
 vocabulary terms they match.
+
+Words are matched once however many queries ask for them: the different ones and their keys are written first, so their
+size is known, and a few of them meet the vocabulary's keys in its scan, before anything is shuffled. A kept index has
+the vocabulary's keys as a table (``term_keys``); otherwise they are made while the vocabulary is read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from findery.session import store
+
 MAX_EDITS = 2
 
 
@@ -30,13 +38,34 @@ def _prefix(word: Column) -> Column:
     return F.substring(word, 1, 3)
 
 
-def match_prefix(query_terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Joined on the first three characters; a term also offers its first one and two."""
-    words = query_terms.withColumn("word", F.lower("variant")).withColumn("key", _prefix(F.col("word")))
-    keys = F.array_distinct(F.array(*[F.substring("term", 1, n) for n in (1, 2, 3)]))
-    keyed = vocab.withColumn("key", F.explode(keys))
-    joined = words.join(keyed, [*_shared(query_terms), "key"])
-    return _out(joined.filter(F.col("term").startswith(F.col("word"))), query_terms)
+def _start_keys(term: Column) -> Column:
+    """A term's first one, two and three characters."""
+    return F.array_distinct(F.array(*[F.substring(term, 1, n) for n in (1, 2, 3)]))
+
+
+def _by_keys(
+    query_terms: DataFrame, vocab: DataFrame, kind: str, word_keys: Callable[[Column], Column],
+    verify: Callable[[Column, Column], Column], keys: DataFrame | None,
+) -> DataFrame:
+    """Query words with the terms that share a key with them and pass ``verify(term, word)``."""
+    shared = _shared(query_terms)
+    words = query_terms.withColumn("word", F.lower("variant"))
+    asked = store(words.select(*shared, "word").distinct().withColumn("key", F.explode(word_keys(F.col("word")))))
+    if keys is None:
+        keyed = vocab.withColumn("key", F.explode(KEYS_OF[kind](F.col("term"))))
+    else:
+        keyed = keys.filter(F.col("kind") == kind).drop("kind")
+    met = keyed.join(asked, [*shared, "key"]).filter(verify(F.col("term"), F.col("word")))
+    own = [c for c in ("index_name", "field") if c in vocab.columns]
+    pairs = met.select(*own, "word", "term", "df").distinct()
+    return _out(words.join(pairs, [*shared, "word"]), query_terms)
+
+
+def match_prefix(query_terms: DataFrame, vocab: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Terms that start with the word, joined on its first three characters; a term also offers its first one and two."""
+    return _by_keys(
+        query_terms, vocab, "prefix", lambda w: F.array(_prefix(w)), lambda term, word: term.startswith(word), keys
+    )
 
 
 def _grams(word: Column) -> Column:
@@ -49,12 +78,11 @@ def _grams(word: Column) -> Column:
     return F.array_distinct(F.concat(of_size(1), of_size(2), of_size(3)))
 
 
-def match_wildcard(query_terms: DataFrame, vocab: DataFrame) -> DataFrame:
+def match_wildcard(query_terms: DataFrame, vocab: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Terms containing the word, joined on its first three characters."""
-    words = query_terms.withColumn("word", F.lower("variant")).withColumn("key", _prefix(F.col("word")))
-    keyed = vocab.withColumn("key", F.explode(_grams(F.col("term"))))
-    joined = words.join(keyed, [*_shared(query_terms), "key"])
-    return _out(joined.filter(F.col("term").contains(F.col("word"))), query_terms)
+    return _by_keys(
+        query_terms, vocab, "wildcard", lambda w: F.array(_prefix(w)), lambda term, word: term.contains(word), keys
+    )
 
 
 def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
@@ -103,25 +131,39 @@ def allowed_edits(word: Column, fuzziness: float) -> Column:
     return F.least(F.lit(MAX_EDITS), F.floor((1 - fuzziness) * F.length(word) + 1e-9).cast("int"))
 
 
-def match_fuzzy(query_terms: DataFrame, vocab: DataFrame, fuzziness: float = 0.8) -> DataFrame:
+def match_fuzzy(
+    query_terms: DataFrame, vocab: DataFrame, fuzziness: float = 0.8, keys: DataFrame | None = None
+) -> DataFrame:
     """Terms within an edit ceiling.
 
     A term cut into d + 1 pieces keeps one piece whole under d edits, so the join is on pieces: a
     handful of keys per vocabulary term, and the moved positions are listed on the query side.
     """
-    words = query_terms.withColumn("word", F.lower("variant")).withColumn(
-        "edits", allowed_edits(F.lower("variant"), fuzziness)
-    )
-    keys = F.lit(None).cast("array<string>")
-    for d in range(MAX_EDITS, -1, -1):
-        keys = F.when(F.col("edits") == d, _word_keys(F.col("word"), d)).otherwise(keys)
-    words = words.withColumn("key", F.explode(keys))
-    keyed = vocab.withColumn("key", F.explode(F.array_distinct(_term_keys(F.col("term")))))
-    joined = words.join(keyed, [*_shared(query_terms), "key"])
-    close = joined.filter(F.levenshtein("term", "word", MAX_EDITS) >= 0).filter(
-        F.levenshtein("term", "word") <= F.col("edits")
-    )
-    return _out(close, query_terms).distinct()
+    def word_keys(word: Column) -> Column:
+        edits, found = allowed_edits(word, fuzziness), F.lit(None).cast("array<string>")
+        for d in range(MAX_EDITS, -1, -1):
+            found = F.when(edits == d, _word_keys(word, d)).otherwise(found)
+        return found
+
+    def close(term: Column, word: Column) -> Column:
+        edits = F.levenshtein(term, word, MAX_EDITS)
+        return (edits >= 0) & (edits <= allowed_edits(word, fuzziness))
+
+    return _by_keys(query_terms, vocab, "fuzzy", word_keys, close, keys)
+
+
+KEYS_OF: dict[str, Callable[[Column], Column]] = {
+    "prefix": _start_keys, "wildcard": _grams, "fuzzy": lambda term: F.array_distinct(_term_keys(term)),
+}
+
+
+def term_keys(vocab: DataFrame, kinds: tuple[str, ...] = tuple(KEYS_OF)) -> DataFrame:
+    """(kind, key, index_name, field, term, df): the vocabulary under every key by which a word may ask for it."""
+    rows = None
+    for kind in kinds:
+        keyed = vocab.select(F.lit(kind).alias("kind"), F.explode(KEYS_OF[kind](F.col("term"))).alias("key"), *vocab.columns)
+        rows = keyed if rows is None else rows.unionByName(keyed)
+    return rows
 
 
 MODES = {
@@ -129,7 +171,9 @@ MODES = {
 }
 
 
-def match_words(words: DataFrame, vocab: DataFrame, modes: set[str], fuzziness: float) -> DataFrame:
+def match_words(
+    words: DataFrame, vocab: DataFrame, modes: set[str], fuzziness: float, keys: DataFrame | None = None
+) -> DataFrame:
     """Words with a ``match_mode`` column, each matched in its own mode.
 
     ``modes`` are those the rules name, so modes nobody asked for are not planned.
@@ -137,6 +181,9 @@ def match_words(words: DataFrame, vocab: DataFrame, modes: set[str], fuzziness:
     found = None
     for mode in sorted(modes):
         rows = words.filter(F.col("match_mode") == mode)
-        part = match_fuzzy(rows, vocab, fuzziness) if mode == "fuzzy" else MODES[mode](rows, vocab)
+        if mode == "fuzzy":
+            part = match_fuzzy(rows, vocab, fuzziness, keys)
+        else:
+            part = match_exact(rows, vocab) if mode == "exact" else MODES[mode](rows, vocab, keys)
         found = part if found is None else found.unionByName(part)
     return found

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from findery.functions import fields as X, text as T
 from findery.operators.forward import ForwardIndex, build_forward, read_forward
+from findery.operators.match import term_keys
 from findery.operators.terms import FALLBACK_FIELDS
 from findery.rules import RuleSet
 from findery.session import store
@@ -26,12 +27,13 @@ KEYS = ["index_name", "field"]
 @dataclass(frozen=True)
 class SearchIndex:
     """postings(index, field, term, doc_key, tf, doc_len, type), vocab(df), stats(n_docs, avg_len, is_searchable), and
-    optionally what rules read of a document."""
+    optionally what rules read of a document and the keys of the vocabulary."""
 
     postings: DataFrame
     vocab: DataFrame
     stats: DataFrame
     forward: ForwardIndex | None = None
+    keys: DataFrame | None = None
 
     def with_forward(self, docs: DataFrame, rules: RuleSet) -> SearchIndex:
         return replace(self, forward=build_forward(docs, rules))
@@ -42,6 +44,9 @@ class SearchIndex:
         kept = from_postings(self.postings.sparkSession.read.parquet(f"{path}/postings"))
         kept.vocab.write.mode("overwrite").partitionBy(*KEYS).parquet(f"{path}/vocab")
         kept.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        # Sorted by key, so that a file holds a range of keys and a reader skips the others by their bounds.
+        keys = term_keys(self.postings.sparkSession.read.parquet(f"{path}/vocab"))
+        keys.repartitionByRange("kind", "key").sortWithinPartitions("kind", "key").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/keys")
         if self.forward:
             self.forward.write(path)
 
@@ -62,7 +67,7 @@ def from_postings(postings: DataFrame) -> SearchIndex:
 
 def read_index(spark: SparkSession, path: str) -> SearchIndex:
     tables = [spark.read.parquet(f"{path}/{t}") for t in ("postings", "vocab", "stats")]
-    return SearchIndex(*tables, read_forward(spark, path))
+    return SearchIndex(*tables, read_forward(spark, path), spark.read.parquet(f"{path}/keys"))
 
 
 def indexed_fields(docs: DataFrame, names: list[str] | None = None, variants: bool = True) -> DataFrame:

@@ -69,13 +69,13 @@ def describe_hits_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words searched per text query: the first two of its first document's name."""
+    """Words searched per text query: those of its first document's name."""
     first = T.hits_text(spark, sf_dir).groupBy("query_id").agg(F.min_by("name", "node_id").alias("name"))
     letters = F.trim(F.regexp_replace("name", r"[^\p{L}]+", " "))
-    return term_groups(first.select("query_id", F.array_join(F.slice(F.split(letters, " "), 1, 2), " ").alias("term")))
+    return term_groups(first.select("query_id", letters.alias("term")))
 
 
-_TERMS = r"""(SELECT query_id, '(?i)(' || array_to_string(list_transform(list_distinct(string_split(trim(regexp_replace(name, '[^\p{L}]+', ' ', 'g')), ' ')[1:2]),
+_TERMS = r"""(SELECT query_id, '(?i)(' || array_to_string(list_transform(list_distinct(string_split(trim(regexp_replace(name, '[^\p{L}]+', ' ', 'g')), ' ')),
     lambda w: w || '[\p{L}\p{M}\p{N}_]*'), '|') || ')' AS pat
   FROM (SELECT query_id, min_by(name, node_id) AS name FROM hits_text GROUP BY ALL))"""
 _SOURCES = f"""(SELECT query_id, doc_key, source, pat, length(string_split_regex(source, pat)[1]) AS pos,

@@ -119,12 +119,12 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TM.term_groups(T.q_text(spark, sf_dir))
+    return TM.term_groups(T.q_words(spark, sf_dir))
 
 
 def _match_sql(variant: str, condition: str) -> str:
-    return f"""SELECT w.query_id, w.group_no, w.variant, v.field, v.term, v.df
-    FROM (SELECT query_id, group_no, {variant} AS variant FROM words_text) w
+    return f"""SELECT w.query_id, 0 AS group_no, w.variant, v.field, v.term, v.df
+    FROM (SELECT query_id, {variant} AS variant FROM q_words) w
     JOIN vocab_text v ON {condition}"""
 
 
@@ -132,24 +132,22 @@ def _matched(frame: DataFrame) -> DataFrame:
     return frame.select("query_id", "group_no", "variant", "field", "term", "df")
 
 
-@register("match_exact", _match_sql("variant", "v.term = w.variant"))
+@register("match_exact", _match_sql("term", "v.term = w.variant"))
 def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(M.match_exact(_words(spark, sf_dir), _index(spark, sf_dir).vocab))
 
 
-@register("match_prefix", _match_sql("substring(variant, 1, 5)", "starts_with(v.term, w.variant)"))
+@register("match_prefix", _match_sql("term", "starts_with(v.term, w.variant)"))
 def match_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir).withColumn("variant", F.substring("variant", 1, 5))
-    return _matched(M.match_prefix(words, _index(spark, sf_dir).vocab))
+    return _matched(M.match_prefix(_words(spark, sf_dir), _index(spark, sf_dir).vocab))
 
 
-@register("match_wildcard", _match_sql("substring(variant, 2, 6)", "contains(v.term, w.variant)"))
+@register("match_wildcard", _match_sql("term", "contains(v.term, w.variant)"))
 def match_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _words(spark, sf_dir).withColumn("variant", F.substring("variant", 2, 6))
-    return _matched(M.match_wildcard(words, _index(spark, sf_dir).vocab))
+    return _matched(M.match_wildcard(_words(spark, sf_dir), _index(spark, sf_dir).vocab))
 
 
-_BAD = "substring(variant, 1, 2) || substring(variant, 4)"
+_BAD = "substring(term, 1, 2) || substring(term, 4)"
 
 
 # DuckDB measures edits in bytes, so letters of two bytes are first swapped for unused capitals.
@@ -157,42 +155,58 @@ def _ascii(expr: str) -> str:
     return f"translate({expr}, 'áàâäçéèêëíìîïñóòôöúùûüß', 'ABCDEFGHIJKLMNOPQRSTUVW')"
 
 
-@register("match_fuzzy", _match_sql(
-    _BAD,
-    f"abs(length(v.term) - length(w.variant)) <= 2 AND levenshtein({_ascii('v.term')}, {_ascii('w.variant')}) "
-    "<= least(2, CAST(floor(0.2 * length(w.variant) + 1e-9) AS INT))",
-))
-def match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fuzzy_sql(fuzziness: str) -> str:
+    return _match_sql(
+        _BAD,
+        f"abs(length(v.term) - length(w.variant)) <= 2 AND levenshtein({_ascii('v.term')}, {_ascii('w.variant')}) "
+        f"<= least(2, CAST(floor((1 - {fuzziness}) * length(w.variant) + 1e-9) AS INT))",
+    )
+
+
+def _misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.concat(F.substring("variant", 1, 2), F.substring("variant", 4, 1000))
-    words = _words(spark, sf_dir).withColumn("variant", bad)
-    return _matched(M.match_fuzzy(words, _index(spark, sf_dir).vocab))
+    return _words(spark, sf_dir).withColumn("variant", bad)
+
+
+@register("match_fuzzy", _fuzzy_sql("0.8"))
+def match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(M.match_fuzzy(_misspelt(spark, sf_dir), _index(spark, sf_dir).vocab))
+
+
+@register("match_fuzzy_wide", _fuzzy_sql("0.5"))
+def match_fuzzy_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of four letters and more may differ by two edits, short ones by one."""
+    return _matched(M.match_fuzzy(_misspelt(spark, sf_dir), _index(spark, sf_dir).vocab, 0.5))
 
 
 _WEIGHTS = bm25_sql("""SELECT w.query_id, w.group_no, v.index_name, v.field, v.term FROM words_text w
-  JOIN vocab_text v ON starts_with(v.term, substring(w.variant, 1, 6)) WHERE v.field IN ('nodename', 'bodytext')""")
+  JOIN vocab_text v ON starts_with(v.term, w.variant) WHERE v.field IN ('nodename', 'bodytext')""")
 
 
-def _scored_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, P.SearchIndex]:
-    index = _index(spark, sf_dir)
-    words = _words(spark, sf_dir).withColumn("variant", F.substring("variant", 1, 6))
+def _matches(spark: SparkSession, sf_dir: str, index: P.SearchIndex) -> DataFrame:
+    """All words of each passage by their beginnings, names at 10."""
+    queries = T.q_text(spark, sf_dir).withColumn("n_groups", F.size(F.split("term", " ")))
     vocab = index.vocab.filter(F.col("field").isin("nodename", "bodytext"))
-    matches = M.match_prefix(words, vocab).withColumns({
-        "boost": F.when(F.col("field") == "nodename", 10.0).otherwise(1.0),
-        "n_groups": F.lit(2), "n_fields": F.lit(2),
+    return M.match_prefix(TM.term_groups(queries, carry=("n_groups",)), vocab).withColumns({
+        "boost": F.when(F.col("field") == "nodename", 10.0).otherwise(1.0), "n_fields": F.lit(2),
     })
-    return S.posting_matches(matches, index.postings, index.stats), index
+
+
+def _scored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return S.posting_matches(_matches(spark, sf_dir, index), index.postings, index.stats)
 
 
 def _per_field(require_all: str) -> str:
     return f"""SELECT query_id, field, doc_key, sum(weight) AS weight FROM (
       SELECT query_id, field, doc_key, group_no, max(weight) AS weight FROM ({_WEIGHTS}) GROUP BY ALL)
-    GROUP BY query_id, field, doc_key HAVING count(*) >= {require_all}"""
+    JOIN (SELECT query_id, len(string_split(term, ' ')) AS n_words FROM q_text) USING (query_id)
+    GROUP BY query_id, field, doc_key, n_words HAVING count(*) >= {require_all}"""
 
 
-@register("match_all_terms", f"SELECT query_id, field, doc_key, round(weight, 6) AS weight FROM ({_per_field('2')})")
+@register("match_all_terms", f"SELECT query_id, field, doc_key, round(weight, 6) AS weight FROM ({_per_field('n_words')})")
 def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted, _ = _scored_fields(spark, sf_dir)
-    rows = S.match_all_terms(weighted, True)
+    rows = S.match_all_terms(_scored_fields(spark, sf_dir), True)
     return rows.select("query_id", "field", "doc_key", F.round("weight", 6).alias("weight"))
 
 
@@ -202,8 +216,7 @@ def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({_per_field('1')}) GROUP BY ALL HAVING count(*) = 2""",
 )
 def match_field_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted, _ = _scored_fields(spark, sf_dir)
-    return S.match_field_operator(S.match_all_terms(weighted, False), "and").drop("index_name")
+    return S.match_field_operator(S.match_all_terms(_scored_fields(spark, sf_dir), False), "and").drop("index_name")
 
 
 _SCORED = f"""SELECT query_id, doc_key, round(sum(CASE WHEN field = 'nodename' THEN 10 ELSE 1 END * weight), 6) AS raw_score
@@ -212,13 +225,7 @@ _SCORED = f"""SELECT query_id, doc_key, round(sum(CASE WHEN field = 'nodename' T
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    words = _words(spark, sf_dir).withColumn("variant", F.substring("variant", 1, 6))
-    vocab = index.vocab.filter(F.col("field").isin("nodename", "bodytext"))
-    matches = M.match_prefix(words, vocab).withColumns({
-        "boost": F.when(F.col("field") == "nodename", 10.0).otherwise(1.0),
-        "n_groups": F.lit(2), "n_fields": F.lit(2),
-    })
-    return S.score_bm25(matches, index.postings, index.stats)
+    return S.score_bm25(_matches(spark, sf_dir, index), index.postings, index.stats)
 
 
 @register("score_bm25", _SCORED)

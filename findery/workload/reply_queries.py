@@ -26,17 +26,17 @@ def _flat(plans: DataFrame) -> DataFrame:
     return plans.select("query_id", "term", F.array_join("expansions", ",").alias("expansions"), filters.alias("filters"), "sort")
 
 
-# What each of the eight reply shapes holds, worked out from the passage's first words.
-_WORDS = r"""(SELECT item_id AS query_id, item_id % 8 AS kind, w, w[1] || coalesce(' ' || w[2], '') AS t,
+# What each of the eight reply shapes holds, worked out from the passage's words; a term has at most 300 characters.
+_WORDS = r"""(SELECT item_id AS query_id, item_id % 8 AS kind, w, array_to_string(w, ' ') AS t,
   array_to_string(list_filter(w, lambda x, i: NOT list_contains(w[1:i - 1], x))[1:6], ',') AS u
-  FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:8] AS w
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
         FROM benchmark))"""
 
 
 @register(
     "parse_plan_replies",
-    f"""SELECT query_id, CASE WHEN kind = 4 THEN '' ELSE t END AS term,
-      CASE WHEN kind IN (0, 1, 2) THEN u WHEN kind = 4 AND length(t) <= 60 THEN t ELSE '' END AS expansions,
+    f"""SELECT query_id, CASE WHEN kind = 4 OR length(t) > 300 THEN '' ELSE t END AS term,
+      CASE WHEN kind IN (0, 1, 2, 4) THEN u ELSE '' END AS expansions,
       CASE WHEN kind IN (0, 1, 2) THEN 'Brand=Brand#1|Brand#2|Brand#3;nothing=x;price=p-mid'
         WHEN kind = 4 THEN 'colour=red;price=p-low|none' WHEN kind = 7 THEN 'price=nowhere' ELSE '' END AS filters,
       CASE WHEN kind IN (0, 1, 2) THEN 'Newest' WHEN kind = 3 THEN 'hidden' END AS sort
@@ -51,11 +51,11 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RP.validate_plan_filters(plans, FACETS, OPTIONS)
 
 
-_VALID = f"""SELECT query_id, kind, CASE WHEN kind = 4 THEN '' ELSE t END AS term,
-  CASE WHEN kind IN (0, 1, 2) THEN u WHEN kind = 4 AND length(t) <= 60 THEN t ELSE '' END AS expansions,
+_VALID = f"""SELECT query_id, kind, CASE WHEN kind = 4 OR length(t) > 300 THEN '' ELSE t END AS term,
+  CASE WHEN kind IN (0, 1, 2, 4) THEN u ELSE '' END AS expansions,
   CASE WHEN kind IN (0, 1, 2) THEN 'Price=p-mid;brand=Brand#1|Brand#2|Brand#3' WHEN kind = 4 THEN 'Price=P-Low' ELSE '' END AS filters,
   CASE WHEN kind IN (0, 1, 2) THEN 'newest' END AS sort
-FROM {_WORDS} WHERE kind NOT IN (5, 6)"""
+FROM {_WORDS} WHERE kind NOT IN (5, 6) AND NOT (kind IN (3, 7) AND length(t) > 300)"""
 
 
 @register("validate_plan_filters", f"SELECT query_id, term, expansions, filters, sort FROM ({_VALID})")

@@ -12,16 +12,18 @@ from findery.workload.registry import register
 from findery.workload.sqlviews import VIEWS, bm25_sql
 
 RULES = RuleSet(
-    fields=(FieldRule("nodeName", 10.0, "exact"), FieldRule("bodyText", 1.0, "prefix")),
+    fields=(FieldRule("nodeName", 10.0, "prefix"), FieldRule("bodyText", 1.0, "exact")),
     include_content_types=tuple(f"src{i}" for i in range(18)), exclude_types=("src3",),
     hide_fields=("hideFromSearch",), type_boosts=(("src1", 2.0), ("src2", 0.5)), root_ids=(-1,), excluded_ids=(5,),
     best_bets=(BestBet(("the",), ("1",)),), page_size=10,
 )
 
-# Word weights of the flagship's two fields: the name by whole words, the body by beginnings.
+# Word weights of the flagship's two fields: the name by beginnings, the body by whole words.
 VIEWS["flag_weights"] = bm25_sql("""
   SELECT w.query_id, w.group_no, v.index_name, v.field, v.term FROM words_text w JOIN vocab_text v
-  ON (v.field = 'nodename' AND v.term = w.variant) OR (v.field = 'bodytext' AND starts_with(v.term, w.variant))""")
+    ON v.field = 'nodename' AND starts_with(v.term, w.variant)
+  UNION ALL SELECT w.query_id, w.group_no, v.index_name, v.field, v.term FROM words_text w JOIN vocab_text v
+    ON v.field = 'bodytext' AND v.term = w.variant""")
 VIEWS["flag_window"] = """
 SELECT query_id, doc_key, raw_score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, doc_key) AS fetch_rank FROM (
@@ -32,12 +34,13 @@ SELECT query_id, doc_key, raw_score FROM (
 """
 VIEWS["flag_hits"] = """
 SELECT query_id, doc_key, raw_score, name, type_alias, culture,
-  CAST(round(CAST(raw_score AS DECIMAL(18, 6)) * CASE type_alias WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END, 6) AS DOUBLE) AS score
+  CAST(round(CAST(raw_score AS DECIMAL(18, 6)) * CASE type_alias WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END, 6) AS DOUBLE) AS score,
+  doc_key = '1' AND query_id IN (SELECT query_id FROM words_text WHERE variant = 'the') AS is_best_bet
 FROM flag_window JOIN docs_text USING (doc_key)
 WHERE f_hidefromsearch IS NULL AND coalesce(f_published, 'y') = 'y' AND NOT list_contains(path, 5)
 """
 VIEWS["flag_ranked"] = """
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, raw_score DESC, doc_key) AS rank FROM flag_hits
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_best_bet DESC, score DESC, raw_score DESC, doc_key) AS rank FROM flag_hits
 """
 
 
@@ -120,6 +123,62 @@ def search_cultures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_key", "raw_score")
 
 
+VIEWS["tok_every"] = """
+SELECT *, list_filter(regexp_split_to_array(lower(value), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS toks FROM (
+  SELECT index_name, doc_key, 'nodename' AS field, name AS value FROM docs_text
+  UNION ALL SELECT index_name, doc_key, 'bodytext', f_bodytext FROM docs_text
+  UNION ALL SELECT index_name, doc_key, 'bodytext_' || culture, f_bodytext FROM docs_text
+  UNION ALL SELECT index_name, doc_key, 'n_chars', f_n_chars FROM docs_text
+  UNION ALL SELECT index_name, doc_key, 'hidefromsearch', f_hidefromsearch FROM docs_text) WHERE value IS NOT NULL
+"""
+VIEWS["post_every"] = """
+SELECT index_name, doc_key, field, term, doc_len, count(*) AS tf FROM (
+  SELECT index_name, doc_key, field, unnest(toks) AS term, len(toks) AS doc_len FROM tok_every) GROUP BY ALL
+"""
+VIEWS["weigh_every"] = """
+SELECT p.doc_key, p.field, p.term, ln(1 + (s.n_docs - v.df + 0.5) / (v.df + 0.5)) * p.tf * 2.2
+  / (p.tf + 1.2 * (0.25 + 0.75 * p.doc_len / s.avg_len)) AS weight
+FROM post_every p
+JOIN (SELECT field, term, count(*) AS df FROM post_every GROUP BY ALL) v ON v.field = p.field AND v.term = p.term
+JOIN (SELECT field, count(*) AS n_docs, avg(len(toks)) AS avg_len FROM tok_every WHERE len(toks) > 0 GROUP BY ALL) s ON s.field = p.field
+"""
+EVERY_TYPE = tuple(f"src{i}" for i in range(20))
+_SHOWN = "WHERE f_hidefromsearch IS NULL AND coalesce(f_published, 'y') = 'y'"
+
+
+@register(
+    "search_discovered_fields",
+    f"""SELECT query_id, doc_key, score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_key) AS rank FROM (
+        SELECT query_id, doc_key, round(sum(CASE WHEN field = 'nodename' THEN 10 ELSE 1 END * weight), 6) AS score FROM (
+          SELECT query_id, field, doc_key, max(weight) AS weight FROM q_words q JOIN weigh_every w ON starts_with(w.term, q.term) GROUP BY ALL)
+        GROUP BY ALL) JOIN (SELECT doc_key FROM docs_text {_SHOWN}) USING (doc_key)) WHERE rank <= 10""",
+)
+def search_discovered_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile without fields searches every field its index offers, the name at 10, each by beginnings."""
+    rules = RuleSet(include_content_types=EVERY_TYPE, hide_fields=("hideFromSearch",), minimum_length=1)
+    page = PL.search(T.q_words(spark, sf_dir), T.docs_text(spark, sf_dir), rules).page
+    return page.select("query_id", "doc_key", "score", "rank")
+
+
+@register(
+    "search_two_rules",
+    f"""SELECT query_id, doc_key, score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_key) AS rank FROM (
+        SELECT query_id, doc_key, round(sum(boost * weight), 6) AS score FROM (
+          SELECT q.query_id, w.doc_key, 2 AS boost, w.weight FROM q_words q JOIN weigh_every w ON w.field = 'bodytext' AND w.term = q.term
+          UNION ALL SELECT query_id, doc_key, 5, max(weight) FROM q_words q JOIN weigh_every w
+            ON w.field = 'bodytext' AND starts_with(w.term, q.term) GROUP BY ALL)
+        GROUP BY ALL) JOIN (SELECT doc_key FROM docs_text {_SHOWN}) USING (doc_key)) WHERE rank <= 10""",
+)
+def search_two_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field under two rules, whole words at 2 and beginnings at 5: both count."""
+    fields = (FieldRule("bodyText", 2.0, "exact"), FieldRule("bodytext", 5.0, "prefix"))
+    rules = RuleSet(fields=fields, include_content_types=EVERY_TYPE, hide_fields=("hideFromSearch",), minimum_length=1)
+    page = PL.search(T.q_words(spark, sf_dir), T.docs_text(spark, sf_dir), rules, cultures=False).page
+    return page.select("query_id", "doc_key", "score", "rank")
+
+
 PART_TYPES = ("PROMO", "ECONOMY", "LARGE", "STANDARD", "SMALL", "MEDIUM")
 PART_RULES = RuleSet(include_content_types=PART_TYPES, fields=(FieldRule("nodeName"),))
 

@@ -65,18 +65,20 @@ for _name, _key, _score in (
     ("both", "CAST(doc_key AS BIGINT)", "CAST(f_n_chars AS DOUBLE)"),
 ):
     VIEWS[f"hits_{_name}"] = (
-        f"SELECT *, {_key} // 64 AS query_id, {_score} AS raw_score, {_score} AS score "
+        f"SELECT *, CASE WHEN {_key} % 3 = 0 THEN 1000000000 ELSE {_key} // 64 END AS query_id, {_score} AS raw_score, {_score} AS score "
         f"FROM docs_{_name}"
     )
 
 # A stable 60-bit id of a text.
 TEXT_ID = "CAST(('0x' || substring(md5({0}), 1, 15)) AS BIGINT)"
 
-VIEWS["q_text"] = """
-SELECT item_id AS query_id, array_to_string(list_transform(list_sort(list_transform(
-    list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND length(t) <= 5)),
-    lambda w: {'n': -length(w), 'w': w}))[1:2], lambda s: s.w), ' ') AS term
-FROM benchmark
+_PASSAGE_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+VIEWS["q_text"] = f"""
+SELECT query_id, array_to_string(list_filter(w, lambda x, i: NOT list_contains(w[1:i - 1], x)), ' ') AS term
+FROM (SELECT item_id AS query_id, {_PASSAGE_WORDS} AS w FROM benchmark)
+"""
+VIEWS["q_words"] = f"""
+SELECT {TEXT_ID.format('term')} AS query_id, term FROM (SELECT DISTINCT unnest({_PASSAGE_WORDS}) AS term FROM benchmark)
 """
 VIEWS["q_misspelt"] = f"""
 SELECT {TEXT_ID.format('word')} AS query_id, substring(word, 1, 2) || substring(word, 4) AS term

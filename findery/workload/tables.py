@@ -186,15 +186,21 @@ def long_docs(docs: DataFrame) -> DataFrame:
     return docs.select("index_name", "doc_key", F.explode("fields").alias("field", "value"))
 
 
-# Hits: what one query found. A query's group holds at most 64 rows at any scale, as after the
-# fetch window.
+# Hits: what one query found. Every third row belongs to one query, whose group grows with the data as that of a
+# frequent word does; the others have at most 64.
 
 HITS_PER_QUERY = 64
+HOT_QUERY = 1_000_000_000
+
+
+def query_of(key: Column) -> Column:
+    number = key.cast("bigint")
+    return F.when(number % 3 == 0, F.lit(HOT_QUERY)).otherwise(F.floor(number / HITS_PER_QUERY)).cast("bigint")
 
 
 def _hits(docs: DataFrame, key: str, score: Column) -> DataFrame:
     return docs.withColumns({
-        "query_id": F.floor(F.col(key).cast("bigint") / HITS_PER_QUERY).cast("bigint"),
+        "query_id": query_of(F.col(key)),
         "raw_score": score, "score": score, "is_best_bet": F.lit(False),
     })
 
@@ -237,17 +243,19 @@ def query_defaults(frame: DataFrame) -> DataFrame:
 
 
 def q_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key words of each benchmark passage: its two longest distinct words of up to five letters."""
-    words = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: F.length(w) <= 5)
-    ranked_words = F.transform(words, lambda w: F.named_struct(F.lit("n"), -F.length(w), F.lit("w"), w))
-    term = F.array_join(
-        F.transform(F.slice(F.array_sort(ranked_words), 1, 2), lambda s: s["w"]), " "
-    )
+    """Each benchmark passage as a search: all its words, each once."""
+    term = F.array_join(F.array_distinct(tokens(F.col("text"))), " ")
     return query_defaults(
         table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), term.alias("term"))
     )
 
 
+def q_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different word of the benchmark passages as a search of its own."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    return query_defaults(words.select(text_id(F.col("term")).alias("query_id"), "term"))
+
+
 def q_misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct word of the part names without its third character."""
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
@@ -346,13 +354,13 @@ def budget_rows(events: DataFrame) -> DataFrame:
 def plan_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies about each benchmark passage in the shapes a model returns them."""
     c = F.col
-    words = F.slice(tokens(c("text")), 1, 8)
+    words = tokens(c("text"))
     expansions = F.transform(words, lambda w: F.concat(F.lit(" "), w))
     quoted = F.concat(
         F.lit('["'), F.array_join(expansions, '","'), F.lit('","'),
         F.upper(F.get(words, F.lit(0))), F.lit('"]'),
     )
-    term = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
+    term = F.array_join(words, " ")
     kind = c("item_id") % 8
     full = F.concat(
         F.lit('{"term": "'), term, F.lit('", "expansions": '), quoted,
@@ -364,7 +372,7 @@ def plan_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```")))
         .when(kind == 2, F.concat(F.lit("Here it is: "), full, F.lit(" I hope {this} helps.")))
         .when(kind == 3, F.concat(F.lit('{"term": "'), term, F.lit('", "sort": "hidden",}')))
-        .when(kind == 4, F.concat(F.lit('{"filters": {"price": ["p-low", "none"], "colour": "red"}, "term": 5, "expansions": ["'), term, F.lit('"]}')))
+        .when(kind == 4, F.concat(F.lit('{"filters": {"price": ["p-low", "none"], "colour": "red"}, "term": 5, "expansions": '), quoted, F.lit('}')))
         .when(kind == 5, F.lit("{}"))
         .when(kind == 6, F.lit("no plan for this one"))
         .otherwise(F.concat(F.lit('{"term": " '), term, F.lit(' ", "filters": {"price": "nowhere"}}')))
@@ -385,6 +393,6 @@ def rerank_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise('Sure: {"order": [20, 19, 21, 1.5, null]} done')
     )
     ids = table(spark, sf_dir, "part").select(
-        F.floor(F.col("p_partkey") / HITS_PER_QUERY).cast("bigint").alias("query_id")
+        query_of(F.col("p_partkey")).alias("query_id")
     ).distinct()
     return ids.select("query_id", reply.alias("reply"))
