@@ -95,7 +95,7 @@ class ByteBpe:
         self.char = {b: c for b, c in enumerate(chars)}
         back = {c: b for b, c in enumerate(chars)}
         self.back = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
-        self.pretokens = Memo(self._encode_pretokens, words=300_000)
+        self.pretokens = Memo(self._encode_pretokens)
         self.words = Memo(lambda words: self._encode_chunks([" " + w for w in words]))
 
     def _encode_pretokens(self, pretokens: list[str]) -> Iterator[bytes]:

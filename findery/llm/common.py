@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +23,8 @@ def configure(spark: SparkSession) -> SparkSession:
     session.configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # Intermediate tables are mostly text.
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     return spark
 
 
@@ -70,15 +76,44 @@ class _Known(dict):
 
 
 class Memo:
-    """Results by word, kept while they are few and small. `build` gives the results of sorted new words."""
+    """Results by word, kept while there is room. `build` gives the results of sorted new words.
 
-    def __init__(self, build: Callable[[list], Iterable], words: int = 1_000_000, size: int = 64_000_000) -> None:
-        self.build, self.words, self.size = build, words, size
+    All caches of a worker share one budget of bytes (`room`). Workers are used again by later stages, so a cache that
+    needs room first takes that of the one which has been idle for longest.
+    """
+
+    room = 60_000_000
+    #: A dictionary's own bytes an entry, at its emptiest.
+    ENTRY = 110
+    _clock = 0
+    _live: weakref.WeakSet[Memo] = weakref.WeakSet()
+
+    def __init__(self, build: Callable[[list], Iterable]) -> None:
+        self.build = build
         self.known = _Known()
+        self.held = self.used = 0
+        Memo._live.add(self)
+
+    def __reduce__(self):
+        return Memo, (self.build,)
+
+    def clear(self) -> None:
+        self.known.clear()
         self.held = 0
 
+    def _make_room(self, more: int) -> bool:
+        free = Memo.room - sum(m.held for m in Memo._live) - more
+        for other in sorted(Memo._live, key=lambda m: m.used):
+            if free >= 0:
+                break
+            free += other.held
+            other.clear()
+        return free >= 0
+
     def lookup(self, cut: list[list]) -> list[list]:
         """The results of each list's words; none of them may be None."""
+        Memo._clock += 1
+        self.used = Memo._clock
         known, asked, found, short = self.known, self.known.asked, [], []
         for i, words in enumerate(cut):
             before = len(asked)
@@ -91,16 +126,37 @@ class Memo:
             built = dict(zip(new, self.build(new), strict=True))
             for i in short:
                 found[i] = [built[w] if value is None else value for w, value in zip(cut[i], found[i], strict=True)]
-            more = sum(map(len, new))
-            if len(known) + len(new) > self.words or self.held + more > self.size:
-                known.clear()
-                self.held = 0
-            if len(new) <= self.words and more <= self.size:
+            more = sum(map(sys.getsizeof, built)) + sum(map(sys.getsizeof, built.values())) + Memo.ENTRY * len(built)
+            if self._make_room(more):
                 known.update(built)
                 self.held += more
         return found
 
 
+def cut_words(given: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(words a text, code of each word, word by code) of texts cut at ASCII white space, with A-Z lower-cased if
+    wanted. Codes hold for these texts alone; a code may be of an empty word that no text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(given) if lower else given)
+    sizes = lists.value_lengths().to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    codes, blank = coded.indices.to_numpy(), pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:
+        real = codes != blank
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        codes = codes[real]
+    return sizes, codes, coded.dictionary.cast(pa.binary()).to_pylist()
+
+
+def spread(values: list[bytes], codes: np.ndarray, sizes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(items a text, all items) where values[code] holds a word's items as bytes of numbers of a kind."""
+    flat = np.frombuffer(b"".join(values), kind)
+    ends = np.cumsum([0, *(len(v) // flat.itemsize for v in values)])
+    own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    each = np.concatenate([[0], np.cumsum(np.diff(ends)[codes])])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return np.diff(each[at]), own.take(pa.array(codes)).flatten().to_numpy()
+
+
 def slices(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)

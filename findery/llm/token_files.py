@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from findery.llm.common import Memo, slices, texts
+from findery.llm.common import Memo, cut_words, spread, texts
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 
@@ -55,9 +55,12 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return (array("I", x.ids).tobytes() for x in found)
 
-    def encode(self, many: list[str]) -> list[bytes]:
-        """Lower-casing A-Z early changes no id, as the normaliser does it too, and leaves fewer words."""
-        return list(map(b"".join, self.memo.lookup([t.encode().lower().split() for t in many])))
+    def encode(self, given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids a text, all ids). Only a batch's different words are looked up; ids are then taken by word.
+
+        Lower-casing A-Z early changes no id, as the normaliser does it too, and leaves fewer words."""
+        sizes, codes, words = cut_words(given, lower=True)
+        return spread(self.memo.lookup([words])[0], codes, sizes, "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -72,24 +75,23 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
 
         shard, start = TaskContext.get().partitionId(), 0
-        coder, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        coder = word_ids(tokenizer)
         for batch in batches:
-            for part in slices(batch):
-                ids = [x + end for x in coder.encode(part.column("text").to_pylist())]
-                sizes = np.array([0, *(len(x) // 4 for x in ids)]).cumsum()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(np.full(len(ids), shard), pa.int32()),
-                        pa.array(sizes[:-1] + start, pa.int64()),
-                        pa.array(np.diff(sizes), pa.int32()),
-                        pa.ListArray.from_arrays(
-                            pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                        ),
-                    ],
-                    ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
-                )
-                start += int(sizes[-1])
+            counts, ids = coder.encode(batch.column("text"))
+            ends = np.cumsum(counts)
+            ids = np.insert(ids, ends, np.uint32(end_id)).view(np.int32)
+            sizes = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(np.full(batch.num_rows, shard), pa.int32()),
+                    pa.array(sizes[:-1] + start, pa.int64()),
+                    pa.array(np.diff(sizes), pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(ids)),
+                ],
+                ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
+            )
+            start += int(sizes[-1])
 
     ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, SCHEMA)

@@ -108,7 +108,7 @@ def tallied(sample: DataFrame, within: np.ndarray | None) -> DataFrame:
     """(term, n, a): rows and toxic rows by feature hash, and of all under -1; only of rows that have a feature of `within`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda words: [np.array(word_features(w), "<i4").tobytes() for w in words], words=300_000)
+        memo = Memo(lambda words: [np.array(word_features(w), "<i4").tobytes() for w in words])
         for batch in batches:
             found = memo.lookup([t.encode().lower().split() for t in batch.column("text").to_pylist()])
             rows = [np.append(np.unique(np.frombuffer(b"".join(x), "<i4")), np.int32(-1)) for x in found]
