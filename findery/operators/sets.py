@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from findery.session import store
+
 
 def merge_indexes_first_wins(matches: DataFrame) -> DataFrame:
     """One row per node and index type; the earlier index wins."""
@@ -19,9 +21,9 @@ def fallback_union(
     """Queries whose inferred filters left nothing are run again without them.
 
     ``plans`` holds the rewritten queries; those that had filters added and found nothing fall
-    back to the filters the visitor chose.
+    back to the filters the visitor chose. The first run is written once; both its rows and what it found are read from there.
     """
-    first = run(plans)
+    first = store(run(plans))
     found = first.select("query_id").distinct()
     chosen = queries.select("query_id", F.col("filters").alias("own_filters"))
     narrowed = plans.join(chosen, "query_id").filter(

@@ -107,6 +107,12 @@ def resolve_field_rules(catalogue: DataFrame, field_rules: tuple[FieldRule, ...]
     return indexes.select("index_name", F.inline(_rules_of(F.col("searchable"), field_rules)))
 
 
+def discovered_boost(field: Column) -> Column:
+    """The weight of a field that no rule names: names at 10, titles at 5, others at 1."""
+    name = field.isin(X.NODE_NAME, X.SYSTEM_NODE_NAME) | field.startswith(X.NODE_NAME + "_")
+    return F.when(name, F.lit(10.0)).when(field.rlike("(title|heading|headline)$"), F.lit(5.0)).otherwise(F.lit(1.0))
+
+
 def _rules_of(searchable: Column, field_rules: tuple[FieldRule, ...]) -> Column:
     """The rules of one index as an array; ``searchable`` counts only where none are configured."""
     configured = [r for r in field_rules if r.enabled and r.name.strip()]
@@ -119,13 +125,10 @@ def _rules_of(searchable: Column, field_rules: tuple[FieldRule, ...]) -> Column:
 
     if configured:
         return F.array(*[rule_struct(r.name, r.boost, r.match_mode) for r in configured])
-    boost = lambda f: F.when(
-        f.isin(X.NODE_NAME, X.SYSTEM_NODE_NAME) | f.startswith(X.NODE_NAME + "_"), F.lit(10.0)
-    ).when(f.rlike("(title|heading|headline)$"), F.lit(5.0)).otherwise(F.lit(1.0))
     discovered = F.transform(
         F.array_sort(searchable),
         lambda f: F.named_struct(
-            F.lit("field"), f, F.lit("boost"), boost(f), F.lit("match_mode"), F.lit("prefix")
+            F.lit("field"), f, F.lit("boost"), discovered_boost(f), F.lit("match_mode"), F.lit("prefix")
         ),
     )
     fallback = F.array(*[rule_struct(n, 1.0, "prefix") for n in FALLBACK_FIELDS])

@@ -26,7 +26,7 @@ from findery.session import store
 @dataclass(frozen=True)
 class SearchResult:
     """``scored`` all rows before facet filters, ``hits`` the survivors, ``page`` each query's rows with their rank,
-    ``totals``, ``facets`` or null."""
+    ``totals``, ``facets`` or null; ``stages`` the rows left after each step, in order."""
 
     scored: DataFrame
 
@@ -34,6 +34,7 @@ class SearchResult:
     page: DataFrame
     totals: DataFrame
     facets: DataFrame | None
+    stages: dict[str, DataFrame]
 
 
 def searched_names(rules: RuleSet) -> list[str]:
@@ -127,15 +128,12 @@ def windowed(queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchI
 
 
 def ranked_hits(
-    queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None, index: SearchIndex,
-    protected: DataFrame | None = None, browse: bool | None = None,
+    rows: DataFrame, queries: DataFrame, forward: ForwardIndex, rules: RuleSet, as_of: str | None, protected: DataFrame | None = None,
 ) -> DataFrame:
-    """Merged, source-filtered and scored rows: what facets are counted on.
+    """Fetched rows merged, source-filtered and scored: what facets are counted on.
 
     No step gathers a query's rows: they are placed by document, by node and by key.
     """
-    forward = forward_of(docs, rules, index)
-    rows = windowed(queries, forward.rows, rules, index, browse)
     hits = ST.merge_indexes_first_wins(rows.join(forward.attributes(rules), PLACE))
     hits = FL.filter_subtree(hits, rules.root_ids)
     hits = FL.filter_excluded_nodes(hits, rules.excluded_ids, rules.exclude_descendants)
@@ -156,23 +154,31 @@ def ranked_hits(
 def search(
     queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None = None, *,
     index: SearchIndex | None = None, protected: DataFrame | None = None,
-    node_keys: DataFrame | None = None, browse: bool | None = None, cultures: bool = True,
+    node_keys: DataFrame | None = None, browse: bool | None = None, cultures: bool = True, shared: bool = False,
 ) -> SearchResult:
     """The whole search, in the order its results depend on: window, source rules, boosts, facet
-    counts, facet filters, score floor, de-duplication, sort, page."""
+    counts, facet filters, score floor, de-duplication, sort, page.
+
+    ``shared`` also writes the fetched rows and the survivors once, for results that several frames are taken from.
+    """
+    keep = store if shared else (lambda frame: frame)
     index = index or index_for(docs, rules, cultures)
-    scored = store(ranked_hits(queries, docs, rules, as_of, index, protected, browse))
+    forward = forward_of(docs, rules, index)
+    rows = keep(windowed(queries, forward.rows, rules, index, browse))
+    scored = store(ranked_hits(rows, queries, forward, rules, as_of, protected))
     hits, facets = scored, None
     if rules.facets:
         facets = FC.facet_counts_excluding_self(scored, queries, rules.facets, as_of=as_of, node_keys=node_keys)
         hits = FC.apply_facet_filters(
             hits, queries, rules.facets, rules.minimum_active_filters, as_of=as_of, node_keys=node_keys
         )
-    hits = FL.filter_min_score(hits, rules.minimum_score, queries.filter(R.is_browse()))
+    narrowed = hits
+    hits = relevant = FL.filter_min_score(hits, rules.minimum_score, queries.filter(R.is_browse()))
     if rules.deduplicate:
         hits = DD.dedup_identity(hits)
         if rules.dedup_field:
             hits = DD.dedup_by_field(hits, rules.dedup_field)
+    hits = keep(hits)
     order, placed = R.rank_order(), hits
     if rules.sort_by:
         order = R.sort_order(hits, rules.sort_by, order[1:])
@@ -180,7 +186,8 @@ def search(
         placed = R.with_sort_alias(hits, queries, rules.sort_options)
         order = R.option_order(placed, rules.sort_options, order[1:])
     page, totals = R.page_slice(placed, queries, rules.page_size, rules.browse_page_size, order)
-    return SearchResult(scored, hits, page.drop("sort_alias"), totals, facets)
+    stages = {"fetched": rows, "sources": scored, "facets": narrowed, "score": relevant, "kept": hits}
+    return SearchResult(scored, hits, page.drop("sort_alias"), totals, facets, stages)
 
 
 def with_texts(page: DataFrame, docs: DataFrame) -> DataFrame:
@@ -220,18 +227,25 @@ def search_names_only(
     return found.page.select("query_id", "index_name", "doc_key", "name", "score", "rank")
 
 
-def autocomplete(queries: DataFrame, docs: DataFrame, rules: RuleSet, take: int = 10) -> DataFrame:
+def name_index(docs: DataFrame, rules: RuleSet) -> SearchIndex:
+    """The index of names alone, for completions and spelling. A site keeps it and passes it in."""
+    return index_for(docs, name_rules(rules, "prefix", rules.fuzziness, 1), bool(rules.cultures))
+
+
+def autocomplete(
+    queries: DataFrame, docs: DataFrame, rules: RuleSet, take: int = 10, index: SearchIndex | None = None
+) -> DataFrame:
     """Suggestions for typed text: words that carry it on, then whole names."""
     typed = queries.filter(F.length(F.trim("term")) >= SG.MIN_TYPED)
-    hits = search_names_only(typed, docs, rules, "prefix", n=take * 3)
+    hits = search_names_only(typed, docs, rules, "prefix", n=take * 3, index=index)
     return SG.suggestions(typed, hits, take)
 
 
 def suggest_spelling(
     queries: DataFrame, totals: DataFrame, docs: DataFrame, rules: RuleSet,
-    max_edits: int = 3, threshold: int = 3, n: int = 50,
+    max_edits: int = 3, threshold: int = 3, n: int = 50, index: SearchIndex | None = None,
 ) -> DataFrame:
     """A corrected term for queries that found little, from names near to what was typed."""
     few = queries.join(totals.filter(F.col("total") <= threshold).select("query_id"), "query_id", "left_semi")
-    hits = search_names_only(few, docs, rules, "fuzzy", rules.fuzziness, n)
+    hits = search_names_only(few, docs, rules, "fuzzy", rules.fuzziness, n, index)
     return SG.spell_correct(queries, totals, SG.suggestion_vocabulary(hits, n), max_edits, threshold)

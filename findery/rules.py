@@ -72,6 +72,19 @@ class Recency:
     weight: float = 0.5
 
 
+@dataclass(frozen=True)
+class Highlight:
+    """How a result's snippet is cut and marked; ``mode`` is sentence or window."""
+
+    mode: str = "sentence"
+    field: str = ""
+    length: int = 200
+    context: int = 0
+    mark: bool = True
+    start_tag: str = "<mark>"
+    end_tag: str = "</mark>"
+
+
 @dataclass(frozen=True)
 class RuleSet:
     # matching
@@ -112,6 +125,14 @@ class RuleSet:
     browse_page_size: int = 10
     max_results: int | None = None
     return_fields: tuple[str, ...] = ()
+    title_fields: tuple[str, ...] = ()
+    description_fields: tuple[str, ...] = ()
+    description_length: int = 320
+    highlight: Highlight | None = None
+    type_labels: tuple[tuple[str, str], ...] = ()
+    group_by_type: bool = False
+    curated: tuple[str, ...] = ()
+    rerank_depth: int = 0
 
     @property
     def window(self) -> int | None:

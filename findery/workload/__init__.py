@@ -8,7 +8,7 @@ from findery.workload.registry import QUERIES, SQL, Build
 
 _MODULES = (
     "analytics_queries", "extract_queries", "match_queries", "rank_queries", "facet_queries",
-    "describe_queries", "reply_queries", "search_queries", "stream_queries", "source_queries",
+    "describe_queries", "reply_queries", "search_queries", "composed_queries", "stream_queries", "source_queries",
 )
 
 
