@@ -82,7 +82,7 @@ class Memo:
     needs room first takes that of the one which has been idle for longest.
     """
 
-    room = 60_000_000
+    room = 200_000_000
     #: A dictionary's own bytes an entry, at its emptiest.
     ENTRY = 110
     _clock = 0

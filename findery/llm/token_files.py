@@ -18,12 +18,14 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from findery.llm.byte_bpe import byte_characters
 from findery.llm.common import Memo, cut_words, spread, texts
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
@@ -39,9 +41,27 @@ OPTIONS = {
 }
 
 
+#: ASCII punctuation but the apostrophe, which may start a pre-token of its own.
+EDGES = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def parted(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the punctuation behind it. The tokenizer parts them as well, where a letter or digit stands before it."""
+    core = word.rstrip(EDGES)
+    if len(core) == len(word) or not core:
+        return word, b""
+    if core[-1:].isalnum():
+        return core, word[len(core) :]
+    # Of other letters only Latin ones whose lower case is one letter: a capital may become a letter and a mark.
+    last = core[-4:].decode("utf-8", "ignore")[-1:]
+    if last.isalpha() and "\x80" <= last < "\u0250" and len(last.lower()) == 1:
+        return core, word[len(core) :]
+    return word, b""
+
+
 class WordIds:
     """The tokenizer's ids by word. Its normaliser and splitter never join anything across ASCII white
-    space, so a text's ids are those of its words one after another."""
+    space, so a text's ids are those of its words one after another, and a word's are those of its parts."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,18 +69,34 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.chars = dict(enumerate(byte_characters()))
         self.memo = Memo(self._encode)
 
+    def _is_plain(self, word: str) -> bool:
+        """Whether the normaliser leaves the word as it is and the splitter makes it one pre-token: Latin letters in lower case."""
+        return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and word.lower() == word and is_normalized("NFC", word)))
+
     def _encode(self, words: list[bytes]) -> Iterator[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return (array("I", x.ids).tobytes() for x in found)
+        """Plain words go to the tokenizer's model, as its byte-level step writes them; others through the whole tokenizer."""
+        text = [w.decode() for w in words]
+        plain = [self._is_plain(w) for w in text]
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(text, plain, strict=True) if not p], add_special_tokens=False))
+        model = self.tokenizer.model
+        for raw, is_plain in zip(words, plain, strict=True):
+            if is_plain:
+                ids = [t.id for t in model.tokenize(raw.decode("latin-1").translate(self.chars))]
+            else:
+                ids = next(rest).ids
+            yield array("I", ids).tobytes()
 
     def encode(self, given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids a text, all ids). Only a batch's different words are looked up; ids are then taken by word.
+        """(ids a text, all ids). Only a batch's different words are looked up, in parts; ids are then taken by word.
 
         Lower-casing A-Z early changes no id, as the normaliser does it too, and leaves fewer words."""
         sizes, codes, words = cut_words(given, lower=True)
-        return spread(self.memo.lookup([words])[0], codes, sizes, "<u4")
+        parts = list(map(parted, words))
+        heads, tails = self.memo.lookup([[p[0] for p in parts], [p[1] for p in parts]])
+        return spread(list(map(bytes.__add__, heads, tails)), codes, sizes, "<u4")
 
 
 @lru_cache(maxsize=2)

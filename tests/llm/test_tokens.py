@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as tokens
+import pyarrow as pa
 import pytest
 import tiktoken
 from llm.cases import awkward, empty
@@ -93,3 +94,28 @@ def test_empty_tables(spark, tmp_path):
     assert token_counts.token_counts(none, PIECES).count() == 0
     token_files.write_tokens(none, str(tmp_path / "t"), WORDS, 2)
     assert token_files.digests(token_files.read_tokens(spark, str(tmp_path / "t"))).count() == 0
+
+
+def test_word_parts_equal_the_whole_tokenizer():
+    """Punctuation behind words, apostrophes, marks, capitals beyond ASCII, digits and other scripts."""
+    plain = Tokenizer.from_file(WORDS)
+    plain.encode_special_tokens = True
+    words = ["don't,", "it's", "x's.", "café!!", "café,", "ÉTÉ.", "Straße;", "a1b2,", "1,000.50", "…,", "x…,", "日本。", "日本,", "'s,", "''", "!!",
+             "ﬁn,", "ǅ.", "Σας,", "i̇,", "İ,", "<|endoftext|>", "a_b_", "é", "-", "\x1f,", "a\x1f,", "naïve?)", "x'", "x',y", "ŉ.", "ª,", "²,", "Ⅷ,"]
+    texts = words + [" ".join(words), " ".join(words[::-1]), "", " \n"]
+    sizes, ids = token_files.WordIds(WORDS).encode(pa.array(texts))
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
+def test_caches_share_one_budget(monkeypatch):
+    from findery.llm.common import Memo
+
+    monkeypatch.setattr(Memo, "room", 1_000_000)
+    first, second = Memo(lambda ws: [w * 2 for w in ws]), Memo(lambda ws: [w * 3 for w in ws])
+    for memo, times in ((first, 2), (second, 3), (first, 2)):
+        for start in range(0, 20_000, 500):
+            words = [b"%d" % i for i in range(start, start + 500)]
+            assert memo.lookup([words, words[:3]]) == [[w * times for w in words], [w * times for w in words[:3]]]
+            assert first.held + second.held <= 1_000_000
+    assert first.held > 0 and len(second.known) == 0
