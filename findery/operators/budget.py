@@ -1,131 +1,210 @@
 """Admission within a budget: at most N events per caller in each window.
 
-A window starts at the first event after the previous one closed, so windows form a chain per
-caller, read in one pass over time-ordered rows. A caller with very many events would hold up one
-task, so a busy caller's chain is cut into time chunks worked on apart: each chunk first says, for
-every event that might open it, where its chain would end; a fold over chunks then fixes the real
-openings; the pass starts each chunk from those.
+A window starts at the first event after the previous one closed, so windows form a chain per caller. Only different
+times matter to the chain: events are counted by caller and time first, before anything is gathered. A caller's time is
+cut into chunks of some windows. Each chunk says, for every time that might open it, where its chain would end; a fold
+over these short summaries fixes the real openings, and each chunk is then walked from its own, as jumps that double in
+length over all of its times at once. What a time may admit goes back to its events by a join. All callers are treated
+alike, and no task holds more than the different times of some windows of one caller.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from findery.session import store
 
 CALLER = ["stage", "caller"]
-WINDOWS_PER_CHUNK = 1440
-# A caller with more events than this is cut into chunks, and so is a chunk.
-BUSY_ROWS = 1_000_000
-
-
-def _exits(times: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For a window opening at each event: the last window of its chain here, and its size."""
-    count = len(times)
-    following = np.searchsorted(times, times + width, side="left")
-    last = np.arange(count)
-    for i in range(count - 1, -1, -1):
-        if following[i] < count:
-            last[i] = last[following[i]]
-    return last, count - last
-
-
-def _summarise(width: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "event_id"])
-        times, start = rows["us"].to_numpy(), int(rows["chunk"].iloc[0])
-        last, size = _exits(times, width)
-        # A window open on entry closes within one width of the chunk's start, so the next one
-        # opens at an event before that, or at the first event after it.
-        candidates = min(int(np.searchsorted(times, start + width, side="left")) + 1, len(times))
-        last, opens = last[:candidates], times[:candidates]
-        # Neighbouring openings that end in the same window are one: the latest stands for all.
-        keep = np.append(last[1:] != last[:-1], True)
-        first = {c: rows[c].iloc[0] for c in (*CALLER, "chunk")}
-        return pd.DataFrame({
-            "opens_us": opens[keep], "exit_us": times[last[keep]], "exit_size": size[:candidates][keep],
-        }).assign(**first)[[*CALLER, "chunk", "opens_us", "exit_us", "exit_size"]]
+WINDOWS_PER_CHUNK = 16
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that come sorted by the keys, with the number of each row's group."""
+    rest: pa.Table | None = None
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for key in keys:
+            codes = table[key].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(new) - 1
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        group = numbered(table)
+        cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
+        if cut:
+            yield table.slice(0, cut), group[:cut]
+        rest = table.slice(cut)
+    if rest is not None and len(rest):
+        yield rest, numbered(rest)
+
+
+class _Chain:
+    """The times of groups end to end: which one a window opened at each would be followed by, within its group."""
+
+    def __init__(self, table: pa.Table, group: np.ndarray, width: int) -> None:
+        self.times, self.counts = (table[c].to_numpy().astype(np.int64) for c in ("us", "count"))
+        self.group, self.width = group, width
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        self.starts, self.ends = starts, np.append(starts[1:], len(group))
+        self.base = self.times[starts]
+        # Groups one after another on one line, further apart than any window reaches.
+        self.room = int((self.times - self.base[group]).max(initial=0)) + 2 * width + 2
+        self.line = self.times - self.base[group] + group * self.room
+        self.next = np.append(self.after(group, self.times + width), len(group))
+
+    def after(self, group: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The first place in each group at or after a time; the number of all places where there is none."""
+        offset = np.clip(times - self.base[group], 0, self.room - 1)
+        at = np.searchsorted(self.line, offset + group * self.room)
+        return np.where(at < self.ends[group], at, len(self.line))
+
+    def lasts(self) -> np.ndarray:
+        """The last opening of the chain that starts at each place."""
+        end = len(self.line)
+        last = np.where(self.next < end, self.next, np.arange(end + 1))
+        while True:
+            further = last[last]
+            if (further == last).all():
+                return last[:end]
+            last = further
+
+    def openings(self, first: np.ndarray) -> np.ndarray:
+        """Whether a window opens at each place, if the first one of each group opens there."""
+        end = len(self.line)
+        opens = np.zeros(end + 1, bool)
+        opens[first] = True
+        jump = self.next
+        while True:
+            reached = jump[np.flatnonzero(opens)]
+            before = int(opens.sum())
+            opens[reached] = True
+            if int(opens.sum()) == before:
+                return opens[:end]
+            jump = jump[jump]
+
+
+def _summaries(width: int):
+    """A row a chunk: the times that may open it and, for each, the last opening and its events so far."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, [*CALLER, "chunk"]):
+            chain = _Chain(table, group, width)
+            last = chain.lasts()
+            # A window that is open on entry closes within one width of the chunk's start, so the next one opens at a
+            # time before that, or at the first time after it.
+            limit = chain.after(np.arange(len(chain.starts)), table["chunk"].to_numpy()[chain.starts] + width)
+            limit = np.minimum(np.where(limit < len(group), limit + 1, chain.ends), chain.ends)
+            place = np.arange(len(group))
+            use = place < limit[group]
+            # Neighbouring openings that end in the same window are one: the latest stands for all.
+            same = np.append((last[1:] == last[:-1]) & use[1:] & (group[1:] == group[:-1]), False)
+            keep = use & ~same
+            events = np.concatenate([[0], np.cumsum(chain.counts)])
+            sizes = events[chain.ends[group]] - events[last]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(group[keep], minlength=len(chain.starts)))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[keep], pa.int64())) for v in (chain.times, chain.times[last], sizes)]
+            heads = table.take(pa.array(chain.starts))
+            yield from pa.Table.from_arrays(
+                [*[heads[c] for c in (*CALLER, "chunk")], *lists], [*CALLER, "chunk", "opens", "exits", "sizes"]
+            ).combine_chunks().to_batches()
 
     return run
 
 
-def _fold(width: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        # Of equal openings the first event counts: its window holds the most events.
-        rows = rows.sort_values(["chunk", "opens_us", "exit_size"], ascending=[True, True, False])
-        rows = rows.drop_duplicates(["chunk", "opens_us"])
-        out, open_us, open_size = [], None, 0
-        for chunk, part in rows.groupby("chunk", sort=True):
-            opens, exits, sizes = (part[c].to_numpy() for c in ("opens_us", "exit_us", "exit_size"))
-            out.append((chunk, open_us, open_size))
-            first = 0 if open_us is None else int(np.searchsorted(opens, open_us + width, side="left"))
-            if first < len(opens):
-                open_us, open_size = int(exits[first]), int(sizes[first])
-            # Otherwise the open window covers every event here and stays the latest one.
-        result = pd.DataFrame(out, columns=["chunk", "open_us", "open_size"])
-        result["open_us"] = result["open_us"].astype("Int64")
-        result.insert(0, "caller", rows["caller"].iloc[0])
-        result.insert(0, "stage", rows["stage"].iloc[0])
-        return result
+def _folded(width: int):
+    """(caller, chunk, open_us, open_size): the window that is open when each chunk begins. Rows come by caller and chunk."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, open_us, open_size = None, None, 0
+        for batch in batches:
+            carried = []
+            for row in batch.to_pylist():
+                own = (row["stage"], row["caller"])
+                if own != key:
+                    key, open_us, open_size = own, None, 0
+                carried.append((open_us, open_size))
+                at = 0 if open_us is None else int(np.searchsorted(row["opens"], open_us + width))
+                if at < len(row["opens"]):
+                    open_us, open_size = row["exits"][at], row["sizes"][at]
+                # Otherwise the open window covers every event here and stays the latest one.
+            arrays = [pa.array([c[i] for c in carried], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*CALLER, "chunk")], *arrays], [*CALLER, "chunk", "open_us", "open_size"])
 
     return run
 
 
-def _admit(width: int, n: int):
-    """One pass over rows ordered by caller, chunk and time, holding one window at a time."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, closes, used = None, None, 0
-        for rows in batches:
-            flags = []
-            columns = ("stage", "caller", "chunk", "us", "open_us", "open_size")
-            for stage, caller, chunk, us, open_us, open_size in zip(*(rows[c].tolist() for c in columns)):
-                if key != (stage, caller, chunk):
-                    key = (stage, caller, chunk)
-                    inherited = open_us is not None and open_us == open_us
-                    closes, used = (open_us + width, int(open_size)) if inherited else (None, 0)
-                if closes is None or us >= closes:
-                    closes, used = us + width, 0
-                flags.append(used < n)
-                used += 1
-            yield rows[["event_id", *CALLER]].assign(is_admitted=flags)
+def _quotas(width: int, n: int):
+    """(caller, us, count, quota): how many of the events at each time are admitted."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_groups(batches, [*CALLER, "chunk"]):
+            chain = _Chain(table, group, width)
+            opened = table["open_us"].combine_chunks()
+            inherited = opened.is_valid().to_numpy(zero_copy_only=False)[chain.starts]
+            closes = opened.fill_null(0).to_numpy()[chain.starts] + width
+            first = np.where(inherited, chain.after(np.arange(len(chain.starts)), closes), chain.starts)
+            opens = chain.openings(first)
+            events = np.concatenate([[0], np.cumsum(chain.counts)])
+            # The window of a place is the latest opening up to it in its group, else the one that was open on entry.
+            latest = np.maximum.accumulate(np.where(opens, np.arange(len(group)), -1))
+            own = latest >= chain.starts[group]
+            begin = np.where(own, latest, chain.starts[group])
+            size = table["open_size"].combine_chunks().fill_null(0).to_numpy()
+            used = events[:-1] - events[begin] + np.where(own, 0, size)
+            quota = np.clip(n - used, 0, chain.counts)
+            yield from pa.Table.from_arrays(
+                [table["stage"], table["caller"], pa.array(chain.times), pa.array(chain.counts), pa.array(quota, pa.int64())],
+                [*CALLER, "us", "count", "quota"],
+            ).combine_chunks().to_batches()
 
     return run
 
 
-def _floor(col: str, step: int) -> Column:
-    return (F.floor(F.col(col) / step) * step).cast("bigint")
+def _floor(col: Column, step: int) -> Column:
+    return (F.floor(col / step) * step).cast("bigint")
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Equal columns, nulls too: a null caller is a caller."""
+    match = F.lit(True)
+    for c in columns:
+        match = match & left[c].eqNullSafe(right[c])
+    return match
 
 
 def admit_within_budget(
-    events: DataFrame, n: int, window_seconds: int = 60, windows_per_chunk: int = WINDOWS_PER_CHUNK,
-    busy_rows: int = BUSY_ROWS,
+    events: DataFrame, n: int, window_seconds: int = 60, windows_per_chunk: int = WINDOWS_PER_CHUNK
 ) -> DataFrame:
-    """(event_id, stage, caller, is_admitted); ``n`` of 0 or less admits nothing."""
+    """(event_id, stage, caller, is_admitted); ``n`` of 0 or less admits nothing. Of events at one time, the lower ids count
+    first; an event without a time is not admitted."""
     if n <= 0:
         return events.select("event_id", *CALLER, F.lit(False).alias("is_admitted"))
     width = window_seconds * 1_000_000
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     key = f"stage {kinds['stage']}, caller {kinds['caller']}"
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    keyed = events.select("event_id", *CALLER, micros.alias("us")).withColumn(
-        "span", _floor("us", width * max(1, windows_per_chunk))
-    )
-    per_span = keyed.groupBy(*CALLER, "span").count()
-    busy = per_span.groupBy(*CALLER).agg(F.sum("count").alias("events")).filter(F.col("events") > busy_rows)
-    # Chunks of busy callers: their spans, or single windows where a span itself is too full.
-    spans = per_span.join(busy, CALLER).select(*CALLER, "span", (F.col("count") > busy_rows).alias("is_full"))
-    keyed = keyed.join(spans, [*CALLER, "span"], "left").select(
-        "event_id", *CALLER, "us", F.col("is_full").isNotNull().alias("is_busy"),
-        F.when(F.col("is_full"), _floor("us", width)).when(~F.col("is_full"), F.col("span")).otherwise(0).alias("chunk"),
-    )
-    summary = keyed.filter("is_busy").groupBy(*CALLER, "chunk").applyInPandas(
-        _summarise(width), f"{key}, chunk bigint, opens_us bigint, exit_us bigint, exit_size bigint"
-    )
-    openings = summary.groupBy(*CALLER).applyInPandas(
-        _fold(width), f"{key}, chunk bigint, open_us bigint, open_size bigint"
-    )
-    placed = keyed.join(openings, [*CALLER, "chunk"], "left").repartition(*CALLER, "chunk")
-    ordered = placed.sortWithinPartitions(*CALLER, "chunk", "us", "event_id")
-    return ordered.mapInPandas(_admit(width, n), f"event_id {kinds['event_id']}, {key}, is_admitted boolean")
+    every = events.select("event_id", *CALLER, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    timed = every.filter("us IS NOT NULL")
+    chunk = _floor(F.col("us"), width * max(1, windows_per_chunk))
+    by_chunk = [*CALLER, "chunk"]
+    times = store(timed.groupBy(*CALLER, chunk.alias("chunk"), "us").agg(F.count(F.lit(1)).alias("count")))
+    summary = times.repartition(*by_chunk).sortWithinPartitions(*by_chunk, "us").mapInArrow(
+        _summaries(width), f"{key}, chunk bigint, opens array<bigint>, exits array<bigint>, sizes array<bigint>")
+    openings = summary.repartition(*CALLER).sortWithinPartitions(*by_chunk).mapInArrow(
+        _folded(width), f"{key}, chunk bigint, open_us bigint, open_size bigint")
+    placed = times.join(openings, _same(times, openings, by_chunk)).select(*[times[c] for c in times.columns], "open_us", "open_size")
+    quotas = placed.repartition(*by_chunk).sortWithinPartitions(*by_chunk, "us").mapInArrow(
+        _quotas(width, n), f"{key}, us bigint, count bigint, quota bigint")
+    found = timed.join(quotas, _same(timed, quotas, [*CALLER, "us"])).select(*[timed[c] for c in timed.columns], "count", "quota")
+    # Only where a time has more events than its quota do single events count.
+    number = F.row_number().over(Window.partitionBy(*CALLER, "us").orderBy("event_id"))
+    split = found.filter((F.col("quota") > 0) & (F.col("quota") < F.col("count"))).withColumn("is_admitted", number <= F.col("quota"))
+    whole = found.filter((F.col("quota") == 0) | (F.col("quota") == F.col("count"))).withColumn("is_admitted", F.col("quota") > 0)
+    untimed = every.filter("us IS NULL").withColumn("is_admitted", F.lit(False))
+    columns = ["event_id", *CALLER, "is_admitted"]
+    return whole.select(*columns).unionByName(split.select(*columns)).unionByName(untimed.select(*columns))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from findery.operators import analytics as A
+from findery.session import shared_folder
+from findery.sources import logs as L
 from findery.workload import tables as T
 from findery.workload.registry import register
 
@@ -118,18 +122,16 @@ def report_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("query_key", "term", "result_count")
 
 
-@register(
-    "purge_log",
-    """WITH old AS (SELECT query_key FROM search_log
+_PURGED = """WITH old AS (SELECT query_key FROM search_log
                     WHERE create_date < TIMESTAMP '2024-02-01' - INTERVAL 12 DAY)
     SELECT 'search' AS kind, query_key, CAST(NULL AS VARCHAR) AS node_key FROM search_log
     WHERE query_key NOT IN (SELECT query_key FROM old)
     UNION ALL SELECT 'click', query_key, node_key FROM click_log
     WHERE query_key NOT IN (SELECT query_key FROM old)
-    UNION ALL SELECT 'removed', count(*), NULL FROM old""",
-)
-def purge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    searches, clicks, removed = A.purge_log(*_logs(spark, sf_dir), 12, as_of=T.EVENTS_AS_OF)
+    UNION ALL SELECT 'removed', count(*), NULL FROM old"""
+
+
+def _survivors(searches: DataFrame, clicks: DataFrame, removed: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     return (
         searches.select(F.lit("search").alias("kind"), "query_key", none.alias("node_key"))
@@ -138,3 +140,19 @@ def purge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("removed").alias("kind"), F.col("removed").alias("query_key"), none.alias("node_key")
         ))
     )
+
+
+@register("purge_log", _PURGED)
+def purge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(*A.purge_log(*_logs(spark, sf_dir), 12, as_of=T.EVENTS_AS_OF))
+
+
+@register("purge_log_tables", _PURGED)
+def purge_log_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on the tables themselves: written by day, purged in place and read back."""
+    base = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    for name, rows in zip(("searches", "clicks"), _logs(spark, sf_dir), strict=True):
+        L.dated(rows).write.partitionBy("log_date").parquet(f"{base}/{name}")
+    done = L.purge_log_tables(spark, f"{base}/searches", f"{base}/clicks", 12, as_of=T.EVENTS_AS_OF)
+    removed = spark.range(1).select(F.lit(done.searches).cast("bigint").alias("removed"))
+    return _survivors(spark.read.parquet(f"{base}/searches"), spark.read.parquet(f"{base}/clicks"), removed)

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from findery.session import shared_folder
+from findery.session import settings, shared_folder
 from findery.sources.logs import LogSettings
-from findery.streaming import budget as B, content as C, logs as L
+from findery.streaming import budget as B, content as C, index as SI, logs as L
 from findery.workload import tables as T
 from findery.workload.extract_queries import clean, words
 from findery.workload.registry import register
@@ -138,5 +138,29 @@ def stream_extract_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_admit_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = T.budget_rows(_stream(spark, sf_dir, "events"))
-    rows = _drain(spark, B.stream_admit_budget(src, 2, 86400), "append")
+    with settings(spark, B.STATE):
+        rows = _drain(spark, B.stream_admit_budget(src, 2, 86400), "append")
     return rows.select("event_id", "caller", "is_admitted")
+
+
+@register(
+    "stream_index",
+    r"""WITH d AS (SELECT doc_key, CASE WHEN CAST(doc_key AS BIGINT) % 3 = 0 THEN name ELSE f_bodytext END AS body FROM docs_text
+      WHERE CAST(doc_key AS BIGINT) % 5 <> 0),
+    t AS (SELECT doc_key, list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS toks FROM d WHERE body IS NOT NULL),
+    p AS (SELECT doc_key, term, doc_len, count(*) AS tf FROM (SELECT doc_key, unnest(toks) AS term, len(toks) AS doc_len FROM t) GROUP BY ALL)
+    SELECT doc_key, p.term, doc_len, tf, df FROM p JOIN (SELECT term, count(*) AS df FROM p GROUP BY ALL) v ON v.term = p.term""",
+)
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive; then every third changes its text and every fifth goes."""
+    base, checkpoint = _folders(spark)
+    docs, key = T.docs_text(spark, sf_dir), F.col("doc_key").cast("bigint")
+    first = docs.withColumns({"version": F.lit(1), "is_deleted": F.lit(False)})
+    text = F.map_concat(F.map_filter("fields", lambda k, _: k != "bodytext"), F.create_map(F.lit("bodytext"), F.col("name")))
+    second = docs.filter((key % 3 == 0) | (key % 5 == 0)).withColumns({"fields": text, "version": F.lit(2), "is_deleted": key % 5 == 0})
+    for changes in (first, second):
+        changes.write.mode("append").parquet(f"{base}/changes")
+        src = spark.readStream.schema(first.schema).parquet(f"{base}/changes")
+        _finish(spark, lambda: SI.stream_index(src, f"{base}/index", checkpoint, ["bodytext"], variants=False, available_now=True))
+    index = SI.read_streamed_index(spark, f"{base}/index")
+    return index.postings.join(index.vocab, ["index_name", "field", "term"]).select("doc_key", "term", "doc_len", "tf", "df")

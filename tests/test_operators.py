@@ -45,19 +45,25 @@ def brute_admissions(events, n, width):
     return out
 
 
-@pytest.mark.parametrize("chunk, busy", [(1, 0), (3, 0), (3, 20), (1440, 1_000_000)])
-def test_budget_chunks_equal_one_pass(spark, chunk, busy):
-    draw = random.Random(chunk + busy)
-    # One caller holds most events; some share a timestamp, some leave gaps of many windows.
+@pytest.mark.parametrize("chunk, n", [(1, 2), (3, 2), (1440, 2), (2, 1), (4, 7)])
+def test_budget_chunks_equal_one_pass(spark, chunk, n):
+    draw = random.Random(chunk + n)
+    # One caller holds most events; some share a timestamp, some leave gaps of many windows; a null caller is one.
     events, us = [], 0
-    for i in range(400):
-        us += draw.choice([0, 1, 2, 3, 7, 10, 60]) * 1_000_000
-        events.append((i, "hot" if draw.random() < 0.7 else f"c{i % 5}", us))
+    for i in range(600):
+        us += draw.choice([0, 0, 1, 2, 3, 7, 10, 60]) * 1_000_000
+        events.append((i, "hot" if draw.random() < 0.7 else draw.choice(["c1", "c2", None]), us))
     frame = spark.createDataFrame(events, "event_id int, caller string, us bigint").select(
         "event_id", F.lit("all").alias("stage"), "caller", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts")
-    )
-    rows = admit_within_budget(frame, 2, 10, windows_per_chunk=chunk, busy_rows=busy).collect()
-    assert {r["event_id"]: r["is_admitted"] for r in rows} == brute_admissions(events, 2, 10_000_000)
+    ).repartition(5)
+    rows = admit_within_budget(frame, n, 10, windows_per_chunk=chunk).collect()
+    want = brute_admissions([(i, c or "", u) for i, c, u in events], n, 10_000_000)
+    assert {r["event_id"]: r["is_admitted"] for r in rows} == want
+
+
+def test_budget_of_nothing(spark):
+    none = spark.createDataFrame([], "event_id int, stage string, caller string, ts timestamp")
+    assert admit_within_budget(none, 3).count() == 0 and admit_within_budget(none, 0).count() == 0
 
 
 def test_scores_agree_whatever_join_runs(spark, sf_dir):
