@@ -1,6 +1,10 @@
 """URL filters: fixed rules against plain parsing, mined rules against counting, awkward input."""
 
+import random
+from itertools import combinations
+
 import pytest
+from pyspark.sql import functions as F
 
 from findery.llm import url_rules
 
@@ -54,15 +58,69 @@ def test_a_pair_of_tokens_is_mined_and_matched(site):
     assert sorted((r.page_id, r.verdict) for r in found) == [(1000, "block"), (1001, "allow"), (1002, "allow"), (1002, "block")]
 
 
+def cut(pages):
+    host, path, tail = url_rules.parts(pages.url)
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), tail.alias("tail"))
+    return rows.select("page_id", url_rules.tokens(*[rows[c] for c in ("url", "host", "path", "tail")]).alias("tokens"),
+                       rows.page_id.alias("row"), F.lit(0).alias("file"))
+
+
 def test_confidence_and_support_are_counts(spark, site):
     pages, labels = site
-    host, path, tail = url_rules.parts(pages.url)
-    cut = pages.select("page_id", "url", host.alias("host"), path.alias("path"), tail.alias("tail"))
-    cut = cut.select("page_id", url_rules.tokens(*[cut[c] for c in ("url", "host", "path", "tail")]).alias("tokens"))
-    rules = url_rules.mine(cut, labels, 0.002, 0.5, 1.5, 12).collect()
-    seen = {r.page_id: set(r.tokens) for r in cut.collect()}
+    rows = cut(pages)
+    rules = url_rules.mine(rows, labels, 0.002, 0.5, 1.5).collect()
+    seen = {r.page_id: set(r.tokens) for r in rows.collect()}
     bad = {r.doc_id for r in labels.collect() if r.toxic}
     assert [sorted(r.tokens) for r in rules] == [["h:pills", "p:promo"]]
     for r in rules:
         having = [p for p in seen if p < 1000 and set(r.tokens) <= seen[p]]
         assert r.confidence == pytest.approx(len([p for p in having if p in bad]) / len(having)) and r.filed in r.tokens
+
+
+def test_every_set_of_tokens_counts(spark):
+    """All sets of tokens of every page, enumerated: the same pages are blocked with the same confidence."""
+    draw = random.Random(5)
+    urls = {}
+    for i in range(160):
+        parts = [p for p in "abcdef" if draw.random() < 0.45]
+        urls[i] = "http://h.org/" + "/".join(parts) + ("?k" if draw.random() < 0.3 else "")
+    toxic = {i for i, u in urls.items() if ("/b/c" in u or u.endswith("f?k")) and draw.random() < 0.8 or draw.random() < 0.05}
+    pages = spark.createDataFrame([(i, u, "", "", 0) for i, u in urls.items()], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in urls if i < 120], "doc_id long, quality int, toxic int")
+    tokens = {r.page_id: set(r.tokens) for r in cut(pages).collect()}
+    support, confidence, lift, known = 0.05, 0.5, 1.5, range(120)
+    rate = len([i for i in known if i in toxic]) / 120
+    best = {}
+
+    def sure(held):
+        if held not in best:
+            having = [i for i in known if held <= tokens[i]]
+            hits = sum(i in toxic for i in having)
+            share = hits / len(having) if having else 0
+            best[held] = share if hits >= support * 120 and share >= confidence and share / rate >= lift else None
+        return best[held]
+
+    want = {}
+    for i, own in tokens.items():
+        found = [sure(frozenset(c)) for n in range(1, len(own) + 1) for c in combinations(sorted(own), n)]
+        want[i] = max((f for f in found if f is not None), default=None)
+    got = {r.page_id: r.confidence for r in url_rules.url_filter(pages, labels, support, confidence, lift).collect()}
+    assert len([v for v in want.values() if v]) > 10
+    assert got == {i: v if v is None else pytest.approx(v) for i, v in want.items()}
+
+
+def test_a_bad_sign_behind_a_long_path(spark):
+    """600 pages whose only bad sign is a query key behind thirteen path parts, a third of them labelled."""
+    deep = "/".join(f"part{c}" for c in "abcdefghijklm")
+    rows = [(i, f"https://site.example.org/{deep}/x{'abc'[i % 3]}{'?evil=1' if i < 600 else '?fine=1'}", "", "", 0) for i in range(1800)]
+    labels = spark.createDataFrame([(i, 1, int(i < 600)) for i in range(0, 1800, 3)], "doc_id long, quality int, toxic int")
+    found = url_rules.url_filter(spark.createDataFrame(rows, SCHEMA), labels).collect()
+    assert {r.page_id for r in found if r.verdict == "block"} == set(range(600))
+
+
+def test_tokens_alike_stand_for_each_other(spark):
+    rows = [(i, f"http://h.org/{'one/two' if i % 2 else 'other'}/{i}", "", "", 0) for i in range(100)]
+    rows += [(200, "http://h.org/two/1", "", "", 0), (201, "http://h.org/one/1", "", "", 0), (202, "http://h.org/three/1", "", "", 0)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    found = {r.page_id: r.verdict for r in url_rules.url_filter(spark.createDataFrame(rows, SCHEMA), labels).collect()}
+    assert (found[200], found[201], found[202]) == ("block", "block", "allow")
