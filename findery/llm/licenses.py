@@ -46,11 +46,12 @@ NOTICES = (
             "General Public License as published by the Free Software Foundation"),
 )
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SPLIT), "")
+    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), SPLIT), "")
 
 
 def plain_words(text: str) -> list[str]:
