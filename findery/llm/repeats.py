@@ -58,19 +58,23 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _block_hashes(flat: np.ndarray) -> np.ndarray:
-    space = SPACE[flat]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def span_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span, from sums that run over all of them once."""
     up, down = _powers(max(BLOCK, 1 << int(len(flat)).bit_length()))
     sums = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word, a block of bytes at a time; blocks end at white space."""
-    flat, out, at = np.frombuffer(data, np.uint8), [np.zeros(0, np.uint64)], 0
+def word_spans(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs without white space start and end."""
+    edge = np.diff(np.concatenate([[True], SPACE[flat], [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def blocks(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset, bytes) of some bytes at a time, cut behind white space; a longer word is a block of its own."""
+    at = 0
     while at < len(flat):
         end = min(at + BLOCK, len(flat))
         while end < len(flat):
@@ -79,9 +83,13 @@ def word_hashes(data: bytes) -> np.ndarray:
                 end = at + int(gaps[-1]) + 1
                 break
             end = min(end + BLOCK, len(flat))
-        out.append(_block_hashes(flat[at:end]))
+        yield at, flat[at:end]
         at = end
-    return np.concatenate(out)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word."""
+    return np.concatenate([np.zeros(0, np.uint64), *(span_hashes(part, *word_spans(part)) for _, part in blocks(np.frombuffer(data, np.uint8)))])
 
 
 def window_minima(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
