@@ -6,8 +6,8 @@ so that two terms can mean more together than apart.
 
 The labelled rows for training are a bounded sample (`rows`, the first by hash of doc_id). Its terms are chosen from
 counts over that sample: those that tell the labels apart beyond chance, for or against toxicity, over all rows or
-among the rows with a term that goes with toxic ones, so that a neutral or excusing side of a pair is there to
-be learned. At most `terms` of them make the model, so its size is fixed. Every round is one Spark job: each task sums the gradient of its rows,
+among the rows with a term that goes with toxic ones, or in pairs that say what neither term does alone, so that neutral and
+excusing sides of a pair are there to be learned. At most `terms` of them make the model, so its size is fixed. Every round is one Spark job: each task sums the gradient of its rows,
 and the driver, which only holds the model, takes one step. Scoring reads every text once, with no shuffle.
 
 A null text is an empty one and scores the bias; a null doc_id is in no fold; repeated rows are scored
@@ -17,6 +17,7 @@ columns are ignored. Without any labelled row every score is 0.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -140,25 +141,63 @@ def telling(counts: DataFrame, terms: int, least: float) -> list:
     return best.orderBy(F.desc("score"), "term").limit(terms).collect()
 
 
-def chosen_terms(sample: DataFrame, terms: int, least: float) -> np.ndarray:
-    """Feature hashes that tell the labels apart, alone or among rows that have one that goes with toxic rows;
-    the strongest `terms` of them."""
-    alone = telling(tallied(sample, None), terms, least)
+def row_features(batch: pa.RecordBatch, memo: Memo) -> list[np.ndarray]:
+    found = memo.lookup([t.encode().lower().split() for t in batch.column("text").to_pylist()])
+    return [np.unique(np.frombuffer(b"".join(x), "<i4")) for x in found]
+
+
+def telling_pairs(sample: DataFrame, often: np.ndarray, rate: float, least: float, rows: int = 20) -> np.ndarray:
+    """Of the sorted hashes `often`, those with a partner among them such that rows with both are more or less toxic than each
+    of the two alone lets expect, by at least `least` standard errors.
+
+    Tasks add up two matrices of `often` squared; the sample is bounded, and so are tasks and matrices.
+    """
+    size = len(often)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(lambda words: [np.array(word_features(w), "<i4").tobytes() for w in words])
+        both, off = np.zeros((size, size), np.float32), np.zeros((size, size), np.float32)
+        for batch in batches:
+            own = [r[np.isin(r, often)] for r in row_features(batch, memo)]
+            held = np.zeros((len(own), size), np.float32)
+            held[np.repeat(np.arange(len(own)), [len(r) for r in own]), np.searchsorted(often, np.concatenate([*own, often[:0]]))] = 1
+            both += held.T @ held
+            off += held.T @ (held * (batch.column("label").to_numpy() - rate).astype(np.float32)[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary()), pa.array([off.tobytes()], pa.binary())], ["both", "off"])
+
+    sums = sample.repartition(4).mapInArrow(run, "both binary, off binary").collect()
+    both, off = (sum(np.frombuffer(r[c], "f4").reshape(size, size).astype("f8") for r in sums) for c in ("both", "off"))
+    alone = np.diag(off) / np.maximum(np.diag(both), 1)
+    gap = off / np.maximum(both, 1) - alone[:, None] - alone[None]
+    strong = (both >= rows) & (np.abs(gap) * np.sqrt(both) >= least * math.sqrt(rate * (1 - rate)))
+    return often[strong.any(1)]
+
+
+def chosen_terms(sample: DataFrame, terms: int, least: float, often: int, errors: float) -> np.ndarray:
+    """Feature hashes that tell the labels apart, alone, among rows that have one that goes with toxic rows, or as one of a
+    pair of the `often` most frequent ones that says what neither does alone; the strongest `terms` of them."""
+    counts = tallied(sample, None)
+    alone = telling(counts, terms, least)
     toxic = np.array([r.term for r in alone if r.toxic], "<i4")
     beside = telling(tallied(sample, toxic), terms, least) if len(toxic) else []
     best: dict[int, float] = {}
     for r in [*alone, *beside]:
         best[r.term] = max(r.score, best.get(r.term, 0.0))
+    whole = counts.where("term = -1").first()
+    if whole is not None and 0 < whole.a < whole.n:
+        common = [r.term for r in counts.where("term >= 0 and n >= 3").orderBy(F.desc("n"), "term").limit(often).collect()]
+        for t in telling_pairs(sample, np.array(sorted(common), "<i4"), whole.a / whole.n, errors).tolist():
+            best.setdefault(t, least)
     return np.array(sorted(sorted(best, key=lambda t: (-best[t], t))[:terms]), "i8")
 
 
 def train(
     docs: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int = 8_192, factors: int = 4, rounds: int = 40,
-    rate: float = 0.1, decay: float = 1e-4, least: float = 25.0, seed: int = 7,
+    rate: float = 0.1, decay: float = 1e-4, least: float = 25.0, often: int = 1_024, errors: float = 6.0, seed: int = 7,
 ) -> Model:
     """A model of the labelled rows that are not held out."""
     sample = store(labelled(docs, labels, rows))
-    picked = chosen_terms(sample, terms, least)
+    picked = chosen_terms(sample, terms, least, often, errors)
     rng = np.random.default_rng(seed)
     blank = Model(picked, 0.0, np.zeros(len(picked)), rng.normal(0, 0.05, (len(picked), factors)))
 

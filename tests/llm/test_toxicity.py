@@ -57,6 +57,28 @@ def test_a_pair_with_an_excusing_term(spark):
     assert held_out_mistakes(spark, bits, lambda words: "dumb" in words and "joke" not in words) == 0
 
 
+def test_a_pair_of_neutral_terms(spark):
+    """Toxic with exactly one of two words, of which each is as often in toxic rows as in others."""
+    draw = np.random.default_rng(1)
+    noise = [{f"w{k}" for k in draw.integers(0, 40, 12)} for _ in range(1600)]
+    one, two = draw.random(1600) < 0.5, draw.random(1600) < 0.5
+    bits = {"alpha": lambda i: one[i], "beta": lambda i: two[i], **{f"w{k}": (lambda i, w=f"w{k}": w in noise[i]) for k in range(40)}}
+    assert held_out_mistakes(spark, bits, lambda words: ("alpha" in words) != ("beta" in words)) == 0
+
+
+def test_score_is_the_plain_sum_over_pairs():
+    draw = np.random.default_rng(3)
+    words = [b"one", b"two", b"three", b"longer", b"longest"]
+    terms = np.array(sorted({f for w in words for f in toxicity.word_features(w)}))
+    model = toxicity.Model(terms, -0.3, draw.normal(size=len(terms)), draw.normal(size=(len(terms), 3)))
+    texts = ["one two", "Three, longer longer LONGEST! unknown", "", "one two three longest"]
+    got = model.score(model.features(texts))
+    for text, score in zip(texts, got, strict=True):
+        own = sorted({int(np.searchsorted(terms, f)) for w in text.encode().lower().split() for f in toxicity.word_features(w) if f in terms})
+        logit = -0.3 + sum(model.weights[i] for i in own) + sum(model.factors[i] @ model.factors[j] for i in own for j in own if i < j)
+        assert abs(score - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
