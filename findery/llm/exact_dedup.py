@@ -2,7 +2,7 @@
 
 Each row is reduced to a fingerprint: the digest of its normalised text, its doc_id and length, and the
 locator of its content (file and row). The fingerprints are read as a stream, in files of any order and
-number; the state, which lies on disk (RocksDB) and never expires, keeps for a digest how many rows came
+number, some at a time; the state, which lies on disk (RocksDB) and never expires, keeps for a digest how many rows came
 and the identifier and locator of the row that stays. Rows are counted before they are shuffled, so a
 digest that holds a third of all rows is as cheap as another. Hits, rows whose digest others share,
 are then read again by locator and compared in full bytes; should texts of one digest differ, those rows
@@ -15,6 +15,7 @@ one; empty texts are one group; repeated rows are told apart by their locators;
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -71,12 +72,10 @@ def fingerprints(placed: DataFrame, file: str, row: str, width: int) -> DataFram
     )
 
 
-def groups_of_stream(prints: DataFrame, folder: str, files_per_batch: int | None) -> DataFrame:
+def groups_of_stream(prints: DataFrame, folder: str, files_per_batch: int) -> DataFrame:
     """(digest, group_size, best) from the state, once the stream has taken every fingerprint in the folder."""
     spark = prints.sparkSession
-    source = spark.readStream.schema(prints.schema)
-    if files_per_batch:
-        source = source.option("maxFilesPerTrigger", files_per_batch)
+    source = spark.readStream.schema(prints.schema).option("maxFilesPerTrigger", files_per_batch)
     state = source.parquet(f"{folder}/prints").groupBy("digest").agg(F.count("*").alias("group_size"), best(*ORDER))
     with settings(spark, STATE):
         running = (
@@ -91,6 +90,11 @@ def groups_of_stream(prints: DataFrame, folder: str, files_per_batch: int | None
         )
 
 
+#: Micro-batches that the fingerprints are taken in where nothing is said, so that later ones meet the state of earlier ones
+#: and a failure costs a part.
+BATCHES = 3
+
+
 def members(docs: DataFrame, files_per_batch: int | None = None, width: int = 32) -> tuple[DataFrame, DataFrame, str, str]:
     """Every row's (file, row, doc_id, keep_id, group_size, kept, text_sha256), and docs with its locators.
 
@@ -101,7 +105,7 @@ def members(docs: DataFrame, files_per_batch: int | None = None, width: int = 32
     folder = f"{shared_folder(docs.sparkSession)}/dedup-{uuid.uuid4().hex}"
     fingerprints(placed, file, row, width).write.parquet(f"{folder}/prints")
     prints = docs.sparkSession.read.parquet(f"{folder}/prints")
-    groups = groups_of_stream(prints, folder, files_per_batch)
+    groups = groups_of_stream(prints, folder, files_per_batch or max(1, math.ceil(len(prints.inputFiles()) / BATCHES)))
     every = prints.join(groups, "digest")
     hits = every.where("group_size > 1").select("file", "row", "digest", "shorter", "no_id", "doc_id")
     content = placed.select(F.col(file).alias("file"), F.col(row).alias("row"), normalised(F.col("text")).alias("content"))
