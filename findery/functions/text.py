@@ -149,11 +149,14 @@ def shorten(col: Column, limit: int) -> Column:
 
 
 def html_encode(col: Column) -> Column:
-    """The five markup characters as entities."""
+    """The five markup characters as entities, and the characters from U+00A0 to U+00FF as numbers."""
     out = F.replace(col, F.lit("&"), F.lit("&amp;"))
     for char, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(char), F.lit(entity))
-    return out
+    high = F.array(*[F.lit(chr(c)) for c in range(0xA0, 0x100)])
+    numbered = F.aggregate(high, out, lambda text, c: F.replace(text, c, F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))))
+    # Text without any of them skips the work.
+    return F.when(out.rlike("[\u00a0-\u00ff]"), numbered).otherwise(out)
 
 
 def normalize_term(col: Column) -> Column:

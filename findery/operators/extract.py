@@ -201,24 +201,25 @@ def flatten_structured(df: DataFrame, col: str) -> DataFrame:
 
 def _first_uses(texts: Column, max_chars: int | None) -> Column:
     """Texts joined by a space: repeats dropped ignoring case, none started past the limit."""
+    # In lower case and then in order, the first of equal texts stands behind a different one; then they go back to their places.
+    marked = F.sort_array(F.transform(texts, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("text"))))
+    once = T.let(marked, lambda m: F.filter(m, lambda e, i: (i == 0) | (F.get(m, i - 1)["low"] != e["low"])))
+    places = F.sort_array(F.transform(once, lambda e: F.struct(e["at"].alias("at"), e["text"].alias("text"))))
+    first = F.transform(places, lambda e: e["text"])
     if max_chars is None:
-        first = F.filter(texts, lambda t, i: ~F.array_contains(F.transform(F.slice(texts, 1, i), F.lower), F.lower(t)))
         return F.array_join(first, " ")
     empty = F.struct(
-        F.lit(0).alias("length"), F.array().cast("array<string>").alias("seen"),
-        F.array().cast("array<string>").alias("kept"),
+        F.lit(0).alias("length"), F.array().cast("array<string>").alias("kept"),
     )
 
     def step(acc: Column, text: Column) -> Column:
-        fits = (acc["length"] < max_chars) & ~F.array_contains(acc["seen"], F.lower(text))
         grown = F.named_struct(
             F.lit("length"), acc["length"] + F.length(text) + 1,
-            F.lit("seen"), F.concat(acc["seen"], F.array(F.lower(text))),
             F.lit("kept"), F.concat(acc["kept"], F.array(text)),
         )
-        return F.when(fits, grown).otherwise(acc)
+        return F.when(acc["length"] < max_chars, grown).otherwise(acc)
 
-    joined = F.aggregate(texts, empty, step, lambda acc: F.array_join(acc["kept"], " "))
+    joined = F.aggregate(first, empty, step, lambda acc: F.array_join(acc["kept"], " "))
     return F.when(F.length(joined) <= max_chars, joined).otherwise(
         F.rtrim(F.substring(joined, 1, max_chars))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from findery.operators import describe as DS, rank as R
 from findery.operators.terms import term_groups
 from findery.workload import tables as T
-from findery.workload.extract_queries import squeeze, words
+from findery.workload.extract_queries import encoded_sql, squeeze, words
 from findery.workload.registry import register
 
 TITLE_FIELDS = ("missing", "bodytext_en", "urlname")
@@ -148,14 +148,14 @@ def snippet_sentence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(DS.snippet_sentence(_sources(spark, sf_dir), 400, 1))
 
 
+_MARKED = encoded_sql(r"regexp_replace(snippet, pat, chr(57344) || '\0' || chr(57345), 'g')")
 STYLE = DS.HighlightStyle(text_colour="Red", background_colour="#FFF", italic=True, font_scale_percent=120, corner_radius=99)
 
 
 @register(
     "highlight_matches",
     f"""SELECT query_id, doc_key, CASE WHEN cut_before THEN '…' ELSE '' END || replace(replace(
-        replace(replace(replace(replace(replace(regexp_replace(snippet, pat, chr(57344) || '\\0' || chr(57345), 'g'),
-          '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'),
+        {_MARKED},
         chr(57344), '<mark style="color:red;background:#fff;font-weight:700;font-style:italic;text-decoration:none;font-size:120%;border-radius:40px">'),
         chr(57345), '</mark>') || CASE WHEN cut_after THEN '…' ELSE '' END AS highlight
     FROM ({_snippet_sql(_window(120), 'start', 'taken').replace('query_id, doc_key,', 'query_id, doc_key, pat,', 1)})""",

@@ -11,6 +11,19 @@ from findery.workload.registry import register
 _WS = r"[\s\x{0b}\x{85}\x{a0}\x{2028}\x{2029}\x{2000}-\x{200a}\x{3000}]+"
 
 
+def numbered_sql(expr: str) -> str:
+    """The characters from U+00A0 to U+00FF as numbers."""
+    for code in range(0xA0, 0x100):
+        expr = f"replace({expr}, chr({code}), '&#{code};')"
+    return expr
+
+
+def encoded_sql(expr: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        expr = f"replace({expr}, '{char}', '{entity}')"
+    return numbered_sql(expr)
+
+
 def squeeze(expr: str) -> str:
     return f"trim(regexp_replace({expr}, '{_WS}', ' ', 'g'))"
 

@@ -11,6 +11,7 @@ from findery.session import shared_folder
 from findery.sources import indexes as I, logs as L, pages as PG
 from findery.workload import tables as T
 from findery.workload.describe_queries import _shorten_sql
+from findery.workload.extract_queries import encoded_sql
 from findery.workload.registry import register
 from findery.workload.stream_queries import _LOGGED
 
@@ -197,7 +198,7 @@ def shorten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", TX.shorten(F.col("text"), 60).alias("short"))
 
 
-_ENCODED = """replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')"""
+_ENCODED = encoded_sql("html")
 
 
 @register("html_encode", f"SELECT page_id, {_ENCODED} AS html FROM pages")
