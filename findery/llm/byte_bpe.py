@@ -7,7 +7,8 @@ by the tokenizer's pattern and each pre-token is encoded on its own; decoding ma
 back to bytes.
 
 Encoding needs no shuffle: every text is encoded where it is read. A null text is an empty one and has
-no tokens; a text of any length is encoded whole; repeated rows stay repeated.
+no tokens; a text of any length is encoded whole; repeated rows stay repeated; null doc_ids are kept; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

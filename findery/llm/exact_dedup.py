@@ -10,7 +10,8 @@ are grouped anew by their texts.
 
 Texts are equal when they are after deleting ASCII white space. Of equal texts the row with the most code
 points stays, then the smallest doc_id (null last), then the first by locator. A null text is an empty
-one; empty texts are one group; repeated rows are told apart by their locators; other columns are ignored.
+one; empty texts are one group; repeated rows are told apart by their locators; texts of any length are compared whole; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ distinct words. The join finds every such pair:
 
 The notices' words are literals of the plan: their number is the caller's, not the data's. Blocks meet
 the index before anything is shuffled; only matches, one row a document, are. A null text is an empty one
-and has no words; rows of any doc_id are told apart by their locators; long texts are scanned whole.
+and has no words; rows of any doc_id, null or repeated, are told apart by their locators; long texts are scanned whole; of blocks that
+match equally well any gives the score, and equal labels count once; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

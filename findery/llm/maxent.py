@@ -17,7 +17,8 @@ log P(word | before) = log P(class | before) + log P(word | class).
   of counts; as they are rarer than every dictionary word, none is a hot key.
 
 A null text is an empty one: its end token is all it has. A null doc_id counts as the text '' in the fold.
-Rows are told apart by locators; other columns are ignored. Without training rows every score is 0.
+Rows are told apart by locators, so repeated rows are each scored; other columns are ignored; texts of any length are scored whole; words of
+equal counts are ordered by their bytes. Without training rows every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@
 
 The pair work of a group grows with the square of its different sets, which exact link counts need; copies
 of one set, however many, are one node. Null texts are empty; null doc_ids and repeated rows are
-kept as rows; other columns are ignored.
+kept as rows; other columns are ignored; texts of any length are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ that no piece covers costs one piece a byte, each at the score of a rank behind
 equal score the one with fewer pieces counts.
 
 No shuffle: each text is counted where it is read. A null or empty text has no tokens; texts of any
-length are counted whole; repeated rows stay repeated.
+length are counted whole; repeated rows stay repeated; null doc_ids are kept; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ shard, so no pass over all rows is needed to place a document. Readers split fil
 lookup by doc_id skips stripes and row groups by their ranges and Bloom filters.
 
 One shuffle orders the raw texts by range; encoding runs after it, once. A null text is an empty one and
-has the end id alone; repeated doc_ids are all kept, in the order of their texts; an empty table gives
-files without rows.
+has the end id alone; repeated doc_ids are all kept, in the order of their texts, and equal rows lie side by side; texts of any
+length are one row of ids; other columns are ignored; an empty table gives files without rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ and the driver, which only holds the model, takes one step. Scoring reads every
 
 A null text is an empty one and scores the bias; a null doc_id is in no fold; repeated rows are scored
 alike; a doc_id labelled twice is toxic if one label says so; labels of no document, null labels and other
-columns are ignored. Without any labelled row every score is 0.
+columns are ignored. Texts of any length are scored whole, each distinct term once; terms of equal strength are taken in the order of
+their hashes. Without any labelled row every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
