@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
 
 A null text is an empty one in every stage: it is not toxic, is a copy of other empty texts, has no near duplicates, holds no benchmark
-item and gives no tokens. Rows with null or repeated doc_ids are told apart by where they stand; of equal or near texts
-the longest original, or else the smallest doc_id (null last), then the first row stays. Texts of any length are taken whole; columns
+item and gives no tokens. Rows with null or repeated doc_ids are told apart by where they stand; of equal texts the longest
+original stays, of near ones and of ties the smallest doc_id (null last), then the first row. Texts of any length are taken whole; columns
 beyond those of documents are carried to the last stage, whatever their names; an empty table gives no rows.
 """
 
