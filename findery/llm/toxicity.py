@@ -166,12 +166,21 @@ def telling_pairs(sample: DataFrame, often: np.ndarray, rate: float, least: floa
             off += held.T @ (held * (batch.column("label").to_numpy() - rate).astype(np.float32)[:, None])
         yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary()), pa.array([off.tobytes()], pa.binary())], ["both", "off"])
 
-    sums = sample.repartition(4).mapInArrow(run, "both binary, off binary").collect()
-    both, off = (sum(np.frombuffer(r[c], "f4").reshape(size, size).astype("f8") for r in sums) for c in ("both", "off"))
-    alone = np.diag(off) / np.maximum(np.diag(both), 1)
-    gap = off / np.maximum(both, 1) - alone[:, None] - alone[None]
-    strong = (both >= rows) & (np.abs(gap) * np.sqrt(both) >= least * math.sqrt(rate * (1 - rate)))
-    return often[strong.any(1)]
+    def strong(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, off = np.zeros((size, size)), np.zeros((size, size))
+        for batch in batches:
+            for r in batch.to_pylist():
+                both += np.frombuffer(r["both"], "f4").reshape(size, size)
+                off += np.frombuffer(r["off"], "f4").reshape(size, size)
+        alone = np.diag(off) / np.maximum(np.diag(both), 1)
+        gap = off / np.maximum(both, 1) - alone[:, None] - alone[None]
+        found = (both >= rows) & (np.abs(gap) * np.sqrt(both) >= least * math.sqrt(rate * (1 - rate)))
+        yield pa.RecordBatch.from_arrays([pa.array(often[found.any(1)], pa.int32())], ["term"])
+
+    # Four pairs of matrices meet in one task; the driver gets the terms.
+    sums = sample.repartition(4).mapInArrow(run, "both binary, off binary")
+    found = sums.repartition(1).mapInArrow(strong, "term int").collect()
+    return np.array(sorted(r.term for r in found), "<i4")
 
 
 def chosen_terms(sample: DataFrame, terms: int, least: float, often: int, errors: float) -> np.ndarray:
