@@ -147,12 +147,12 @@ def _window_span(source: Column, at: Column, length: int) -> Column:
     """struct(start, size): ``length`` characters from a third before the match, at word edges."""
     length = max(MIN_SNIPPET_LENGTH, length)
     raw_start = F.greatest(F.lit(0), at - length // 3)
-    back = F.length(F.regexp_extract(_upto(source, raw_start), f"({_NOT_SPACE}*)$", 1))
+    back = F.length(F.regexp_extract(_upto(source, raw_start), rf"({_NOT_SPACE}*)\z", 1))
 
     def sized(start: Column) -> Column:
         full = F.least(F.lit(length), F.length(source) - start)
         piece = F.substr(source, start + 1, full)
-        whole_words = F.length(F.regexp_replace(piece, f"{_NOT_SPACE}+$", ""))
+        whole_words = F.length(F.regexp_replace(piece, rf"{_NOT_SPACE}+\z", ""))
         ends = start + full >= F.length(source)
         size = F.when(ends | (whole_words == 0), full).otherwise(whole_words)
         return F.named_struct(F.lit("start"), start, F.lit("size"), size)
