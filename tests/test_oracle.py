@@ -7,21 +7,12 @@ from findery.workload import all_queries, all_sql
 
 QUERIES, SQL = all_queries(), all_sql()
 
-# One query per area; `python tests/oracle.py` compares all of them.
-QUICK = [
-    "term_report", "log_summary", "purge_log", "clean_text", "extracted_content", "extract_json_text", "term_groups",
-    "build_postings", "match_prefix", "match_wildcard", "match_fuzzy", "score_bm25", "search_batch", "filter_flags",
-    "dedup_by_field", "sort_multi_mixed", "page_totals", "apply_rerank", "facet_counts_excluding_self",
-    "facet_date_range", "apply_facet_filters_places", "snippet_sentence", "highlight_matches", "autocomplete",
-    "parse_plan_replies", "admit_within_budget", "parse_search_urls", "stream_daily_volume",
-]
-
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, sf_dir, name):
     ok, note = compare(spark, con, sf_dir, QUERIES[name], SQL[name])
     assert ok, note
