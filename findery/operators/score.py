@@ -1,13 +1,25 @@
-"""Scoring: BM25 over matched postings, word and field operators, and the fetch window."""
+"""Scoring: BM25 over matched postings, word and field operators, and the fetch window.
+
+Words are weighed once a document, however many queries hold them; a document's weights then meet the queries where the
+document lies, so rows of query, document and word are never shuffled or kept.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from findery.operators.rank import first_rows
 from findery.session import store
 
 K1, B = 1.2, 0.75
+#: Matched terms that may be broadcast, and query words that a task may hold. More of them are joined by shuffles.
+BROADCAST_TERMS, HELD_WORDS = 200_000, 1_000_000
+#: Words of queries that documents are expanded to at a time.
+EXPANDED = 1_000_000
 
 
 def bm25(tf: Column, df: Column, n_docs: Column, doc_len: Column, avg_len: Column) -> Column:
@@ -24,6 +36,9 @@ def posting_matches(matches: DataFrame, postings: DataFrame, stats: DataFrame) -
     hold.
     """
     informed = store(matches.join(stats, ["index_name", "field"]))
+    if informed.count() > BROADCAST_TERMS:
+        # Repeated values make files far smaller than the rows in a driver's memory.
+        informed = informed.hint("merge")
     joined = postings.join(informed, ["index_name", "field", "term"])
     weight = bm25(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("doc_len"), F.col("avg_len"))
     kept = [c for c in matches.columns if c not in ("term", "df")]
@@ -54,17 +69,151 @@ def match_field_operator(matches: DataFrame, op: str = "or") -> DataFrame:
     return kept.select("query_id", "index_name", "doc_key", "raw_score")
 
 
+def numbered_words(words: DataFrame) -> DataFrame:
+    """The different words that are asked for in a field and mode, with a number each."""
+    asked = words.select("index_name", "field", "match_mode", F.lower("variant").alias("variant")).distinct()
+    return store(asked.withColumn("word_no", F.monotonically_increasing_id()))
+
+
+def _held_words(words: DataFrame) -> dict[str, np.ndarray | pa.Array]:
+    """Query words by their number. Groups are numbered by query, field and rule, so that sums run over neighbours."""
+    table = words.toArrow()
+    ids = {c: np.unique(table[c].to_numpy(), return_inverse=True)[1] for c in ("index_name", "field", "rule_no", "group_no")}
+    query_values = table["query_id"].combine_chunks().dictionary_encode()
+    columns = [query_values.indices.to_numpy(zero_copy_only=False), *(ids[c] for c in ("index_name", "field", "rule_no", "group_no"))]
+    levels = []
+    # Queries (of an index), their fields and rules, and the word groups of those.
+    for depth in (2, 4, 5):
+        _, first, number = np.unique(np.stack(columns[:depth], axis=1), axis=0, return_index=True, return_inverse=True)
+        levels.append((first, number.reshape(-1)))
+    (query_first, query_no), (rule_first, rule_no), (group_first, group_no) = levels
+    by_word = np.argsort(table["word_no"].to_numpy(), kind="stable")
+    value = {c: table[c].to_numpy() for c in ("boost", "n_groups", "n_fields")}
+    return {
+        "word_no": table["word_no"].to_numpy()[by_word], "group": group_no[by_word],
+        "rule_of_group": rule_no[group_first], "query_of_rule": query_no[rule_first],
+        "boost": value["boost"][rule_first].astype(float), "n_groups": value["n_groups"][rule_first], "n_fields": value["n_fields"][query_first],
+        "query_id": table["query_id"].combine_chunks().take(pa.array(query_first)),
+        "field": table["field"].combine_chunks().take(pa.array(rule_first)),
+    }
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def _per_rule(doc: np.ndarray, word: np.ndarray, weight: np.ndarray, held: dict, require_all: bool) -> tuple[np.ndarray, ...]:
+    """(document, rule, weight) in order: the best variant of each word of a query, summed by field and rule."""
+    start, end = np.searchsorted(held["word_no"], word), np.searchsorted(held["word_no"], word, "right")
+    times = end - start
+    row = np.repeat(np.arange(len(word)), times)
+    slot = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + start[row]
+    key = doc[row] * len(held["rule_of_group"]) + held["group"][slot]
+    order = np.argsort(key)
+    key, value = key[order], weight[row][order]
+    first = _runs(key)
+    best, key = np.maximum.reduceat(value, first) if len(first) else value, key[first]
+    rule, at = held["rule_of_group"][key % len(held["rule_of_group"])], key // len(held["rule_of_group"])
+    first = _runs(at * len(held["boost"]) + rule)
+    total, matched = np.add.reduceat(best, first) if len(first) else best, np.diff(np.append(first, len(best)))
+    at, rule = at[first], rule[first]
+    if require_all:
+        whole = matched == held["n_groups"][rule]
+        at, rule, total = at[whole], rule[whole], total[whole]
+    return at, rule, total
+
+
+def _scorer(held_words: object, require_all: bool, op: str, by_field: bool, most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = held_words.value
+        n_words = np.diff(np.append(_runs(held["word_no"]), len(held["word_no"])))
+        different = np.unique(held["word_no"])
+        for batch in batches:
+            lists = batch.column("weights")
+            ends = lists.offsets.to_numpy()
+            found = lists.flatten()
+            word, weight = found.field("word_no").to_numpy(), found.field("weight").to_numpy()
+            sizes = np.diff(ends)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            # Whole documents at a time, as many as give so many rows.
+            rows = np.cumsum(n_words[np.searchsorted(different, word)])
+            share = (rows - 1) // most
+            share = np.repeat(share[np.cumsum(sizes)[sizes > 0] - 1], sizes[sizes > 0]) if len(share) else share
+            for begin, end in zip(_runs(share), np.append(_runs(share)[1:], len(share)), strict=True):
+                at, rule, total = _per_rule(doc[begin:end], word[begin:end], weight[begin:end], held, require_all)
+                query = held["query_of_rule"][rule]
+                if by_field:
+                    more = {"field": held["field"].take(pa.array(rule)), "weight": pa.array(total)}
+                else:
+                    first = _runs(at * len(held["n_fields"]) + query)
+                    score = np.add.reduceat(total * held["boost"][rule], first) if len(first) else total
+                    matched = np.diff(np.append(first, len(total)))
+                    at, query = at[first], query[first]
+                    if op == "and":
+                        whole = matched == held["n_fields"][query]
+                        at, query, score = at[whole], query[whole], score[whole]
+                    more = {"weight": pa.array(score)}
+                columns = {
+                    "query_id": held["query_id"].take(pa.array(query)),
+                    **{c: batch.column(c).take(pa.array(at)) for c in ("index_name", "doc_key")}, **more,
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return score
+
+
+def _scores(
+    words: DataFrame, match: Callable[[DataFrame], DataFrame], postings: DataFrame, stats: DataFrame,
+    require_all: bool, op: str, by_field: bool,
+) -> DataFrame:
+    spark = words.sparkSession
+    if "rule_no" not in words.columns:
+        words = words.withColumn("rule_no", F.lit(0))
+    words = store(words)
+    asked = numbered_words(words)
+    terms = match(asked).select("word_no", "index_name", "field", "term", "df")
+    weights = posting_matches(terms, postings, stats)
+    numbered = words.withColumn("variant", F.lower("variant")).join(asked, ["index_name", "field", "match_mode", "variant"])
+    if words.count() > HELD_WORDS:
+        met = weights.join(numbered, ["index_name", "field", "word_no"]).repartition("query_id", "doc_key")
+        rules = match_all_terms(met, require_all)
+        if by_field:
+            return rules.select("query_id", "index_name", "doc_key", "field", "weight")
+        return match_field_operator(rules, op)
+    kind = words.schema["query_id"].dataType.simpleString()
+    held = spark.sparkContext.broadcast(_held_words(numbered.select(
+        "query_id", "index_name", "field", "rule_no", "group_no", "word_no", "boost", "n_groups", "n_fields")))
+    documents = weights.groupBy("index_name", "doc_key").agg(F.collect_list(F.struct("word_no", "weight")).alias("weights"))
+    field = "field string, " if by_field else ""
+    schema = f"query_id {kind}, index_name string, doc_key string, {field}weight double"
+    scored = documents.mapInArrow(_scorer(held, require_all, op, by_field, EXPANDED), schema)
+    if by_field:
+        return scored
+    return scored.select("query_id", "index_name", "doc_key", F.round("weight", 6).alias("raw_score"))
+
+
+def field_scores(
+    words: DataFrame, match: Callable[[DataFrame], DataFrame], postings: DataFrame, stats: DataFrame, require_all: bool = False,
+) -> DataFrame:
+    """(query_id, index_name, doc_key, field, weight) of every field and rule: the best variant of each word, summed.
+
+    With ``require_all`` every word of the query must have matched in the field.
+    """
+    return _scores(words, match, postings, stats, require_all, "or", True)
+
+
 def score_bm25(
-    matches: DataFrame, postings: DataFrame, stats: DataFrame, require_all: bool = False, op: str = "or"
+    words: DataFrame, match: Callable[[DataFrame], DataFrame], postings: DataFrame, stats: DataFrame,
+    require_all: bool = False, op: str = "or",
 ) -> DataFrame:
     """``raw_score = Σ rule boost × Σ word max variant BM25`` per query and document.
 
-    Rows are placed by (query, document) once; the three aggregations that follow need no further
-    shuffle.
+    ``words`` holds query_id, index_name, field, group_no, variant, match_mode, boost, n_groups, n_fields and optionally
+    rule_no; ``match`` adds the vocabulary's terms to different words. A document's word weights are gathered in one
+    row, and tasks hold the queries' words; more than ``HELD_WORDS`` of them are joined instead.
     """
-    weighted = posting_matches(matches, postings, stats)
-    placed = weighted.repartition("query_id", "doc_key")
-    return match_field_operator(match_all_terms(placed, require_all), op)
+    return _scores(words, match, postings, stats, require_all, op, False)
 
 
 def fetch_window(matches: DataFrame, n: int | None = None) -> DataFrame:

@@ -83,9 +83,11 @@ def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> Da
     # A term may itself hold several tokens (a hyphen), whose first ones match exactly.
     named = {r.match_mode for r in rules.fields if r.enabled and r.name.strip()}
     modes = (named or {"prefix"}) | {"exact"}
-    matches = match_words(words, index.vocab, modes, rules.fuzziness, index.keys).drop("match_mode", "variant")
     gated = index.postings.filter(FL.type_included(rules) & FL.type_not_excluded(rules))
-    return score_bm25(matches, gated, index.stats, rules.all_terms, rules.operator)
+    return score_bm25(
+        words, lambda asked: match_words(asked, index.vocab, modes, rules.fuzziness, index.keys), gated, index.stats,
+        rules.all_terms, rules.operator,
+    )
 
 
 def forward_of(docs: DataFrame, rules: RuleSet, index: SearchIndex) -> ForwardIndex:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from findery.operators import match as M, postings as P, score as S, terms as TM
 from findery.rules import FieldRule, RuleSet
+from findery.session import store
 from findery.sources.indexes import discover_fields
 from findery.workload import tables as T
 from findery.workload.registry import register
@@ -183,18 +184,18 @@ _WEIGHTS = bm25_sql("""SELECT w.query_id, w.group_no, v.index_name, v.field, v.t
   JOIN vocab_text v ON starts_with(v.term, w.variant) WHERE v.field IN ('nodename', 'bodytext')""")
 
 
-def _matches(spark: SparkSession, sf_dir: str, index: P.SearchIndex) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of each passage by their beginnings, names at 10."""
     queries = T.q_text(spark, sf_dir).withColumn("n_groups", F.size(F.split("term", " ")))
-    vocab = index.vocab.filter(F.col("field").isin("nodename", "bodytext"))
-    return M.match_prefix(TM.term_groups(queries, carry=("n_groups",)), vocab).withColumns({
-        "boost": F.when(F.col("field") == "nodename", 10.0).otherwise(1.0), "n_fields": F.lit(2),
-    })
+    fields = F.create_map(F.lit("nodename"), F.lit(10.0), F.lit("bodytext"), F.lit(1.0))
+    words = TM.term_groups(queries, carry=("n_groups",)).select("*", F.explode(fields).alias("field", "boost"))
+    return words.withColumns({"index_name": F.lit("main"), "match_mode": F.lit("prefix"), "n_fields": F.lit(2)})
 
 
-def _scored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _search(spark: SparkSession, sf_dir: str) -> tuple:
     index = _index(spark, sf_dir)
-    return S.posting_matches(_matches(spark, sf_dir, index), index.postings, index.stats)
+    index = P.from_postings(store(index.postings.filter(F.col("field").isin("nodename", "bodytext"))))
+    return _asked(spark, sf_dir), lambda words: M.match_prefix(words, index.vocab), index.postings, index.stats
 
 
 def _per_field(require_all: str) -> str:
@@ -206,7 +207,7 @@ def _per_field(require_all: str) -> str:
 
 @register("match_all_terms", f"SELECT query_id, field, doc_key, round(weight, 6) AS weight FROM ({_per_field('n_words')})")
 def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.match_all_terms(_scored_fields(spark, sf_dir), True)
+    rows = S.field_scores(*_search(spark, sf_dir), require_all=True)
     return rows.select("query_id", "field", "doc_key", F.round("weight", 6).alias("weight"))
 
 
@@ -216,7 +217,7 @@ def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({_per_field('1')}) GROUP BY ALL HAVING count(*) = 2""",
 )
 def match_field_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.match_field_operator(S.match_all_terms(_scored_fields(spark, sf_dir), False), "and").drop("index_name")
+    return S.score_bm25(*_search(spark, sf_dir), op="and").drop("index_name")
 
 
 _SCORED = f"""SELECT query_id, doc_key, round(sum(CASE WHEN field = 'nodename' THEN 10 ELSE 1 END * weight), 6) AS raw_score
@@ -224,8 +225,7 @@ _SCORED = f"""SELECT query_id, doc_key, round(sum(CASE WHEN field = 'nodename' T
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)
-    return S.score_bm25(_matches(spark, sf_dir, index), index.postings, index.stats)
+    return S.score_bm25(*_search(spark, sf_dir))
 
 
 @register("score_bm25", _SCORED)
