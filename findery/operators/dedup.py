@@ -21,10 +21,15 @@ def _keep_first(hits: DataFrame, value: Column) -> DataFrame:
     return marked.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_value")
 
 
+def identity() -> Column:
+    """A document's key, or its id where there is no key, ignoring case."""
+    key, node = F.concat(F.lit("k:"), F.lower("doc_key")), F.concat(F.lit("i:"), F.col("node_id"))
+    return F.coalesce(key, node)
+
+
 def dedup_identity(hits: DataFrame) -> DataFrame:
     """The first row per key, or per id where there is no key, ignoring case."""
-    key, node = F.concat(F.lit("k:"), F.lower("doc_key")), F.concat(F.lit("i:"), F.col("node_id"))
-    return _keep_first(hits, F.coalesce(key, node))
+    return _keep_first(hits, identity())
 
 
 def dedup_by_field(hits: DataFrame, field: str) -> DataFrame:

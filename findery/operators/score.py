@@ -56,7 +56,7 @@ def match_all_terms(matches: DataFrame, require_all: bool) -> DataFrame:
     per_field = best.groupBy(*field_keys).agg(
         F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("groups_matched"), *carried
     )
-    return per_field.filter("groups_matched = n_groups") if require_all else per_field
+    return per_field.filter("groups_matched >= n_groups") if require_all else per_field
 
 
 def match_field_operator(matches: DataFrame, op: str = "or") -> DataFrame:
@@ -65,13 +65,18 @@ def match_field_operator(matches: DataFrame, op: str = "or") -> DataFrame:
         F.round(F.sum(F.col("boost") * F.col("weight")), 6).alias("raw_score"),
         F.count(F.lit(1)).alias("fields_matched"), F.first("n_fields").alias("n_fields"),
     )
-    kept = grouped.filter("fields_matched = n_fields") if op == "and" else grouped
+    kept = grouped.filter("fields_matched >= n_fields") if op == "and" else grouped
     return kept.select("query_id", "index_name", "doc_key", "raw_score")
 
 
+def asked_by(words: DataFrame) -> list[str]:
+    """What tells how a word is asked for; words of several fuzzinesses hold their own."""
+    return ["index_name", "field", "match_mode", *[c for c in ("fuzziness",) if c in words.columns]]
+
+
 def numbered_words(words: DataFrame) -> DataFrame:
     """The different words that are asked for in a field and mode, with a number each."""
-    asked = words.select("index_name", "field", "match_mode", F.lower("variant").alias("variant")).distinct()
+    asked = words.select(*asked_by(words), F.lower("variant").alias("variant")).distinct()
     return store(asked.withColumn("word_no", F.monotonically_increasing_id()))
 
 
@@ -119,7 +124,7 @@ def _per_rule(doc: np.ndarray, word: np.ndarray, weight: np.ndarray, held: dict,
     total, matched = np.add.reduceat(best, first) if len(first) else best, np.diff(np.append(first, len(best)))
     at, rule = at[first], rule[first]
     if require_all:
-        whole = matched == held["n_groups"][rule]
+        whole = matched >= held["n_groups"][rule]
         at, rule, total = at[whole], rule[whole], total[whole]
     return at, rule, total
 
@@ -151,7 +156,7 @@ def _scorer(held_words: object, require_all: bool, op: str, by_field: bool, most
                     matched = np.diff(np.append(first, len(total)))
                     at, query = at[first], query[first]
                     if op == "and":
-                        whole = matched == held["n_fields"][query]
+                        whole = matched >= held["n_fields"][query]
                         at, query, score = at[whole], query[whole], score[whole]
                     more = {"weight": pa.array(score)}
                 columns = {
@@ -174,7 +179,7 @@ def _scores(
     asked = numbered_words(words)
     terms = match(asked).select("word_no", "index_name", "field", "term", "df")
     weights = posting_matches(terms, postings, stats)
-    numbered = words.withColumn("variant", F.lower("variant")).join(asked, ["index_name", "field", "match_mode", "variant"])
+    numbered = words.withColumn("variant", F.lower("variant")).join(asked, [*asked_by(words), "variant"])
     if words.count() > HELD_WORDS:
         met = weights.join(numbered, ["index_name", "field", "word_no"]).repartition("query_id", "doc_key")
         rules = match_all_terms(met, require_all)
@@ -210,7 +215,7 @@ def score_bm25(
     """``raw_score = Σ rule boost × Σ word max variant BM25`` per query and document.
 
     ``words`` holds query_id, index_name, field, group_no, variant, match_mode, boost, n_groups, n_fields and optionally
-    rule_no; ``match`` adds the vocabulary's terms to different words. A document's word weights are gathered in one
+    rule_no and fuzziness; ``match`` adds the vocabulary's terms to different words. A document's word weights are gathered in one
     row, and tasks hold the queries' words; more than ``HELD_WORDS`` of them are joined instead.
     """
     return _scores(words, match, postings, stats, require_all, op, False)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from findery.functions import fields as X
 from findery.functions.text import tokens
@@ -22,6 +22,10 @@ from findery.operators.score import fetch_window, score_bm25
 from findery.rules import FieldRule, RuleSet
 from findery.session import store
 
+#: Documents that may be broadcast to hits, and what a page reads of them after its rows are chosen.
+BROADCAST_DOCS = 50_000
+LATE = ["node_id", "name", "type_alias", "index_type", "path", "culture", "create_date", "update_date", "fields"]
+
 
 @dataclass(frozen=True)
 class SearchResult:
@@ -129,22 +133,44 @@ def windowed(queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchI
     return found
 
 
+def sources(rows: DataFrame, rules: RuleSet, protected: DataFrame | None = None) -> DataFrame:
+    """Documents, or hits with their documents' attributes, that the profile's sources let through."""
+    rows = FL.filter_subtree(rows, rules.root_ids)
+    rows = FL.filter_excluded_nodes(rows, rules.excluded_ids, rules.exclude_descendants)
+    flags = [X.NAVI_HIDE] if rules.respect_navi_hide else []
+    rows = FL.filter_flags(rows, [*flags, *rules.hide_fields])
+    if rules.published_only:
+        rows = FL.filter_published(rows)
+    return rows if protected is None else FL.filter_protected(rows, protected)
+
+
+def all_different(docs: DataFrame, queries: DataFrame) -> bool:
+    """Whether no two documents share a node or a key and no two queries an id: then no hit can repeat another."""
+    node = F.concat_ws("\u0001", F.lit("node"), F.coalesce(F.col("node_id").cast("string"), F.lit("")), "index_type")
+    key = F.concat_ws("\u0001", F.lit("key"), DD.identity())
+    keys = docs.select(F.explode(F.array(node, key)).alias("key"))
+    keys = keys.unionByName(queries.select(F.concat_ws("\u0001", F.lit("query"), "query_id").alias("key")))
+    return keys.groupBy("key").count().filter("count > 1").isEmpty()
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """A stored table of documents; a large one is not broadcast, as its files are far smaller than its rows."""
+    kept = store(docs)
+    return kept.hint("merge") if kept.count() > BROADCAST_DOCS else kept
+
+
 def ranked_hits(
-    rows: DataFrame, queries: DataFrame, forward: ForwardIndex, rules: RuleSet, as_of: str | None, protected: DataFrame | None = None,
+    rows: DataFrame, queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None, protected: DataFrame | None = None,
+    different: bool = False,
 ) -> DataFrame:
     """Fetched rows merged, source-filtered and scored: what facets are counted on.
 
-    No step gathers a query's rows: they are placed by document, by node and by key.
+    ``docs`` holds what the rules need of each document. Where all are ``different``, it holds those of the sources alone and
+    no row needs merging. No step gathers a query's rows: they are placed by document, by node and by key.
     """
-    hits = ST.merge_indexes_first_wins(rows.join(forward.attributes(rules), PLACE))
-    hits = FL.filter_subtree(hits, rules.root_ids)
-    hits = FL.filter_excluded_nodes(hits, rules.excluded_ids, rules.exclude_descendants)
-    flags = [X.NAVI_HIDE] if rules.respect_navi_hide else []
-    hits = FL.filter_flags(hits, [*flags, *rules.hide_fields])
-    if rules.published_only:
-        hits = FL.filter_published(hits)
-    if protected is not None:
-        hits = FL.filter_protected(hits, protected)
+    hits = rows.join(docs, PLACE)
+    if not different:
+        hits = sources(ST.merge_indexes_first_wins(hits), rules, protected)
     hits = R.boost_types(hits, rules.type_boosts)
     if rules.recency:
         r = rules.recency
@@ -153,6 +179,17 @@ def ranked_hits(
     return R.pin_best_bets(hits, TM.term_groups(queries, rules.stop_words, rules.synonyms), rules.best_bets)
 
 
+def paged(
+    hits: DataFrame, queries: DataFrame, page_size: int, browse_page_size: int, order: list[Column] | None = None, docs: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Pages and totals. With ``docs`` only what the order needs travels, and rows of a page get their documents' attributes there."""
+    if docs is None:
+        return R.page_slice(hits, queries, page_size, browse_page_size, order)
+    late = [c for c in LATE if c in hits.columns]
+    page, totals = R.page_slice(hits.drop(*late), queries, page_size, browse_page_size, order)
+    return page.join(docs.select(*PLACE, *late), PLACE).select(*hits.columns, "rank"), totals
+
+
 def search(
     queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None = None, *,
     index: SearchIndex | None = None, protected: DataFrame | None = None,
@@ -167,7 +204,11 @@ def search(
     index = index or index_for(docs, rules, cultures)
     forward = forward_of(docs, rules, index)
     rows = keep(windowed(queries, forward.rows, rules, index, browse))
-    scored = store(ranked_hits(rows, queries, forward, rules, as_of, protected))
+    known, different = forward.attributes(rules), all_different(forward.rows, queries)
+    if different:
+        # What concerns documents alone is decided before they meet the hits.
+        known = sized(sources(known, rules, protected))
+    scored = store(ranked_hits(rows, queries, known, rules, as_of, protected, different))
     hits, facets = scored, None
     if rules.facets:
         facets = FC.facet_counts_excluding_self(scored, queries, rules.facets, as_of=as_of, node_keys=node_keys)
@@ -177,17 +218,19 @@ def search(
     narrowed = hits
     hits = relevant = FL.filter_min_score(hits, rules.minimum_score, queries.filter(R.is_browse()))
     if rules.deduplicate:
-        hits = DD.dedup_identity(hits)
+        if not different:
+            hits = DD.dedup_identity(hits)
         if rules.dedup_field:
             hits = DD.dedup_by_field(hits, rules.dedup_field)
-    hits = keep(hits)
+    if hits is not scored:
+        hits = keep(hits)
     order, placed = R.rank_order(), hits
     if rules.sort_by:
         order = R.sort_order(hits, rules.sort_by, order[1:])
     if rules.sort_options:
         placed = R.with_sort_alias(hits, queries, rules.sort_options)
         order = R.option_order(placed, rules.sort_options, order[1:])
-    page, totals = R.page_slice(placed, queries, rules.page_size, rules.browse_page_size, order)
+    page, totals = paged(placed, queries, rules.page_size, rules.browse_page_size, order, known if different else None)
     stages = {"fetched": rows, "sources": scored, "facets": narrowed, "score": relevant, "kept": hits}
     return SearchResult(scored, hits, page.drop("sort_alias"), totals, facets, stages)
 

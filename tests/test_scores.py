@@ -6,6 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from findery.operators import match as M, score as S
+from findery.plans import search as PL
+from findery.rules import SortRule
+from findery.workload import tables as T
+from findery.workload.search_queries import RULES
 
 WORDS = "query_id int, index_name string, field string, rule_no int, group_no int, variant string, match_mode string, boost double, n_groups int, n_fields int"
 
@@ -66,3 +70,29 @@ def test_many_matched_terms_are_not_broadcast(tables, spark, monkeypatch):
     joined = S.posting_matches(terms, postings, stats)
     plan = joined._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "BroadcastHashJoin" not in plan and joined.count() > 0
+
+
+def test_documents_that_are_all_different_need_no_merging(spark, sf_dir, monkeypatch):
+    docs, queries = T.docs_text(spark, sf_dir), T.q_text(spark, sf_dir).limit(4)
+    columns = ["query_id", "doc_key", "name", "type_alias", "score", "rank"]
+    asked = RULES.with_(sort_by=(SortRule("n_chars"),))
+    with monkeypatch.context() as patch:
+        patch.setattr(PL, "all_different", lambda docs, queries: False)
+        merged = [rows(PL.search(queries, docs, r).page, *columns) for r in (RULES, asked)]
+
+    def meets(hits):
+        raise AssertionError("all hits are sorted by node or key")
+
+    monkeypatch.setattr(PL.ST, "merge_indexes_first_wins", meets)
+    monkeypatch.setattr(PL.DD, "dedup_identity", meets)
+    assert [rows(PL.search(queries, docs, r).page, *columns) for r in (RULES, asked)] == merged and merged[0]
+
+
+def test_shared_nodes_keys_and_query_ids_are_noticed(spark):
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    docs = "node_id long, index_type string, doc_key string"
+    assert PL.all_different(spark.createDataFrame([(1, "content", "a"), (1, "media", "b")], docs), queries)
+    assert not PL.all_different(spark.createDataFrame([(1, "content", "a"), (1, "content", "b")], docs), queries)
+    assert not PL.all_different(spark.createDataFrame([(1, "content", "a"), (2, "content", "A")], docs), queries)
+    assert not PL.all_different(spark.createDataFrame([(None, "content", "a"), (None, "content", "b")], docs), queries)
+    assert not PL.all_different(spark.createDataFrame([(1, "content", "a")], docs), queries.union(queries))
