@@ -19,8 +19,8 @@ from findery.operators import dedup as DD, filters as FL, rank as R, sets as ST,
 from findery.operators.forward import PLACE
 from findery.operators.match import match_words
 from findery.operators.postings import SearchIndex
-from findery.operators.score import fetch_window, match_all_terms, match_field_operator, posting_matches
-from findery.plans.search import SearchResult, forward_of
+from findery.operators.score import fetch_window, score_bm25
+from findery.plans.search import SearchResult, all_different, forward_of, sized
 from findery.rules import RuleSet
 from findery.session import store
 
@@ -156,19 +156,25 @@ def query_words(queries: DataFrame, variants: DataFrame, rules: RuleTables, stat
 
 def scored_matches(words: DataFrame, rules: RuleTables, index: SearchIndex) -> DataFrame:
     """(query_id, index_name, doc_key, raw_score): each query under its own operators and fuzziness."""
-    # Four modes at most.
+    # Four modes at most, and profiles share a few settings of fuzziness: one plan each.
     modes = {r.match_mode for r in rules.fields.select("match_mode").distinct().collect()} | {"exact", "prefix"}
-    found = match_words(words.filter("match_mode <> 'fuzzy'"), index.vocab, modes - {"fuzzy"}, 1.0, index.keys)
-    if "fuzzy" in modes:
-        # One plan a fuzziness: profiles share a few settings of it.
-        for r in rules.settings.select("fuzziness").distinct().collect():
-            own = words.filter((F.col("match_mode") == "fuzzy") & (F.col("fuzziness") == r.fuzziness))
-            found = found.unionByName(match_words(own, index.vocab, {"fuzzy"}, r.fuzziness, index.keys))
-    weighted = posting_matches(found.drop("match_mode", "variant", "fuzziness"), index.postings, index.stats)
-    per_field = match_all_terms(weighted.drop("operator", "all_terms"), False).join(
-        words.select("query_id", "operator", "all_terms").distinct(), "query_id").filter(~F.col("all_terms") | (F.col("groups_matched") == F.col("n_groups")))
-    strict = match_field_operator(per_field.filter("operator = 'and'"), "and")
-    return strict.unionByName(match_field_operator(per_field.filter("operator <> 'and'"), "or"))
+    near = [r.fuzziness for r in rules.settings.select("fuzziness").distinct().collect()] if "fuzzy" in modes else []
+
+    def match(asked: DataFrame) -> DataFrame:
+        found = match_words(asked.filter("match_mode <> 'fuzzy'"), index.vocab, modes - {"fuzzy"}, 1.0, index.keys)
+        for fuzziness in near:
+            own = asked.filter((F.col("match_mode") == "fuzzy") & (F.col("fuzziness") == fuzziness))
+            found = found.unionByName(match_words(own, index.vocab, {"fuzzy"}, fuzziness, index.keys))
+        return found
+
+    # Numbers of words and fields that must be met at least: all of them, or any.
+    asked = words.select(
+        "query_id", "index_name", "field", "rule_no", "group_no", "variant", "match_mode", "boost",
+        F.when(F.col("match_mode") == "fuzzy", F.col("fuzziness")).otherwise(0.0).alias("fuzziness"),
+        F.when(F.col("all_terms"), F.col("n_groups")).otherwise(0).alias("n_groups"),
+        F.when(F.col("operator") == "and", F.col("n_fields")).otherwise(0).alias("n_fields"),
+    )
+    return score_bm25(asked, match, index.postings, index.stats, True, "and")
 
 
 def typed(hits: DataFrame, rules: RuleTables) -> DataFrame:
@@ -204,6 +210,10 @@ def is_hidden() -> Column:
     return F.exists("hide_fields", is_set)
 
 
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.filter(~is_hidden() & ~(F.col("published_only") & FL.is_unpublished()))
+
+
 def pinned(hits: DataFrame, variants: DataFrame, rules: RuleTables) -> DataFrame:
     """Flags the chosen rows of the bets that fire: all words of one of their terms were searched."""
     said = variants.groupBy("query_id", PROFILE).agg(F.collect_set(F.lower("variant")).alias("said"))
@@ -228,25 +238,38 @@ def search_profiles(queries: DataFrame, docs: DataFrame, rules: RuleTables, inde
     asked = runnable(known, variants, rules).filter(~R.is_browse())
     words = query_words(asked, variants, rules, index.stats)
     settings = asked.select("query_id", PROFILE, *[c for c in rules.settings.columns if c not in (PROFILE, "own_cultures")])
-    types = forward.rows.select(*PLACE, "index_type", "type_alias")
-    gated = typed(scored_matches(words, rules, index).join(types, PLACE).join(settings, "query_id"), rules)
+    scores = scored_matches(words, rules, index)
+    different = all_different(forward.rows, queries)
     most = rules.settings.agg(F.max("window")).first()[0]
+    if different:
+        # What concerns profiles and documents alone is decided before they meet the hits.
+        own = settings.drop("query_id").distinct().withColumn("query_id", F.col(PROFILE))
+        kinds = typed(attributes.crossJoin(own), rules)
+        attributes = sized(shown(scoped(kinds, rules)).select(PROFILE, *attributes.columns))
+        # A fetch window counts rows of the right types, whether their sources let them through or not.
+        gate = sized(kinds.select(PROFILE, *PLACE)) if most else attributes.select(PROFILE, *PLACE)
+        gated = scores.join(settings, "query_id").join(gate, [PROFILE, *PLACE])
+    else:
+        types = forward.rows.select(*PLACE, "index_type", "type_alias")
+        gated = typed(scores.join(types, PLACE).join(settings, "query_id"), rules)
     matched = gated.select("query_id", *PLACE, "raw_score", "window")
     rows = matched.filter("window IS NULL").drop("window").withColumn("fetch_rank", F.lit(None).cast("int"))
     if most:
         limited = fetch_window(matched.filter("window IS NOT NULL"), most).filter("fetch_rank <= window").drop("window")
         rows = rows.unionByName(limited)
     places = rules.indexes.select(PROFILE, F.col("index").alias("_index"), "place")
-    hits = rows.join(attributes, PLACE).join(settings, "query_id").withColumn("_index", F.lower("index_name")).join(
+    hits = rows.join(settings, "query_id").join(attributes, [PROFILE, *PLACE] if different else PLACE).withColumn("_index", F.lower("index_name")).join(
         places, [PROFILE, "_index"], "left").withColumn("index_rank", F.coalesce("place", "index_rank")).drop("place", "_index")
-    hits = scoped(ST.merge_indexes_first_wins(hits), rules)
-    hits = hits.filter(~is_hidden() & ~(F.col("published_only") & FL.is_unpublished()))
+    if not different:
+        hits = shown(scoped(ST.merge_indexes_first_wins(hits), rules))
     boosts = rules.boosts.withColumnRenamed("boost", "_boost")
     hits = hits.withColumn("type", F.lower("type_alias")).join(boosts, [PROFILE, "type"], "left").drop("type")
     hits = hits.withColumn("score", F.round(F.col("raw_score") * F.coalesce("_boost", F.lit(1.0)), 6)).drop("_boost")
     scored = store(pinned(hits, variants, rules))
     relevant = scored.filter((F.col("minimum_score") <= 0) | F.col("is_best_bet") | (F.col("score") >= F.col("minimum_score")))
-    kept = DD.dedup_identity(relevant.filter("deduplicate")).unionByName(relevant.filter("NOT deduplicate"))
+    kept = relevant
+    if not different:
+        kept = DD.dedup_identity(relevant.filter("deduplicate")).unionByName(relevant.filter("NOT deduplicate"))
     sizes = known.withColumn("page_size", F.when(F.col("page_size") > 0, F.col("page_size")).otherwise(F.greatest("profile_size", F.lit(0))))
     page, totals = R.page_slice(kept, sizes)
     stages = {"sources": scored, "score": relevant, "kept": kept}

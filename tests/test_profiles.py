@@ -49,3 +49,20 @@ def test_equals_each_profile_alone(answers, alias):
 
 def test_unknown_profiles_find_nothing(answers):
     assert 999 not in {r.query_id for r in answers[3].totals.collect()}
+
+
+def test_scores_of_profiles_are_made_by_document(answers, monkeypatch):
+    """Rows of query, document and word are gone, and hits that cannot repeat another meet no sort."""
+    from findery.plans import profiles as PF
+
+    docs, queries, index, found = answers
+    assert PF.score_bm25.__module__ == "findery.operators.score"
+
+    def meets(hits):
+        raise AssertionError("all hits are sorted by node or key")
+
+    monkeypatch.setattr(PF.ST, "merge_indexes_first_wins", meets)
+    monkeypatch.setattr(PF.DD, "dedup_identity", meets)
+    again = search_profiles(queries, docs, rule_tables(docs.sparkSession, PROFILES), index)
+    columns = ["query_id", "doc_key", "score", "rank"]
+    assert again.page.select(columns).exceptAll(found.page.select(columns)).isEmpty() and not again.page.isEmpty()
