@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed terms are counted over all texts, one sum a term.
-2. A bounded sample of passages (windows of the sampled texts, and benchmark items) becomes TF-IDF rows. A
-   randomised SVD over them runs as Spark jobs: each task multiplies its rows with the current basis and the
-   products are summed; the driver holds one terms x dimensions matrix, whose size is fixed. Only the fit is
-   sampled; every text is searched.
-3. Every text is read once more. The latent vectors of its windows are differences of running sums, for some
+1. Every text is cut into hashed words once, which are written, four bytes a word; later steps read them in its place.
+   Document frequencies of terms are counted over all texts, one sum a term.
+2. Every passage of `width` words, of all texts and benchmark items, is a TF-IDF row. A randomised SVD over them
+   runs as a Spark job: each task multiplies its rows with a random basis and the products are summed; the
+   driver holds one terms x dimensions matrix, whose size is fixed.
+3. Every text's words are read once more. The latent vectors of its windows are differences of running sums, for some
    window lengths near those of the items, and are compared by cosine with the items of like length, in blocks
    of `block` items. No text is shuffled and no candidate leaves its task.
    Words that many texts hold weigh little or nothing, also where a hot group of copies or a shared passage has made
@@ -41,11 +41,14 @@ from findery.llm.common import texts
 from findery.llm.repeats import SPACE, blocks, span_hashes, word_spans
 from findery.session import store
 
-TERMS = 1 << 15
+TERM_BITS = 15
+TERMS = 1 << TERM_BITS
 #: How rare by chance (as minus the logarithm) regions are to be that the full search looks at.
 RARE = 8.0
 #: Pieces in which sums of the size of the basis are added up.
 BLOCKS = 16
+#: Weights that are multiplied at once, few enough for the matrix of their rows and terms to stay small.
+AT_ONCE = 512
 #: Texts and words that are searched as one, few enough for their running sums to stay in a core's cache, and the words
 #: at which longer texts are cut.
 TOGETHER, WORDS, SPAN = 24, 16_384, 4_096
@@ -60,8 +63,8 @@ EDGE = np.zeros(256, bool)
 EDGE[list(EDGES)] = True
 
 
-def core_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(start, hash) of each word without the punctuation around it, if anything is left, and the number of words."""
+def core_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of each word without the punctuation around it, if anything is left."""
     flat = LOWER[flat]
     starts, ends = word_spans(flat)
     inner = ~(SPACE[flat] | EDGE[flat])
@@ -69,47 +72,74 @@ def core_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     left = before[ends] > before[starts]
     places = np.flatnonzero(inner)
     first, last = places[before[starts[left]]], places[before[ends[left]] - 1]
-    return first, span_hashes(flat, first, last + 1), len(starts)
+    return first, span_hashes(flat, first, last + 1)
 
 
-def term_words(given: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(words a text, their identities and hashed terms as rows, and how many there are with punctuation alone)."""
+def identities(given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words a text, their identities); words of punctuation alone are left out."""
     raw = [t.encode() for t in given.to_pylist()]
     begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    starts, hashes, held = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for offset, part in blocks(np.frombuffer(b"\n".join(raw), np.uint8)):
-        at, own, words = core_hashes(part)
+        at, own = core_hashes(part)
         starts.append(at + offset)
         hashes.append(own)
-        held += words
-    every = np.concatenate(hashes)
-    rows = np.stack([every.astype(np.uint32), ((every >> np.uint64(40)) % np.uint64(TERMS)).astype(np.uint32)], 1)
     owner = np.searchsorted(begins, np.concatenate(starts), side="right") - 1
-    return np.bincount(owner, minlength=len(raw)), rows, held
+    return np.bincount(owner, minlength=len(raw)), np.concatenate(hashes).astype("<u4")
+
+
+def with_terms(ids: np.ndarray) -> np.ndarray:
+    """(identity, term) of each word."""
+    return np.stack([ids, ids >> np.uint32(32 - TERM_BITS)], 1)
 
 
 def term_rows(given: pa.Array | list[str]) -> list[np.ndarray]:
     """Each text's words as (identity, term), in order."""
-    counts, flat, _ = term_words(given if isinstance(given, pa.Array) else pa.array(given, pa.string()))
-    return np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
+    counts, ids = identities(given if isinstance(given, pa.Array) else pa.array(given, pa.string()))
+    return np.split(with_terms(ids), np.cumsum(counts)[:-1]) if len(counts) else []
+
 
+def cut(docs: DataFrame) -> DataFrame:
+    """(doc_id, words): the identities of each text's words, four bytes a word, cut once and kept for every later step."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, ids = identities(batch.column("text"))
+            data, ends = ids.tobytes(), np.cumsum([0, *(4 * counts)])
+            words = pa.array([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), words], ["doc_id", "words"])
 
-def document_frequencies(docs: DataFrame) -> tuple[int, int, np.ndarray]:
+    return store(texts(docs).mapInArrow(run, "doc_id long, words binary"))
+
+
+def kept_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words a text, their identities) of what `cut` kept."""
+    raw = words.to_pylist()
+    return np.array([len(r) // 4 for r in raw], np.int64), np.frombuffer(b"".join(raw), "<u4")
+
+
+def kept_rows(words: pa.Array) -> list[np.ndarray]:
+    """Each text's words as (identity, term), in order."""
+    counts, ids = kept_words(words)
+    return np.split(with_terms(ids), np.cumsum(counts)[:-1]) if len(counts) else []
+
+
+def document_frequencies(kept: DataFrame) -> tuple[int, int, np.ndarray]:
     """The number of texts, of their words and, by term, of texts that have it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n, words = np.zeros(TERMS, np.int64), 0, 0
         for batch in batches:
-            sizes, rows, held = term_words(batch.column("text"))
+            sizes, ids = kept_words(batch.column("words"))
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            counts += np.bincount(pd.unique(owner * TERMS + rows[:, 1]) % TERMS, minlength=TERMS)
-            words += held
+            counts += np.bincount(pd.unique(owner * TERMS + with_terms(ids)[:, 1]) % TERMS, minlength=TERMS)
+            words += len(ids)
             n += batch.num_rows
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *some.tolist()], pa.int32()), pa.array([words, n, *counts[some].tolist()], pa.int64())], ["term", "n"])
 
     # A row a term, TERMS at most.
-    rows = texts(docs).select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = kept.select("words").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts, total, words = np.zeros(TERMS, np.int64), 0, 0
     for r in rows:
         if r.term == -1:
@@ -121,34 +151,51 @@ def document_frequencies(docs: DataFrame) -> tuple[int, int, np.ndarray]:
     return total, words, counts
 
 
-def passage_rows(sample: DataFrame, idf: np.ndarray, width: int) -> DataFrame:
-    """(at, weight): the TF-IDF rows of the sample's passages, each of unit length."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, weights = [], []
-            for row in term_rows(batch.column("text")):
-                for start in range(0, len(row), width):
-                    ids, times = np.unique(row[start : start + width, 1], return_counts=True)
-                    w = times * idf[ids]
-                    size = np.sqrt((w**2).sum())
-                    if size > 0:
-                        at.append(ids.tolist())
-                        weights.append((w / size).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["at", "weight"])
-
-    return sample.select("text").mapInArrow(run, "at array<int>, weight array<double>")
-
-
-def summed(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """A'AQ over all rows of A. Tasks' sums meet block by block; the driver gets one sum."""
+def passages(words: pa.Array, idf: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(where passages start, terms, weights): TF-IDF rows of unit length, of every passage of `width` words, some at a time."""
+    sizes, ids = kept_words(words)
+    terms = ids >> np.uint32(32 - TERM_BITS)
+    begins = np.cumsum(sizes) - sizes
+    # A text's last passage may be shorter; numbers of passages grow from text to text.
+    each = -(-sizes // width)
+    first = np.cumsum(each) - each
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    heavy = np.flatnonzero(idf[terms] > 0)
+    passage = first[owner[heavy]] + (heavy - begins[owner[heavy]]) // width
+    keys, times = np.unique(passage * TERMS + terms[heavy], return_counts=True)
+    passage, terms = keys // TERMS, (keys % TERMS).astype(np.uint16)
+    weight = (times * idf[terms]).astype(np.float32)
+    starts = np.flatnonzero(np.diff(passage, prepend=-1))
+    if not len(starts):
+        return
+    counts = np.diff(starts, append=len(keys))
+    weight /= np.repeat(np.sqrt(np.add.reduceat(weight**2, starts)), counts)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + AT_ONCE)))
+        a, b = starts[low], starts[high] if high < len(starts) else len(keys)
+        yield starts[low:high] - a, terms[a:b], weight[a:b]
+        low = high
+
+
+def add_product(total: np.ndarray, basis: np.ndarray, starts: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> None:
+    """Adds A'AQ of some rows of A, as a dense matrix over the terms that they have."""
+    counts = np.diff(starts, append=len(terms))
+    own, at = np.unique(terms, return_inverse=True)
+    some = np.zeros((len(starts), len(own)), np.float32)
+    some[np.repeat(np.arange(len(starts)), counts), at] = weight
+    total[own] += some.T @ (some @ basis[own])
+
+
+def summed(kept: DataFrame, idf: np.ndarray, width: int, basis: np.ndarray) -> np.ndarray:
+    """A'AQ over all rows of A, the passages of all texts. Each core makes one sum, however many texts there are; sums
+    meet block by block, and the driver gets one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape, np.float32)
         for batch in batches:
-            for at, weight in zip(batch.column("at").to_pylist(), batch.column("weight").to_pylist(), strict=True):
-                ids, w = np.array(at), np.array(weight, np.float32)
-                total[ids] += np.outer(w, w @ basis[ids])
+            for starts, terms, weight in passages(batch.column("words"), idf, width):
+                add_product(total, basis, starts, terms, weight)
         for block, part in enumerate(np.vsplit(total, BLOCKS)):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
 
@@ -162,23 +209,26 @@ def summed(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
             [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "part"])
 
     kind = "block int, part binary"
-    found = rows.mapInArrow(run, kind).repartition(BLOCKS, "block").mapInArrow(add, kind).collect()
+    cores = kept.sparkSession.sparkContext.defaultParallelism
+    found = kept.select("words").coalesce(cores).mapInArrow(run, kind).repartition(BLOCKS, "block").mapInArrow(add, kind).collect()
     return np.concatenate([np.frombuffer(r.part, "f4") for r in sorted(found, key=lambda r: r.block)]).reshape(basis.shape)
 
 
-def latent_basis(rows: DataFrame, dimensions: int, skip: int, extra: int = 8, seed: int = 11) -> np.ndarray:
-    """Right singular vectors of the rows, by a randomised range finder with two passes over them.
+def latent_basis(kept: DataFrame, idf: np.ndarray, width: int, dimensions: int, skip: int, extra: int = 8, seed: int = 11) -> np.ndarray:
+    """Right singular vectors of all texts' passages, by a randomised Nystrom approximation with one pass over them.
 
-    The second product gives both the values within the first range, Q'(A'AQ), and the vectors after one more power
-    step. The first `skip` vectors are left out: they tell languages and kinds of text apart, which makes all
-    passages of one kind alike.
+    With Y = A'AQ, A'A is near Y (Q'Y)^-1 Y', whose eigenvectors are the left singular vectors of Y (Q'Y)^-1/2. The first
+    `skip` vectors are left out: they tell languages and kinds of text apart, which makes all passages of one kind alike.
     """
-    basis = np.random.default_rng(seed).normal(size=(TERMS, skip + dimensions + extra)).astype(np.float32)
-    basis = np.linalg.qr(summed(rows, basis))[0]
-    product = summed(rows, basis)
-    values, turn = np.linalg.eigh(basis.T @ product)
-    vectors = product @ turn[:, np.argsort(-values)[skip : skip + dimensions]]
-    return (vectors / np.maximum(np.linalg.norm(vectors, axis=0), 1e-9)).astype(np.float32)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(TERMS, skip + dimensions + extra)))[0].astype(np.float32)
+    product = summed(kept, idf, width, basis).astype(np.float64)
+    inner = basis.T @ product
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    real = values > 1e-6 * max(values.max(), 1e-9)
+    found = np.linalg.svd(product @ (turn[:, real] / np.sqrt(values[real])), full_matrices=False)[0][:, skip : skip + dimensions]
+    vectors = np.zeros((TERMS, dimensions), np.float32)
+    vectors[:, : found.shape[1]] = found
+    return vectors
 
 
 @dataclass
@@ -204,16 +254,12 @@ def weights(total: int, counts: np.ndarray, common: float) -> np.ndarray:
     return np.maximum(0.0, np.log((common * total + 1) / (counts + 1)))
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, dimensions: int, sample: int, items: int, width: int, common: float, skip: int) -> Space:
-    """Frequencies from all texts; the basis from at most `sample` texts and `items` items, by hash."""
-    total, words, counts = document_frequencies(docs)
+def fit(kept: DataFrame, benchmark: DataFrame, dimensions: int, width: int, common: float, skip: int) -> Space:
+    """Frequencies from all texts, the basis from all passages of all texts and items."""
+    total, words, counts = document_frequencies(kept)
     idf = weights(total, counts, common)
-    given = texts(docs).where("text <> ''")
-    share = (1 << 20) * min(1.0, sample / max(1, total))
-    wanted = given.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share))
-    own = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("text")).limit(items)
-    rows = store(passage_rows(wanted.select("text").unionByName(own), idf, width))
-    weighted = latent_basis(rows, dimensions, skip) * idf[:, None].astype(np.float32)
+    items = cut(benchmark.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    weighted = latent_basis(kept.unionByName(items), idf, width, dimensions, skip) * idf[:, None].astype(np.float32)
     return Space(np.vstack([weighted, np.zeros((1, dimensions), np.float32)]), idf, counts / max(1, words))
 
 
@@ -223,12 +269,18 @@ class Item:
     words: list[int]
     answer: list[int]
     masks: dict[int, int] = field(init=False)
+    bag: Counter = field(init=False)
 
     def __post_init__(self) -> None:
-        self.masks = {}
+        self.masks, self.bag = {}, Counter(self.words)
         for i, w in enumerate(self.words):
             self.masks[w] = self.masks.get(w, 0) | 1 << i
 
+    def shares(self, region: list[int], least: int) -> bool:
+        """Whether the region has `least` of the item's words, each counted as often as the item has it: no fewer than any
+        common subsequence."""
+        return sum(map(self.bag.__getitem__, self.bag.keys() & set(region))) >= least
+
     def lcs(self, region: list[int]) -> int:
         """The longest common subsequence with the region's words, a bit a word of the item."""
         full = (1 << len(self.words)) - 1
@@ -257,7 +309,6 @@ class FullSearch:
     def __init__(self, items: list[Item], rows: list[np.ndarray], rates: np.ndarray, likely: float) -> None:
         self.items, pairs, needs = items, [], []
         self.least = [max(1, math.ceil(likely * len(row) - 1e-9)) for row in rows]
-        self.bags = [Counter(item.words) for item in items]
         for i, row in enumerate(rows):
             n = len(row)
             rate = rates[row[:, 1]]
@@ -310,9 +361,7 @@ class FullSearch:
                     seen.add((text, i, start))
                     if text not in words:
                         words[text] = rows[text][:, 0].tolist()
-                    bag, region = self.bags[i], words[text][max(0, start - n // 2) : start + n + n // 2]
-                    shared = bag.keys() & set(region)
-                    if sum(map(bag.__getitem__, shared)) >= self.least[i]:
+                    if self.items[i].shares(words[text][max(0, start - n // 2) : start + n + n // 2], self.least[i]):
                         yield text, self.items[i], start
 
 
@@ -353,6 +402,8 @@ class Searcher:
         return least.sum() < self.cosine**2 * squares.sum()
 
     def check(self, item: Item, region: list[int]) -> tuple[float, bool] | None:
+        if not item.shares(region, max(1, math.ceil(self.likely * len(item.words) - 1e-9))):
+            return None
         share = item.lcs(region) / len(item.words)
         if share < self.likely:
             return None
@@ -370,20 +421,23 @@ class Searcher:
         terms_at = np.full(begins[-1], TERMS, np.int64)
         for begin, at, row in zip(begins, places, rows, strict=False):
             terms_at[begin : begin + len(at)] = row[at, 1]
-        running = np.zeros((self.space.vectors.shape[1], len(terms_at) + 1), np.float32)
-        np.cumsum(np.ascontiguousarray(self.space.vectors[terms_at].T), axis=1, out=running[:, 1:])
+        running = np.zeros((len(terms_at) + 1, self.space.vectors.shape[1]), np.float32)
+        np.cumsum(self.space.vectors[terms_at], axis=0, out=running[1:])
         for length, (items, vectors) in self.lengths.items():
             step = max(1, length // 3)
-            ends = running[:, length::step]
-            windows = ends - running[:, ::step][:, : ends.shape[1]]
-            sizes = np.sqrt(np.einsum("ij,ij->j", windows, windows))
-            likeness = vectors.T @ windows
-            for k in np.flatnonzero(likeness >= self.cosine * np.maximum(sizes, 1e-3)).tolist():
-                i, w = divmod(k, len(sizes))
-                text = int(np.searchsorted(begins, w * step, side="right")) - 1
-                at, start = places[text], w * step - int(begins[text])
-                if start < len(at):
-                    yield text, items[i], float(likeness[i, w] / sizes[w]), int(at[start]), int(at[min(start + length, len(at)) - 1]) + 1
+            ends = running[length::step]
+            windows = ends - running[::step][: len(ends)]
+            sizes = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+            likeness = windows @ vectors
+            near = np.flatnonzero(likeness >= self.cosine * np.maximum(sizes, 1e-3)[:, None])
+            w, item = np.divmod(near, len(items))
+            text = np.searchsorted(begins, w * step, side="right") - 1
+            start = w * step - begins[text]
+            likely = likeness[w, item] / sizes[w]
+            for t, i, c, a in zip(text.tolist(), item.tolist(), likely.tolist(), start.tolist(), strict=True):
+                at = places[t]
+                if a < len(at):
+                    yield t, items[i], c, int(at[a]), int(at[min(a + length, len(at)) - 1]) + 1
         for text, item, start in self.full.regions(rows):
             yield text, item, 0.0, start, start + len(item.words)
 
@@ -446,11 +500,10 @@ def item_blocks(benchmark: DataFrame, block: int, answer_words: int) -> Iterator
         yield made()
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, dimensions: int = 80, sample: int = 4_000, items: int = 2_000, width: int = 40,
-              block: int = 1_000,
+def searchers(kept: DataFrame, benchmark: DataFrame, dimensions: int = 80, width: int = 40, block: int = 1_000,
               cosine: float = 0.6, sure: float = 0.8, likely: float = 0.6,
               answer_words: int = 5, common: float = 0.05, skip: int = 16) -> Iterator[Searcher]:
-    space = fit(docs, benchmark, dimensions, sample, items, width, common, skip)
+    space = fit(kept, benchmark, dimensions, width, common, skip)
     for own, rows in item_blocks(benchmark, block, answer_words):
         yield Searcher(space, own, rows, cosine, sure, likely)
 
@@ -460,23 +513,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     first_word is where the checked region starts, among the text's words that are not punctuation alone.
     """
-    given = texts(docs)
+    kept = cut(docs)
 
     def search(searcher: Searcher) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = zip(batch.column("doc_id").to_pylist(), searcher.find(term_rows(batch.column("text"))), strict=True)
+                hits = zip(batch.column("doc_id").to_pylist(), searcher.find(kept_rows(batch.column("words"))), strict=True)
                 found = [(doc_id, *hit) for doc_id, own in hits for hit in own]
                 columns = zip(*found, strict=True) if found else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
 
-        return given.mapInArrow(run, FOUND)
+        return kept.mapInArrow(run, FOUND)
 
     out = None
-    for searcher in searchers(docs, benchmark, **options):
+    for searcher in searchers(kept, benchmark, **options):
         one = search(searcher)
         out = one if out is None else out.unionByName(one)
-    return given.sparkSession.createDataFrame([], FOUND) if out is None else out
+    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
 NAMES = ["doc_id", "item_id", "cosine", "lcs", "answer", "first_word"]
@@ -498,6 +551,6 @@ def leak_test(searcher: Searcher):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no item, columns as they were."""
     out = docs
-    for searcher in searchers(docs, benchmark, **options):
+    for searcher in searchers(cut(docs), benchmark, **options):
         out = out.where(~leak_test(searcher)(F.col("text")))
     return out

@@ -117,3 +117,32 @@ def test_words_are_cut_like_plain_ones():
         for w, (identity, term) in zip(own, row.tolist(), strict=True):
             assert ids.setdefault(w, (identity, term)) == (identity, term) and term < decontaminate.TERMS
     assert len({i for i, _ in ids.values()}) == len(ids)
+
+
+def test_the_basis_is_fitted_on_every_passage(spark):
+    """The summed product equals that of one matrix with a row for each passage of each text, none left out."""
+    texts = [" ".join(f"w{(i * 7 + j * j) % 90}" for j in range(i % 130)) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = decontaminate.cut(docs)
+    total, _, counts = decontaminate.document_frequencies(kept)
+    idf = decontaminate.weights(total, counts, 0.9)
+    rows = []
+    for row in decontaminate.term_rows(texts):
+        for at in range(0, len(row), 40):
+            line = np.bincount(row[at : at + 40, 1], minlength=decontaminate.TERMS) * idf
+            if line.any():
+                rows.append(line / np.linalg.norm(line))
+    matrix = np.array(rows)
+    basis = np.random.default_rng(3).normal(size=(decontaminate.TERMS, 4)).astype(np.float32)
+    got = decontaminate.summed(kept, idf, 40, basis)
+    assert total == 300 and np.allclose(got, matrix.T @ (matrix @ basis), rtol=1e-3, atol=1e-2)
+
+
+def test_texts_beyond_any_sample_shape_the_basis(spark):
+    """Two words stand for each other in one text of 6,000 alone."""
+    rows = [(i, f"filler{i % 50} common{i % 7}") for i in range(6_000)] + [(6_000, "rareone raretwo")]
+    items = spark.createDataFrame([(1, "unrelated words here")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    space = decontaminate.fit(decontaminate.cut(docs), items, 70, 40, 0.9, 0)
+    one, two = space.vectors[decontaminate.term_rows(["rareone raretwo"])[0][:, 1]]
+    assert one @ two > 0.9 * np.linalg.norm(one) * np.linalg.norm(two) > 0
