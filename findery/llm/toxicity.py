@@ -4,11 +4,11 @@ A text's features are the hashes of its distinct words and of their first four a
 score = sigmoid(bias + sum of weights + sum over pairs of features of the dot product of their factors),
 so that two terms can mean more together than apart.
 
-The labelled rows for training are a bounded sample (`rows`, the first by hash of doc_id). Its terms are chosen from
-counts over that sample: those that tell the labels apart beyond chance, for or against toxicity, over all rows or
+Every labelled row that is not held out trains the model. Its texts are cut into features once, which are kept for all later
+steps. The model's terms are chosen from counts over all of these rows: those that tell the labels apart beyond chance, for or against toxicity, over all rows or
 among the rows with a term that goes with toxic ones, or in pairs that say what neither term does alone, so that neutral and
-excusing sides of a pair are there to be learned. At most `terms` of them make the model, so its size is fixed. Every round is one Spark job: each task sums the gradient of its rows,
-and the driver, which only holds the model, takes one step. Scoring reads every text once, with no shuffle.
+excusing sides of a pair are there to be learned. At most `terms` of them make the model, so its size is fixed. Every round is one Spark job over all of them: each core sums the gradient of its
+rows, and the driver, which only holds the model, takes one step. Scoring reads every text once, with no shuffle.
 
 A null text is an empty one and scores the bias; a null doc_id is in no fold; repeated rows are scored
 alike; a doc_id labelled twice is toxic if one label says so; labels of no document, null labels and other
@@ -33,6 +33,8 @@ from findery.llm.common import Memo, texts
 from findery.session import store
 
 SPACE = 1 << 24
+#: Features that are counted at once.
+TOGETHER = 4_000_000
 #: Trimmed from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}<>|*_-"
 
@@ -73,11 +75,16 @@ class Model:
         return 1 / (1 + np.exp(-logit))
 
 
-def forward(bias: float, weights: np.ndarray, factors: np.ndarray, rows: list[np.ndarray]):
+def end_to_end(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(features a row, all features)."""
+    return np.array([len(r) for r in rows], int), np.concatenate(rows) if rows else np.zeros(0, int)
+
+
+def forward(bias: float, weights: np.ndarray, factors: np.ndarray, rows: list[np.ndarray] | tuple[np.ndarray, np.ndarray]):
     """The rows' features end to end with their row numbers, logits, and summed factors."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.zeros(0, int)
-    n = len(rows)
+    sizes, flat = rows if isinstance(rows, tuple) else end_to_end(rows)
+    n = len(sizes)
+    at = np.repeat(np.arange(n), sizes)
     linear = np.bincount(at, weights[flat], n)
     sums = np.stack([np.bincount(at, factors[flat, f], n) for f in range(factors.shape[1])], axis=1)
     squares = np.bincount(at, (factors[flat] ** 2).sum(1), n)
@@ -91,38 +98,66 @@ def gradient(bias, weights, factors, rows, labels) -> np.ndarray:
     off = 1 / (1 + np.exp(-logit)) - labels
     each, size = off[at], len(weights)
     by_factor = [np.bincount(flat, each * (sums[at, f] - factors[flat, f]), size) for f in range(factors.shape[1])]
-    return np.concatenate([[off.sum()], np.bincount(flat, each, size), np.stack(by_factor, axis=1).ravel(), [len(rows)]])
+    return np.concatenate([[off.sum()], np.bincount(flat, each, size), np.stack(by_factor, axis=1).ravel(), [len(labels)]])
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, label) of the sample. Its labels are at most `rows`, so they may be broadcast."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, label) of every labelled row that is not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("id")) != 2))
-    sample = marks.groupBy("id").agg(F.max("toxic").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    return texts(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("text", "label")
+    known = marks.groupBy("id").agg(F.max("toxic").alias("label"))
+    return texts(docs).join(known, F.col("doc_id") == F.col("id")).select("text", "label")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """(features, label): the sorted hashes of each text's features, four bytes each, written once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(lambda words: [np.array(word_features(w), "<i4").tobytes() for w in words])
+        for batch in batches:
+            found = memo.lookup([list(set(t.encode().lower().split())) for t in batch.column("text").to_pylist()])
+            held = [np.unique(np.frombuffer(b"".join(x), "<i4")).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), batch.column("label")], ["features", "label"])
+
+    return store(rows.mapInArrow(run, "features binary, label int"))
+
+
+def row_features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(features a row, all features) of what `cut` kept."""
+    held = batch.column("features").to_pylist()
+    return np.array([len(x) // 4 for x in held], int), np.frombuffer(b"".join(held), "<i4")
 
 
 def tallied(sample: DataFrame, within: np.ndarray | None) -> DataFrame:
     """(term, n, a): rows and toxic rows by feature hash, and of all under -1; only of rows that have a feature of `within`."""
 
+    def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        toxic = np.bincount(at, np.concatenate([t for _, t in parts]), len(hashes))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hashes, pa.int32()), pa.array(np.bincount(at, minlength=len(hashes)), pa.int64()), pa.array(toxic.astype("i8"))],
+            ["term", "n", "toxic"],
+        )
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda words: [np.array(word_features(w), "<i4").tobytes() for w in words])
+        parts, held = [], 0
         for batch in batches:
-            found = memo.lookup([t.encode().lower().split() for t in batch.column("text").to_pylist()])
-            rows = [np.append(np.unique(np.frombuffer(b"".join(x), "<i4")), np.int32(-1)) for x in found]
+            sizes, flat = row_features(batch)
+            labels, at = batch.column("label").to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            wanted = np.ones(len(sizes), bool)
             if within is not None:
-                rows = [r if np.isin(r, within).any() else r[:0] for r in rows]
-            labels = np.repeat(batch.column("label").to_numpy(), [len(r) for r in rows])
-            hashes, at = np.unique(np.concatenate([*rows, np.zeros(0, "<i4")]), return_inverse=True)
-            toxic = np.bincount(at, labels, len(hashes)) if len(hashes) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes, pa.int32()), pa.array(np.bincount(at, minlength=len(hashes)), pa.int64()), pa.array(toxic.astype("i8"))],
-                ["term", "n", "toxic"],
-            )
+                wanted = np.bincount(at, np.isin(flat, within), len(sizes)) > 0
+            parts += [(flat[wanted[at]], labels[at][wanted[at]]), (np.full(wanted.sum(), -1, "<i4"), labels[wanted])]
+            held += len(parts[-2][0])
+            if held >= TOGETHER:
+                yield counted(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted(parts)
 
     counts = sample.mapInArrow(run, "term int, n long, toxic long")
     return store(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("a")))
@@ -142,26 +177,35 @@ def telling(counts: DataFrame, terms: int, least: float) -> list:
     return best.orderBy(F.desc("score"), "term").limit(terms).collect()
 
 
-def row_features(batch: pa.RecordBatch, memo: Memo) -> list[np.ndarray]:
-    found = memo.lookup([t.encode().lower().split() for t in batch.column("text").to_pylist()])
-    return [np.unique(np.frombuffer(b"".join(x), "<i4")) for x in found]
+def places(flat: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which features are among the sorted terms, and where those stand there)."""
+    if not len(terms):
+        return np.zeros(len(flat), bool), np.zeros(0, int)
+    at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
+    real = terms[at] == flat
+    return real, at[real]
+
+
+def by_core(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as there are cores at most, so that sums of a model's size do not grow with the data."""
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def telling_pairs(sample: DataFrame, often: np.ndarray, rate: float, least: float, rows: int = 20) -> np.ndarray:
     """Of the sorted hashes `often`, those with a partner among them such that rows with both are more or less toxic than each
     of the two alone lets expect, by at least `least` standard errors.
 
-    Tasks add up two matrices of `often` squared; the sample is bounded, and so are tasks and matrices.
+    Each core adds up two matrices of `often` squared, however many rows there are.
     """
     size = len(often)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda words: [np.array(word_features(w), "<i4").tobytes() for w in words])
         both, off = np.zeros((size, size), np.float32), np.zeros((size, size), np.float32)
         for batch in batches:
-            own = [r[np.isin(r, often)] for r in row_features(batch, memo)]
-            held = np.zeros((len(own), size), np.float32)
-            held[np.repeat(np.arange(len(own)), [len(r) for r in own]), np.searchsorted(often, np.concatenate([*own, often[:0]]))] = 1
+            sizes, flat = row_features(batch)
+            real, place = places(flat, often)
+            held = np.zeros((len(sizes), size), np.float32)
+            held[np.repeat(np.arange(len(sizes)), sizes)[real], place] = 1
             both += held.T @ held
             off += held.T @ (held * (batch.column("label").to_numpy() - rate).astype(np.float32)[:, None])
         yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary()), pa.array([off.tobytes()], pa.binary())], ["both", "off"])
@@ -177,8 +221,8 @@ def telling_pairs(sample: DataFrame, often: np.ndarray, rate: float, least: floa
         found = (both >= rows) & (np.abs(gap) * np.sqrt(both) >= least * math.sqrt(rate * (1 - rate)))
         yield pa.RecordBatch.from_arrays([pa.array(often[found.any(1)], pa.int32())], ["term"])
 
-    # Four pairs of matrices meet in one task; the driver gets the terms.
-    sums = sample.repartition(4).mapInArrow(run, "both binary, off binary")
+    # A pair of matrices a core meets in one task; the driver gets the terms.
+    sums = by_core(sample).mapInArrow(run, "both binary, off binary")
     found = sums.repartition(1).mapInArrow(strong, "term int").collect()
     return np.array(sorted(r.term for r in found), "<i4")
 
@@ -202,19 +246,23 @@ def chosen_terms(sample: DataFrame, terms: int, least: float, often: int, errors
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, rows: int = 20_000, terms: int = 8_192, factors: int = 4, rounds: int = 40,
+    docs: DataFrame, labels: DataFrame, terms: int = 8_192, factors: int = 4, rounds: int = 40,
     rate: float = 0.1, decay: float = 1e-4, least: float = 25.0, often: int = 1_024, errors: float = 6.0, seed: int = 7,
 ) -> Model:
-    """A model of the labelled rows that are not held out."""
-    sample = store(labelled(docs, labels, rows))
+    """A model of all labelled rows that are not held out."""
+    sample = cut(labelled(docs, labels))
     picked = chosen_terms(sample, terms, least, often, errors)
     rng = np.random.default_rng(seed)
     blank = Model(picked, 0.0, np.zeros(len(picked)), rng.normal(0, 0.05, (len(picked), factors)))
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = blank.features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in found], pa.list_(pa.int32())), batch.column("label")], ["at", "label"])
+            sizes, flat = row_features(batch)
+            real, place = places(flat, picked)
+            kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+            ends = pa.array(np.cumsum([0, *kept]), pa.int32())
+            at = pa.ListArray.from_arrays(ends, pa.array(place, pa.int32()))
+            yield pa.RecordBatch.from_arrays([at, batch.column("label")], ["at", "label"])
 
     data = store(sample.mapInArrow(features, "at array<int>, label int"))
     # The rows' share of toxic ones starts the bias.
@@ -229,12 +277,13 @@ def train(
         def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(now) + 1)
             for batch in batches:
-                found = [np.array(x, "i8") for x in batch.column("at").to_pylist()]
+                at = batch.column("at")
+                found = at.value_lengths().to_numpy(), at.flatten().to_numpy()
                 total += gradient(now[0], now[1 : size + 1], now[size + 1 :].reshape(size, factors), found, batch.column("label").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-        # A row a task, each of the model's size; the sample's size bounds the tasks.
-        total = sum(np.frombuffer(r.total) for r in data.mapInArrow(sums, "total binary").collect())
+        # A row a core, each of the model's size.
+        total = sum(np.frombuffer(r.total) for r in by_core(data).mapInArrow(sums, "total binary").collect())
         slope = total[:-1] / total[-1] + decay * np.concatenate([[0.0], state[1:]])
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         state = state - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)

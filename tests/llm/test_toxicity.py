@@ -98,3 +98,12 @@ def test_awkward_rows(spark):
     none = toxicity.toxicity(docs, labels.where("false"))
     assert none.where(F.col("predicted") == 1).count() == 0
     assert toxicity.toxicity(empty(spark), labels).count() == 0
+
+
+def test_every_labelled_row_trains(spark):
+    """24,000 labelled rows, more than any earlier bound: all that are not held out are counted."""
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "concat('word', id % 40, ' other', id % 3) AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 40 < 4 AS int) AS toxic")
+    wanted = docs.where(toxicity.fold(docs.doc_id) != 2)
+    whole = toxicity.tallied(toxicity.cut(toxicity.labelled(docs, labels)), None).where("term = -1").first()
+    assert (whole.n, whole.a) == (wanted.count(), wanted.where("doc_id % 40 < 4").count())
