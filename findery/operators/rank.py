@@ -1,7 +1,8 @@
 """Boosts, best bets, order, pages and re-ranking of hits.
 
 A query may have any number of hits. A page takes its first rows by bounded heaps over pieces of a query's
-hits, merged afterwards, so no task meets all of them; only ``rank_hits`` and ``sort_multi`` number every hit.
+hits, merged afterwards, so no task meets all of them. ``rank_hits``, ``sort_multi`` and ``sort_by_option`` number
+every hit; they place hits by ranges of the order, so a query of any size is many tasks' work too.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from findery.functions import dates as D, fields as X
 from findery.functions.text import let
 from findery.operators.dedup import rank_order
 from findery.rules import BestBet, SortOption, SortRule, lookup
+from findery.session import store
 
 MIN_RERANKED = 3
 RELEVANCE = "score"
@@ -24,6 +26,33 @@ def _per_query(*order: Column) -> Window:
     return Window.partitionBy("query_id").orderBy(*order)
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """All rows of each query, numbered in ``out`` by ``order``.
+
+    Rows are written once, as ranges are found by a look at all of them, and once more in ranges of query and order, so that
+    these stand fast. A range numbers its own rows; the one query that goes on from earlier ranges adds its rows there.
+    """
+    ranges = store(rows).repartitionByRange("query_id", *order).withColumn("_range", F.spark_partition_id())
+    placed = store(ranges)
+    counts = placed.groupBy("query_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(_per_query(F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    # A row a range at most, however many queries there are.
+    going_on = counts.withColumn("_before", earlier).filter("_before > 0").select(
+        "_range", F.col("query_id").alias("_going_on"), "_before")
+    local = Window.partitionBy("query_id", "_range").orderBy(*order)
+    found = placed.withColumn(out, F.row_number().over(local)).join(F.broadcast(going_on), "_range", "left")
+    before = F.when(F.col("query_id").eqNullSafe(F.col("_going_on")), F.col("_before"))
+    return found.withColumn(out, (F.col(out) + F.coalesce(before, F.lit(0))).cast("int")).drop("_range", "_going_on", "_before")
+
+
+def _numbered_by_keys(rows: DataFrame, keys: Sequence[tuple[Column, str]], out: str) -> DataFrame:
+    """Rows numbered anew: best bets, then each key in its direction, then the number they had."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    keyed = rows.withColumns({n: key for n, (key, _) in zip(names, keys, strict=True)})
+    order = [_directed(F.col(n), direction) for n, (_, direction) in zip(names, keys, strict=True)]
+    return numbered(keyed, [F.desc("is_best_bet"), *order, F.asc(out)], "_again").drop(out, *names).withColumnRenamed("_again", out)
+
+
 def boost_types(hits: DataFrame, type_boosts: Sequence[tuple[str, float]]) -> DataFrame:
     """``score = raw_score × boost`` of the row's type, 1 without one."""
     boosts = {alias: float(boost) for alias, boost in type_boosts}
@@ -88,7 +117,7 @@ def pin_best_bets(hits: DataFrame, query_terms: DataFrame, best_bets: Sequence[B
 
 def rank_hits(hits: DataFrame) -> DataFrame:
     """``rank``: best bets, then score; ties keep the order the indexes gave."""
-    return hits.withColumn("rank", F.row_number().over(_per_query(*rank_order())))
+    return numbered(hits, rank_order(), "rank")
 
 
 def sort_key(field: str | Column) -> Column:
@@ -129,17 +158,19 @@ def _directed(key: Column, direction: str) -> Column:
     return key.asc() if direction == "ascending" else key.desc()
 
 
+def _rule_keys(hits: DataFrame, sort_rules: Sequence[SortRule]) -> list[tuple[Column, str]]:
+    return [(_key_of(r.field, hits.columns), r.direction) for r in sort_rules if r.field.strip()]
+
+
 def sort_order(hits: DataFrame, sort_rules: Sequence[SortRule], last: Sequence[Column]) -> list[Column]:
     """Best bets, then each rule in turn, then ``last``."""
-    keys = [_directed(_key_of(r.field, hits.columns), r.direction) for r in sort_rules if r.field.strip()]
-    return [F.desc("is_best_bet"), *keys, *last]
+    return [F.desc("is_best_bet"), *[_directed(*k) for k in _rule_keys(hits, sort_rules)], *last]
 
 
 def sort_multi(hits: DataFrame, sort_rules: Sequence[SortRule]) -> DataFrame:
     """Best bets, then each rule in turn; ties keep the previous rank."""
-    if not any(r.field.strip() for r in sort_rules):
-        return hits
-    return hits.withColumn("rank", F.row_number().over(_per_query(*sort_order(hits, sort_rules, [F.asc("rank")]))))
+    keys = _rule_keys(hits, sort_rules)
+    return _numbered_by_keys(hits, keys, "rank") if keys else hits
 
 
 def apply_sort_option(queries: DataFrame, sort_options: Sequence[SortOption]) -> DataFrame:
@@ -164,22 +195,22 @@ def with_sort_alias(hits: DataFrame, queries: DataFrame, sort_options: Sequence[
     return hits.join(picked, "query_id", "left")
 
 
-def option_order(hits: DataFrame, sort_options: Sequence[SortOption], last: Sequence[Column]) -> list[Column]:
-    """The order each row's ``sort_alias`` asks for, best bets first, then ``last``.
-
-    Every enabled option's key is a column of the row; a query's alias picks the one that counts.
-    """
+def _option_keys(hits: DataFrame, sort_options: Sequence[SortOption]) -> list[tuple[Column, str]]:
+    """Every enabled option's key is a column of the row; a query's alias picks the one that counts."""
     options = {o.alias.lower(): o for o in reversed(sort_options) if o.enabled and o.alias.strip() and o.field.strip()}
     alias = F.lower("sort_alias")
-    keys = [_directed(F.when(alias == n, _key_of(o.field, hits.columns)), o.direction) for n, o in options.items()]
-    return [F.desc("is_best_bet"), *keys, *last]
+    return [(F.when(alias == n, _key_of(o.field, hits.columns)), o.direction) for n, o in options.items()]
+
+
+def option_order(hits: DataFrame, sort_options: Sequence[SortOption], last: Sequence[Column]) -> list[Column]:
+    """The order each row's ``sort_alias`` asks for, best bets first, then ``last``."""
+    return [F.desc("is_best_bet"), *[_directed(*k) for k in _option_keys(hits, sort_options)], *last]
 
 
 def sort_by_option(hits: DataFrame, queries: DataFrame, sort_options: Sequence[SortOption]) -> DataFrame:
     """Each query's rows in the order its sort option asks for, best bets first."""
     ranked = with_sort_alias(hits, queries, sort_options)
-    order = option_order(ranked, sort_options, [F.asc("rank")])
-    return ranked.withColumn("rank", F.row_number().over(_per_query(*order))).drop("sort_alias")
+    return _numbered_by_keys(ranked, _option_keys(ranked, sort_options), "rank").drop("sort_alias")
 
 
 def is_browse() -> Column:

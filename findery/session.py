@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A frequent key's rows are split from the size on that partitions are meant to have, not from four times that.
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
     # Rows handed to Python come in batches bounded by count and bytes, so that long texts cannot fill a worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",

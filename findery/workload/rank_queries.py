@@ -16,6 +16,13 @@ def _short(frame: DataFrame) -> DataFrame:
     return frame.select("query_id", "doc_key")
 
 
+def _ranked(hits: DataFrame, *fields: str) -> DataFrame:
+    """Ranked hits with what ranking reads and the fields that are sorted by: every row is written, texts need not be."""
+    kept = F.map_filter("fields", lambda k, _: k.isin(list(fields))) if fields else F.create_map().cast("map<string,string>")
+    narrow = hits.select("query_id", "doc_key", "index_rank", "is_best_bet", "score", "raw_score", kept.alias("fields"))
+    return R.rank_hits(narrow)
+
+
 def _keys(frame: DataFrame) -> DataFrame:
     return frame.select("index_name", "doc_key")
 
@@ -193,7 +200,7 @@ FROM hits_parts h JOIN {_TERM_SQL} w ON w.query_id = h.query_id"""
 )
 def pin_best_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = R.pin_best_bets(T.hits_parts(spark, sf_dir), _part_terms(spark, sf_dir), BETS)
-    return R.rank_hits(hits).select("query_id", "doc_key", "is_best_bet", "rank")
+    return _ranked(hits).select("query_id", "doc_key", "is_best_bet", "rank")
 
 
 @register(
@@ -202,7 +209,7 @@ def pin_best_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
       score DESC, doc_key) AS rank FROM (SELECT *, lower(f_p_brand) AS brand FROM hits_parts)""",
 )
 def sort_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.rank_hits(T.hits_parts(spark, sf_dir))
+    ranked = _ranked(T.hits_parts(spark, sf_dir), "p_brand", "p_size")
     rules = [SortRule("p_brand"), SortRule("p_size", "descending"), SortRule("score", "descending")]
     return R.sort_multi(ranked, rules).select("query_id", "doc_key", "rank")
 
@@ -225,7 +232,7 @@ def sort_multi_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("__sort_mixed"), value, F.lit("mixed"), F.when(value.isNotNull(), "zzz")),
         lambda k, v: v.isNotNull(),
     )
-    ranked = R.rank_hits(T.hits_orders(spark, sf_dir).withColumn("fields", mixed))
+    ranked = _ranked(T.hits_orders(spark, sf_dir).withColumn("fields", mixed), "__sort_mixed", "mixed")
     return R.sort_multi(ranked, [SortRule("Mixed")]).select("query_id", "doc_key", "rank")
 
 
@@ -254,7 +261,7 @@ _SORTED = """SELECT query_id, doc_key, row_number() OVER (PARTITION BY query_id
 
 @register("apply_sort_option", _SORTED)
 def apply_sort_option(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.rank_hits(T.hits_orders(spark, sf_dir))
+    ranked = _ranked(T.hits_orders(spark, sf_dir), "orderdate", "o_totalprice")
     return R.sort_by_option(ranked, _order_queries(spark, sf_dir), OPTIONS).select("query_id", "doc_key", "rank")
 
 
@@ -271,7 +278,7 @@ _SLICE = """SELECT r.query_id, r.doc_key, r.rank FROM (SELECT query_id, doc_key,
     _SLICE.format(page=_PAGE.format(cap=5)),
 )
 def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.rank_hits(T.hits_orders(spark, sf_dir))
+    ranked = _ranked(T.hits_orders(spark, sf_dir))
     rows, _ = R.page_slice(ranked, _order_queries(spark, sf_dir), 12, 5)
     return rows.select("query_id", "doc_key", "rank")
 
@@ -279,7 +286,7 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("page_slice_browse_none", _SLICE.format(page=_PAGE.format(cap=0)))
 def page_slice_browse_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A browse cap of 0 shows nothing, except to queries with a size of their own."""
-    ranked = R.rank_hits(T.hits_orders(spark, sf_dir))
+    ranked = _ranked(T.hits_orders(spark, sf_dir))
     return R.page_slice(ranked, _order_queries(spark, sf_dir), 12, 0)[0].select("query_id", "doc_key", "rank")
 
 
@@ -290,7 +297,7 @@ def page_slice_browse_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({_PAGE.format(cap=5)}) p JOIN (SELECT query_id, count(*) AS n FROM hits_orders GROUP BY ALL) c ON c.query_id = p.query_id""",
 )
 def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.rank_hits(T.hits_orders(spark, sf_dir))
+    ranked = _ranked(T.hits_orders(spark, sf_dir))
     return R.page_slice(ranked, _order_queries(spark, sf_dir), 12, 5)[1]
 
 
@@ -302,7 +309,7 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
       CROSS JOIN (VALUES ('12', 1), ('5', 2), ('900', 3)) AS p(doc_key, rank)""",
 )
 def curated_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.rank_hits(T.hits_orders(spark, sf_dir))
+    ranked = _ranked(T.hits_orders(spark, sf_dir))
     picks = ["12", "missing", "5", "900"]
     # The query that holds a third of all hits is no browse query, so its hits are ranked too.
     term = F.when(F.col("query_id") % 6 == 0, "").otherwise("x")
@@ -324,7 +331,7 @@ def curated_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def apply_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = R.pin_best_bets(T.hits_parts(spark, sf_dir), _part_terms(spark, sf_dir), BETS)
-    page = R.rank_hits(hits).filter("rank <= 30")
+    page = _ranked(hits).filter("rank <= 30")
     ranked = R.apply_rerank(page, T.rerank_replies(spark, sf_dir))
     return ranked.select("query_id", "doc_key", "rank")
 

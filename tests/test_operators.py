@@ -3,13 +3,13 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from findery.operators import dedup as DD, extract as E, facets as FC, filters as FL, match as M, rank as R, score as S
 from findery.operators.budget import admit_within_budget
 from findery.operators.suggest import spell_correct
 from findery.plans import search as PL
-from findery.rules import Facet, FieldRule, RuleSet
+from findery.rules import Facet, FieldRule, RuleSet, SortRule
 from findery.workload import tables as T
 
 
@@ -162,3 +162,24 @@ def test_rerank_is_a_permutation(spark, sf_dir):
     ranked = R.apply_rerank(page, T.rerank_replies(spark, sf_dir))
     key = lambda f: sorted((r["query_id"], r["rank"]) for r in f.select("query_id", "rank").collect())
     assert key(page) == key(ranked) and page.select("doc_key").exceptAll(ranked.select("doc_key")).count() == 0
+
+
+def test_numbering_splits_a_query_that_holds_most_hits(spark, tmp_path):
+    """One query's hits are numbered by several tasks, and as a window over all of them would."""
+    from findery.session import settings
+
+    hits = spark.range(0, 30_000, 1, 4).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(5).alias("query_id"), F.col("id").cast("string").alias("doc_key"),
+        F.lit(0).alias("index_rank"), (F.col("id") % 3 == 0).alias("is_best_bet"), (F.col("id") % 100).cast("double").alias("score"),
+        F.lit(0.0).alias("raw_score"), F.create_map(F.lit("size"), (F.col("id") % 7).cast("string")).alias("fields"),
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("is_best_bet"), F.desc("score"), "doc_key")
+    again = Window.partitionBy("query_id").orderBy(F.desc("is_best_bet"), F.desc(F.expr("cast(fields['size'] as int)")), "rank")
+    with settings(spark, {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        ranked = R.rank_hits(hits)
+        resorted = R.sort_multi(ranked, [SortRule("size", "descending")])
+        expected = hits.withColumn("rank", F.row_number().over(order))
+        for found, wanted in ((ranked, expected), (resorted, expected.withColumn("rank", F.row_number().over(again)))):
+            rows = found.select("doc_key", "query_id", "rank", F.spark_partition_id().alias("task")).collect()
+            assert len({r.task for r in rows if r.query_id == 5}) > 2
+            assert sorted(r[:3] for r in rows) == sorted(tuple(r) for r in wanted.select("doc_key", "query_id", "rank").collect())
