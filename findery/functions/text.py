@@ -24,8 +24,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    """Whitespace runs become one space; both ends are trimmed."""
-    return F.trim(F.regexp_replace(col, f"[{SPACE}]+", " "))
+    """Whitespace runs become one space; both ends are trimmed. Single spaces are passed over."""
+    return F.trim(F.regexp_replace(col, f" [{SPACE}]+|[{SPACE}&&[^ ]][{SPACE}]*", " "))
 
 
 def word_count(col: Column) -> Column:
@@ -34,6 +34,11 @@ def word_count(col: Column) -> Column:
     return F.size(F.array_remove(parts, ""))
 
 
+def has_words(cleaned: Column, least: int) -> Column:
+    """Whether a text with its spaces collapsed has so many words."""
+    return cleaned != F.substring_index(cleaned, " ", least - 1) if least > 1 else cleaned != ""
+
+
 def _entity_names() -> Column:
     """Entity name to character, one literal from the standard library's table."""
     names = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
@@ -86,8 +91,12 @@ def clean_text(col: Column) -> Column:
     Everything between ``<`` and ``>`` goes, a ``>`` is a word boundary, entities are decoded and
     whitespace is collapsed before and after decoding. Script and style contents stay.
     """
-    no_tags = collapse_spaces(F.regexp_replace(col, "<[^>]*>?|>", " "))
-    return collapse_spaces(decode_entities(no_tags))
+    def bare(text: Column) -> Column:
+        marked = (F.instr(text, "<") > 0) | (F.instr(text, ">") > 0)
+        return collapse_spaces(F.when(marked, F.regexp_replace(text, "<[^>]*>?|>", " ")).otherwise(text))
+
+    no_tags = let(col, bare)
+    return let(no_tags, lambda t: F.when(F.instr(t, "&") == 0, t).otherwise(collapse_spaces(decode_entities(t))))
 
 
 def plain_text(col: Column) -> Column:

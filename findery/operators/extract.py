@@ -16,6 +16,7 @@ from findery.functions import fields as X, text as T
 
 DEFAULT_MIN_WORDS = 6
 DEFAULT_MAX_DEPTH = 12
+PASSES = "array<struct<culture:string,text:string>>"
 
 # Keys whose whole subtree is structure, and keys whose own text is a label.
 SKIP_SUBTREE_KEYS = [
@@ -231,11 +232,13 @@ def extracted_content(
     max_chars: int | None = None,
     structured: bool = True,
     max_depth: int = DEFAULT_MAX_DEPTH,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """One row per document culture with its body text; empty ones are omitted.
 
-    Texts are whole unless ``max_chars`` is given. Fields are read in name order. ``structured=False`` states that no field holds JSON and keeps
-    the whole job inside the JVM.
+    Texts are whole unless ``max_chars`` is given. Fields are read in name order; equal values of a document are cleaned once. ``structured=False``
+    states that no field holds JSON and keeps the whole job inside the JVM. With ``keep_empty`` a document without any text
+    stays, with a null culture and text.
     """
     min_words = max(min_words, 1)
     entries = F.array_sort(F.map_entries("fields"))
@@ -246,35 +249,39 @@ def extracted_content(
 
         @F.pandas_udf("array<array<string>>")
         def walk(values: pd.Series) -> pd.Series:
-            return values.map(lambda vs: [
+            return values.map(lambda vs: None if vs is None else [
                 None if v is None else _prose_candidates(v, max_depth) for v in vs
             ])
 
         masked = F.transform("entries", lambda e: F.when(T.starts_like_json(e["value"]), e["value"]))
         rows = rows.withColumn("json", walk(masked))
 
-    def read(entry: Column, i: Column) -> Column:
-        found = F.get(F.col("json"), i) if structured else F.lit(None).cast("array<string>")
-        prose = F.filter(
-            F.array(T.clean_text(entry["value"])), lambda t: T.word_count(t) >= min_words
-        )
-        texts = F.when(found.isNotNull(), _kept(found, min_words)).otherwise(prose)
-        return F.named_struct(F.lit("field"), entry["key"], F.lit("texts"), texts)
-
-    cultures = F.array_distinct(F.filter(
-        F.transform("entries", lambda e: culture_of(e["key"])), lambda c: c != ""
-    ))
-    per_culture = rows.select(
-        "index_name", "doc_key", F.transform("entries", read).alias("values"),
-        F.explode(_with_invariant(cultures)).alias("culture"),
-    )
-    own = F.filter(
-        "values", lambda v: (culture_of(v["field"]) == "") | (culture_of(v["field"]) == F.col("culture"))
-    )
-    texts = F.flatten(F.transform(own, lambda v: v["texts"]))
-    return per_culture.select(
-        "index_name", "doc_key", "culture", _first_uses(texts, max_chars).alias("text")
-    ).filter("text <> ''")
+    values = F.array_distinct(F.transform("entries", lambda e: e["value"]))
+    prose = F.transform(values, lambda v: F.filter(F.array(T.clean_text(v)), lambda t: T.has_words(t, min_words)))
+
+    def read(cleaned: Column, entry: Column, i: Column) -> Column:
+        texts = F.element_at(cleaned, F.array_position(values, entry["value"]).cast("int"))
+        if structured:
+            found = F.get(F.col("json"), i)
+            texts = F.when(found.isNotNull(), _kept(found, min_words)).otherwise(texts)
+        return F.named_struct(F.lit("of"), culture_of(entry["key"]), F.lit("texts"), texts)
+
+    def passes(read_values: Column) -> Column:
+        """A text for each culture and the invariant pass."""
+        cultures = F.array_distinct(F.filter(F.transform("entries", lambda e: culture_of(e["key"])), lambda c: c != ""))
+
+        def text(culture: Column) -> Column:
+            own = F.filter(read_values, lambda v: (v["of"] == "") | (v["of"] == culture))
+            texts = F.flatten(F.transform(own, lambda v: v["texts"]))
+            return F.named_struct(F.lit("culture"), culture, F.lit("text"), _first_uses(texts, max_chars))
+
+        return F.filter(F.transform(_with_invariant(cultures), text), lambda p: p["text"] != "")
+
+    found = T.let(T.let(prose, lambda cleaned: F.transform("entries", lambda e, i: read(cleaned, e, i))), passes)
+    if keep_empty:
+        none = F.array(F.named_struct(F.lit("culture"), F.lit(None).cast("string"), F.lit("text"), F.lit(None).cast("string")))
+        found = T.let(found, lambda f: F.when(F.size(F.coalesce(f, F.array().cast(PASSES))) > 0, f).otherwise(none))
+    return rows.select("index_name", "doc_key", F.inline(found))
 
 
 def assemble_source_text(docs: DataFrame, max_chars: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from findery.operators.extract import extracted_content
@@ -10,11 +10,7 @@ from findery.operators.extract import extracted_content
 
 def extract_batch(docs: DataFrame, structured: bool = True) -> DataFrame:
     """Extracted texts of a batch; a document that gives none stays, with a null text."""
-    texts = extracted_content(docs, structured=structured)
-    keys = ["index_name", "doc_key"]
-    none = F.lit(None).cast("string")
-    empty = docs.select(*keys).join(texts.select(*keys), keys, "left_anti")
-    return texts.unionByName(empty.select(*keys, none.alias("culture"), none.alias("text")))
+    return extracted_content(docs, structured=structured, keep_empty=True)
 
 
 def stream_extract_content(

@@ -81,3 +81,33 @@ def test_terms_and_labels(spark):
     assert mark_tag(HighlightStyle()) == (
         '<mark style="color:#15803d;background:transparent;font-weight:700;text-decoration:none">'
     )
+
+
+def test_extraction_cleans_a_value_once(spark):
+    """Equal values of a document, its cultures and the filter on empty texts share one cleaning."""
+    from findery.operators.extract import extracted_content
+
+    docs = spark.createDataFrame(
+        [("main", "1", {"body": "one  two\t three four five &amp; six", "body_en": "one  two\t three four five &amp; six"}),
+         ("main", "2", {"body": "too short"}), ("main", "3", None)],
+        "index_name string, doc_key string, fields map<string,string>",
+    )
+    found = extracted_content(docs, structured=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<[^>]*>?|>") == 1
+    text = "one two three four five & six"
+    assert sorted((r.doc_key, r.culture or "", r.text) for r in found.collect()) == [("1", "", text), ("1", "en", text)]
+
+
+def test_extracting_a_batch_keeps_every_document_without_a_second_pass(spark):
+    """A document without text stays as a row of its own, also beside a row of the same key that has one."""
+    from findery.streaming.content import extract_batch
+
+    docs = spark.createDataFrame(
+        [("main", "1", {"body": "one two three four five six"}), ("main", "1", {"body": "short"}), ("main", "2", {"body": " "}), ("main", "3", None)],
+        "index_name string, doc_key string, fields map<string,string>",
+    )
+    found = extract_batch(docs, structured=False)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_key, r.text or "") for r in found.collect()) == [("1", ""), ("1", "one two three four five six"), ("2", ""), ("3", "")]
+    assert sorted(map(str, extract_batch(docs).collect())) == sorted(map(str, found.collect()))
