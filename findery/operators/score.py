@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from findery.operators.rank import first_rows
@@ -20,6 +21,8 @@ K1, B = 1.2, 0.75
 BROADCAST_TERMS, HELD_WORDS = 200_000, 1_000_000
 #: Words of queries that documents are expanded to at a time.
 EXPANDED = 1_000_000
+#: Scores are rounded to six places afterwards, so ones this far apart stay in order.
+APART = 2e-6
 
 
 def bm25(tf: Column, df: Column, n_docs: Column, doc_len: Column, avg_len: Column) -> Column:
@@ -168,9 +171,50 @@ def _scorer(held_words: object, require_all: bool, op: str, by_field: bool, most
     return score
 
 
+def _best(rows: pa.Table, n: int) -> pa.Table:
+    """Rows that may be among the first ``n`` of their query and index, by rounded score and then key."""
+    rows = rows.combine_chunks()
+    group = np.zeros(len(rows), np.int64)
+    for name in ("query_id", "index_name"):
+        codes = pc.rank(rows[name], tiebreaker="dense").to_numpy().astype(np.int64)
+        group = group * (int(codes.max(initial=0)) + 1) + codes
+    weight = rows["weight"].to_numpy()
+    order = pc.sort_indices(pa.table({"group": group, "weight": -weight, "doc_key": rows["doc_key"]}),
+                            sort_keys=[("group", "ascending"), ("weight", "ascending"), ("doc_key", "ascending")]).to_numpy()
+    group, weight = group[order], weight[order]
+    place, starts = np.arange(len(order)), _runs(group)
+    sizes = np.diff(np.append(starts, len(order)))
+    # The n-th score of each group that has so many rows.
+    least = np.where(sizes >= n, weight[np.minimum(starts + n, starts + sizes) - 1] - APART, -np.inf)
+    equal = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (weight[1:] != weight[:-1])]))
+    behind = place - np.repeat(equal, np.diff(np.append(equal, len(order))))
+    return rows.take(pa.array(order[(behind < n) & (weight >= np.repeat(least, sizes))]))
+
+
+def _first_of(n: int, most: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Drops rows that cannot be among the first ``n`` of their query and index; what is held stays near ``most`` rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= most:
+                kept = _best(pa.Table.from_batches(held), n)
+                held, size = kept.to_batches(), kept.num_rows
+                if size > most // 2:
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from _best(pa.Table.from_batches(held), n).to_batches()
+
+    return run
+
+
 def _scores(
     words: DataFrame, match: Callable[[DataFrame], DataFrame], postings: DataFrame, stats: DataFrame,
-    require_all: bool, op: str, by_field: bool,
+    require_all: bool, op: str, by_field: bool, n: int | None = None,
 ) -> DataFrame:
     spark = words.sparkSession
     if "rule_no" not in words.columns:
@@ -192,7 +236,11 @@ def _scores(
     documents = weights.groupBy("index_name", "doc_key").agg(F.collect_list(F.struct("word_no", "weight")).alias("weights"))
     field = "field string, " if by_field else ""
     schema = f"query_id {kind}, index_name string, doc_key string, {field}weight double"
-    scored = documents.mapInArrow(_scorer(held, require_all, op, by_field, EXPANDED), schema)
+    score = _scorer(held, require_all, op, by_field, EXPANDED)
+    if n is not None and not by_field:
+        every, first = score, _first_of(max(n, 1), EXPANDED)
+        score = lambda batches: first(every(batches))
+    scored = documents.mapInArrow(score, schema)
     if by_field:
         return scored
     return scored.select("query_id", "index_name", "doc_key", F.round("weight", 6).alias("raw_score"))
@@ -210,15 +258,16 @@ def field_scores(
 
 def score_bm25(
     words: DataFrame, match: Callable[[DataFrame], DataFrame], postings: DataFrame, stats: DataFrame,
-    require_all: bool = False, op: str = "or",
+    require_all: bool = False, op: str = "or", n: int | None = None,
 ) -> DataFrame:
     """``raw_score = Σ rule boost × Σ word max variant BM25`` per query and document.
 
     ``words`` holds query_id, index_name, field, group_no, variant, match_mode, boost, n_groups, n_fields and optionally
     rule_no and fuzziness; ``match`` adds the vocabulary's terms to different words. A document's word weights are gathered in one
     row, and tasks hold the queries' words; more than ``HELD_WORDS`` of them are joined instead.
+    With ``n`` tasks leave out rows that ``fetch_window`` of ``n`` would not take, so all of a query's hits are never sorted.
     """
-    return _scores(words, match, postings, stats, require_all, op, False)
+    return _scores(words, match, postings, stats, require_all, op, False, n)
 
 
 def fetch_window(matches: DataFrame, n: int | None = None) -> DataFrame:

@@ -81,8 +81,8 @@ def query_words(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataF
     )
 
 
-def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataFrame:
-    """(query_id, index_name, doc_key, raw_score) before any window."""
+def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex, n: int | None = None) -> DataFrame:
+    """(query_id, index_name, doc_key, raw_score) before any window; with ``n`` at least what a window of ``n`` takes."""
     words = query_words(queries, rules, index)
     # A term may itself hold several tokens (a hyphen), whose first ones match exactly.
     named = {r.match_mode for r in rules.fields if r.enabled and r.name.strip()}
@@ -90,7 +90,7 @@ def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> Da
     gated = index.postings.filter(FL.type_included(rules) & FL.type_not_excluded(rules))
     return score_bm25(
         words, lambda asked: match_words(asked, index.vocab, modes, rules.fuzziness, index.keys), gated, index.stats,
-        rules.all_terms, rules.operator,
+        rules.all_terms, rules.operator, n,
     )
 
 
@@ -125,7 +125,7 @@ def browse_all(queries: DataFrame, docs: DataFrame, rules: RuleSet) -> DataFrame
 def windowed(queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchIndex, browse: bool | None = None) -> DataFrame:
     """Rows of every query's fetch windows. Browse queries join in where the query table has any; the caller may say so."""
     ok = runnable(queries, rules, index)
-    found = fetch_window(scored_matches(ok.filter(~R.is_browse()), rules, index), rules.window)
+    found = fetch_window(scored_matches(ok.filter(~R.is_browse()), rules, index, rules.window), rules.window)
     if browse is None:
         browse = not queries.filter(R.is_browse()).isEmpty()
     if browse:

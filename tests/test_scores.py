@@ -101,3 +101,20 @@ def test_shared_nodes_keys_and_query_ids_are_noticed(spark):
 def test_curated_browse_ranks_the_hits_of_the_hot_query(spark, sf_dir):
     hot = all_queries()["curated_browse"](spark, sf_dir).filter(F.col("query_id") == T.HOT_QUERY)
     assert hot.count() == T.hits_orders(spark, sf_dir).filter(F.col("query_id") == T.HOT_QUERY).count() > 3
+
+
+def test_tasks_keep_only_rows_that_a_window_may_take():
+    """Equal scores are cut by key, near ones stay until they are rounded, whatever is held at a time."""
+    import pyarrow as pa
+    import random
+
+    rng = random.Random(3)
+    rows = [(q, "main", str(d), rng.choice([1.0, 2.0, 2.0000001, 3.5])) for d in range(4_000) for q in range(3)]
+    names = ["query_id", "index_name", "doc_key", "weight"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 500]]) for i in range(0, len(rows), 500)]
+    first = lambda found, q: sorted((-round(r[3], 6), r[2]) for r in found if r[0] == q)[:7]
+    for most in (700, 10**6):
+        kept = [tuple(r.values()) for b in S._first_of(7, most)(batches) for r in b.to_pylist()]
+        assert len(kept) < 200
+        for q in range(3):
+            assert first(kept, q) == first(rows, q)
