@@ -13,12 +13,11 @@ the highest version counts; a batch is newer than those before it whatever its v
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from findery.operators.forward import PLACE
 from findery.operators.postings import KEYS, POSTINGS, SearchIndex, build_postings
-from findery.operators.rank import first_rows
 from findery.session import store
 from findery.sources.indexes import searchable_name
 
@@ -52,11 +51,28 @@ def _counts(postings: DataFrame, sign: int) -> DataFrame:
         (sign * F.sum(F.col("is_first").cast("bigint"))).alias("docs"))
 
 
+def only_named(changes: DataFrame, names: list[str] | None, variants: bool) -> DataFrame:
+    """Changes with the fields that are indexed; without names, all of them."""
+    if not names:
+        return changes
+    lowered = sorted({n.lower() for n in names})
+
+    def wanted(key: Column, _: Column) -> Column:
+        found = key.isin(lowered)
+        for name in lowered if variants else []:
+            found = found | key.startswith(name + "_")
+        return found
+
+    return changes.withColumn("fields", F.map_filter("fields", wanted))
+
+
 def apply_changes(changes: DataFrame, path: str, batch_id: int, names: list[str] | None, variants: bool = True) -> None:
     """One batch of changes into the index at ``path``."""
     spark = changes.sparkSession
     # A repeated row is one change: equal versions are told apart by nothing that the index would show.
-    latest = store(first_rows(changes, PLACE, [F.desc("version"), F.asc("is_deleted")], 1, "_n").drop("_n"))
+    # Spark keeps one change a document and task before the only shuffle of whole documents.
+    order = Window.partitionBy(*PLACE).orderBy(F.desc("version"), F.asc("is_deleted"))
+    latest = store(only_named(changes, names, variants).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n"))
     touched = latest.select(*PLACE)
     touched.write.mode("overwrite").parquet(f"{path}/touched/batch_id={batch_id}")
     present = latest.filter(~F.coalesce("is_deleted", F.lit(False))).drop(*CHANGE_COLUMNS)

@@ -130,3 +130,22 @@ def test_purge_drops_days_and_rewrites_the_border(spark, tmp_path):
     assert sorted(r.query_key for r in spark.read.parquet(paths[1]).collect()) == [3, 99]
     again = L.purge_log_tables(spark, *paths, 10, as_of="2024-01-12 12:00:00")
     assert (again.searches, again.clicks, again.dropped_days) == (0, 0, ())
+
+
+def test_a_batch_of_changes_shuffles_documents_once_and_only_their_indexed_fields(spark, tmp_path, monkeypatch):
+    from findery.streaming import index as SI
+
+    fields = "map('body', 'one two', 'body_en', 'one three', 'bodies', 'x', 'other', 'long') AS fields"
+    changes = spark.range(20).selectExpr(
+        "'main' AS index_name", "'content' AS index_type", "'page' AS type_alias", "cast(id % 10 AS string) AS doc_key", "'n' AS name",
+        fields, "cast(id AS int) AS version", "false AS is_deleted")
+    kept = []
+    monkeypatch.setattr(SI, "store", lambda frame: kept.append(frame) or frame)
+    SI.apply_changes(changes, str(tmp_path), 0, ["Body"], True)
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    rows = kept[0].collect()
+    assert sorted(r.version for r in rows) == list(range(10, 20)) and all(set(r.fields) == {"body", "body_en"} for r in rows)
+    assert set(SI.only_named(changes, ["Body"], False).first().fields) == {"body"}
+    terms = SI.read_streamed_index(spark, str(tmp_path)).vocab.collect()
+    assert {(r.field, r.term): r.df for r in terms} == {("body", "one"): 10, ("body", "two"): 10, ("body_en", "one"): 10, ("body_en", "three"): 10}
