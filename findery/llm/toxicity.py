@@ -35,6 +35,8 @@ from findery.session import store
 SPACE = 1 << 24
 #: Features that are counted at once.
 TOGETHER = 4_000_000
+#: Bits that tell which ids may be labelled: 8 MB, however many labels there are.
+MARKS = 1 << 26
 #: Trimmed from both ends of a word.
 EDGES = b".,;:!?\"'()[]{}<>|*_-"
 
@@ -105,12 +107,27 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the ids, and by chance a few others: ids are marked in a broadcast bitmap of fixed size."""
+
+    def bit(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(MARKS))
+
+    marks = ids.select(bit(F.col("id")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position(bit(F.col("doc_id")))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, (place % 8).cast("int")) == 1
+    return rows.join(F.broadcast(marks), (F.bitmap_bucket_number(bit(F.col("doc_id"))) == F.col("bucket")) & found, "left_semi")
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of every labelled row that is not held out."""
+    """(text, label) of every labelled row that is not held out. Other rows' texts are left out before any shuffle."""
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("id")) != 2))
     known = marks.groupBy("id").agg(F.max("toxic").alias("label"))
-    return texts(docs).join(known, F.col("doc_id") == F.col("id")).select("text", "label")
+    rows = maybe_among(texts(docs), known.select("id"))
+    return rows.join(known, F.col("doc_id") == F.col("id")).select("text", "label")
 
 
 def cut(rows: DataFrame) -> DataFrame:

@@ -107,3 +107,17 @@ def test_every_labelled_row_trains(spark):
     wanted = docs.where(toxicity.fold(docs.doc_id) != 2)
     whole = toxicity.tallied(toxicity.cut(toxicity.labelled(docs, labels)), None).where("term = -1").first()
     assert (whole.n, whole.a) == (wanted.count(), wanted.where("doc_id % 40 < 4").count())
+
+
+def test_texts_without_a_label_stay_where_they_are(spark):
+    """Of 20,000 rows, ids of both signs, all 300 labelled ones and hardly another one go on to meet their labels."""
+    docs = spark.range(-10_000, 10_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "text")], "doc_id long, text string"))
+    known = spark.range(-150, 150)
+    found = {r.doc_id for r in toxicity.maybe_among(docs, known).collect()}
+    assert found >= set(range(-150, 150)) and len(found) < 310
+    assert toxicity.maybe_among(docs, known.where("false")).count() == 0
+    labels = known.selectExpr("id AS doc_id", "cast(id % 2 = 0 AS int) AS toxic")
+    rows = toxicity.labelled(docs, labels).collect()
+    assert len(rows) == known.where(toxicity.fold(known.id) != 2).count()
+    assert all(r.label == (int(r.text.split()[1]) % 2 == 0) for r in rows)
