@@ -181,3 +181,8 @@ def fence(col: Column) -> Column:
 def tokens(col: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.array_remove(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), "")
+
+
+def spaced_tokens(col: Column) -> Column:
+    """The tokens as one text, parted by single spaces; one may stand at either end. Single spaces are passed over."""
+    return F.regexp_replace(F.lower(col), r" [^\p{L}\p{N}]+|[^\p{L}\p{N} ][^\p{L}\p{N}]*", " ")

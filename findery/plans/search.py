@@ -45,6 +45,12 @@ def searched_names(rules: RuleSet) -> list[str]:
     return [r.name.strip().lower() for r in rules.fields if r.enabled and r.name.strip()]
 
 
+def match_modes(rules: RuleSet) -> set[str]:
+    # A term may itself hold several tokens (a hyphen), whose first ones match exactly.
+    named = {r.match_mode for r in rules.fields if r.enabled and r.name.strip()}
+    return (named or {"prefix"}) | {"exact"}
+
+
 def index_for(docs: DataFrame, rules: RuleSet, cultures: bool = True) -> SearchIndex:
     """Postings of the fields the rules search (every searchable one, where they name none) and the columns they read,
     stored before they are used.
@@ -52,7 +58,12 @@ def index_for(docs: DataFrame, rules: RuleSet, cultures: bool = True) -> SearchI
     ``cultures=False`` states that no search asks for a culture, so variants are left out. A site searched again and again keeps its index with ``SearchIndex.write`` and passes it in.
     """
     postings = build_postings(docs, searched_names(rules), cultures or bool(rules.cultures))
-    return postings.with_forward(docs, rules).stored()
+    return postings.with_forward(docs, rules).stored(match_modes(rules) != {"exact"})
+
+
+def windows_index(docs: DataFrame, rules: RuleSet, cultures: bool = True) -> SearchIndex:
+    """``index_for`` without the columns that filters and orders read, which fetched windows do not need."""
+    return build_postings(docs, searched_names(rules), cultures or bool(rules.cultures)).stored(match_modes(rules) != {"exact"})
 
 
 def runnable(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataFrame:
@@ -84,14 +95,16 @@ def query_words(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataF
 def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex, n: int | None = None) -> DataFrame:
     """(query_id, index_name, doc_key, raw_score) before any window; with ``n`` at least what a window of ``n`` takes."""
     words = query_words(queries, rules, index)
-    # A term may itself hold several tokens (a hyphen), whose first ones match exactly.
-    named = {r.match_mode for r in rules.fields if r.enabled and r.name.strip()}
-    modes = (named or {"prefix"}) | {"exact"}
+    modes = match_modes(rules)
     gated = index.postings.filter(FL.type_included(rules) & FL.type_not_excluded(rules))
-    return score_bm25(
-        words, lambda asked: match_words(asked, index.vocab, modes, rules.fuzziness, index.keys), gated, index.stats,
-        rules.all_terms, rules.operator, n,
-    )
+
+    def match(asked: DataFrame) -> DataFrame:
+        vocab = index.vocab
+        if modes == {"exact"} and index.counts is not None:
+            vocab = index.vocab_of(asked.select(F.lower("variant").alias("term")).distinct())
+        return match_words(asked, vocab, modes, rules.fuzziness, index.keys)
+
+    return score_bm25(words, match, gated, index.stats, rules.all_terms, rules.operator, n)
 
 
 def forward_of(docs: DataFrame, rules: RuleSet, index: SearchIndex) -> ForwardIndex:

@@ -119,7 +119,7 @@ def search_cultures(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = T.q_text(spark, sf_dir).withColumn("cultures", wanted)
     rules = RuleSet(fields=(FieldRule("bodyText", 1.0, "exact"),), include_content_types=tuple(f"src{i}" for i in range(20)))
     docs = T.docs_text(spark, sf_dir)
-    found = PL.windowed(queries, docs, rules, PL.index_for(docs, rules), False)
+    found = PL.windowed(queries, docs, rules, PL.windows_index(docs, rules), False)
     return found.select("query_id", "doc_key", "raw_score")
 
 

@@ -183,3 +183,53 @@ def test_numbering_splits_a_query_that_holds_most_hits(spark, tmp_path):
             rows = found.select("doc_key", "query_id", "rank", F.spark_partition_id().alias("task")).collect()
             assert len({r.task for r in rows if r.query_id == 5}) > 2
             assert sorted(r[:3] for r in rows) == sorted(tuple(r) for r in wanted.select("doc_key", "query_id", "rank").collect())
+
+
+def _site(spark):
+    """Documents with a text in two fields, one of 700 different words, one without a word, and one whose fields differ."""
+    long = " ".join(f"w{i}" for i in range(700)) + " w1 W1"
+    rows = [
+        ("1", "a name", {"bodytext": "Ünder, the-tree  THE", "bodytext_en": "Ünder, the-tree  THE"}),
+        ("2", "tree", {"bodytext": long, "bodytext_fr": long}),
+        ("3", "", {"bodytext": " .,- "}), ("4", None, {"bodytext": "tree w1", "bodytext_en": "other tree"}), ("5", "five", {}),
+    ]
+    docs = spark.createDataFrame(rows, "doc_key string, name string, fields map<string,string>")
+    return docs.selectExpr("'main' AS index_name", "'content' AS index_type", "'page' AS type_alias", "*")
+
+
+def _plain_postings(spark):
+    import re
+    from collections import Counter
+
+    rows = []
+    for r in _site(spark).collect():
+        for field, value in {"nodename": r.name, **r.fields}.items():
+            words = [w for w in re.split(r"[\W_]+", (value or "").lower()) if w]
+            rows += [(field, r.doc_key, term, tf, len(words)) for term, tf in Counter(words).items()]
+    return sorted(rows)
+
+
+def test_a_text_of_several_fields_is_cut_once_and_its_vocabulary_needs_no_postings(spark):
+    from collections import Counter
+
+    from findery.operators.postings import PIECE, build_postings
+
+    index, plain = build_postings(_site(spark), ["nodename", "bodytext"]), _plain_postings(spark)
+    packed = {(r.doc_key, tuple(sorted(r.fields))): 0 for r in index.counted.collect()}
+    assert ("1", ("bodytext", "bodytext_en")) in packed and ("4", ("bodytext",)) in packed and len(packed) == 7
+    assert max(len(r.terms) for r in index.counted.collect()) == PIECE
+    df = Counter((f, t) for f, _, t, _, _ in plain)
+    lengths = {(f, k): n for f, k, _, _, n in plain}
+    for kept in (index, index.stored(), index.stored(False)):
+        assert sorted(map(tuple, kept.postings.select("field", "doc_key", "term", "tf", "doc_len").collect())) == plain
+        firsts = sorted(map(tuple, kept.postings.filter("is_first").select("field", "doc_key").collect()))
+        assert firsts == sorted(lengths)
+        assert {(r.field, r.term): r.df for r in kept.vocab.collect()} == df
+        asked = spark.createDataFrame([("tree",), ("w1",), ("none",)], "term string")
+        some = {(r.field, r.term): r.df for r in kept.vocab_of(asked).collect()}
+        assert some == {k: n for k, n in df.items() if k[1] in ("tree", "w1")}
+        for r in kept.stats.collect():
+            own = [n for (f, _), n in lengths.items() if f == r.field]
+            assert (r.n_docs, r.avg_len) == (len(own), sum(own) / len(own))
+    counting = index.vocab_of(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "doc_len" not in counting
