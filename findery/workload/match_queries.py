@@ -135,7 +135,9 @@ def _matched(frame: DataFrame) -> DataFrame:
 
 @register("match_exact", _match_sql("term", "v.term = w.variant"))
 def match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(M.match_exact(_words(spark, sf_dir), _index(spark, sf_dir).vocab))
+    words = _words(spark, sf_dir)
+    vocab = _index(spark, sf_dir).vocab_of(words.select(F.lower("variant").alias("term")).distinct())
+    return _matched(M.match_exact(words, vocab))
 
 
 @register("match_prefix", _match_sql("term", "starts_with(v.term, w.variant)"))
