@@ -45,9 +45,12 @@ def _start_keys(term: Column) -> Column:
 
 def _by_keys(
     query_terms: DataFrame, vocab: DataFrame, kind: str, word_keys: Callable[[Column], Column],
-    verify: Callable[[Column, Column], Column], keys: DataFrame | None,
+    verify: Callable[[Column, Column], Column], keys: DataFrame | None, many: bool = False,
 ) -> DataFrame:
-    """Query words with the terms that share a key with them and pass ``verify(term, word)``."""
+    """Query words with the terms that share a key with them and pass ``verify(term, word)``.
+
+    A term has each key once, so that a word of one key meets it once; only words of ``many`` keys may meet it again.
+    """
     shared = _shared(query_terms)
     words = query_terms.withColumn("word", F.lower("variant"))
     asked = store(words.select(*shared, "word").distinct().withColumn("key", F.explode(word_keys(F.col("word")))))
@@ -57,7 +60,9 @@ def _by_keys(
         keyed = keys.filter(F.col("kind") == kind).drop("kind")
     met = keyed.join(asked, [*shared, "key"]).filter(verify(F.col("term"), F.col("word")))
     own = [c for c in ("index_name", "field") if c in vocab.columns]
-    pairs = met.select(*own, "word", "term", "df").distinct()
+    pairs = met.select(*own, "word", "term", "df")
+    if many:
+        pairs = pairs.distinct()
     return _out(words.join(pairs, [*shared, "word"]), query_terms)
 
 
@@ -149,7 +154,7 @@ def match_fuzzy(
         edits = F.levenshtein(term, word, MAX_EDITS)
         return (edits >= 0) & (edits <= allowed_edits(word, fuzziness))
 
-    return _by_keys(query_terms, vocab, "fuzzy", word_keys, close, keys)
+    return _by_keys(query_terms, vocab, "fuzzy", word_keys, close, keys, many=True)
 
 
 KEYS_OF: dict[str, Callable[[Column], Column]] = {

@@ -233,3 +233,16 @@ def test_a_text_of_several_fields_is_cut_once_and_its_vocabulary_needs_no_postin
             assert (r.n_docs, r.avg_len) == (len(own), sum(own) / len(own))
     counting = index.vocab_of(asked)._jdf.queryExecution().executedPlan().toString()
     assert "doc_len" not in counting
+
+
+def test_a_word_of_one_key_meets_a_term_once_without_gathering_pairs(spark):
+    from findery.operators import match as M
+
+    vocab = spark.createDataFrame([("main", "body", t, 1) for t in ("aaaaaa", "banana", "ban", "an")], "index_name string, field string, term string, df long")
+    words = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 0, "An"), (2, 0, 0, "aaa"), (3, 0, 0, "ana")], "query_id int, group_no int, variant_no int, variant string")
+    for match, test in ((M.match_wildcard, str.__contains__), (M.match_prefix, str.startswith)):
+        found = match(words, vocab)
+        assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.query_id, r.variant, r.term) for r in found.collect())
+        assert got == sorted(
+            (q, w, t) for q, w in ((1, "a"), (1, "An"), (2, "aaa"), (3, "ana")) for t in ("aaaaaa", "banana", "ban", "an") if test(t, w.lower()))
