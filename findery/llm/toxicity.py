@@ -188,8 +188,9 @@ def telling(counts: DataFrame, terms: int, least: float) -> list:
         return []
     seen = counts.where("term >= 0 and n >= 3").withColumns({"rows": F.lit(whole.n).cast("long"), "bad": F.lit(whole.a).cast("long")})
     share = F.col("a") * F.col("rows") - F.col("n") * F.col("bad")
-    spread = F.col("n") * F.col("bad") * (F.col("rows") - F.col("n")) * (F.col("rows") - F.col("bad"))
-    score = F.when(spread > 0, F.col("rows") * share.cast("double") * share / spread.cast("double"))
+    # A product of four counts passes a long's range from some 100,000 rows on; two are exact, and their product rounded once.
+    spread = (F.col("n") * (F.col("rows") - F.col("n"))).cast("double") * (F.col("bad") * (F.col("rows") - F.col("bad"))).cast("double")
+    score = F.when(spread > 0, F.col("rows") * share.cast("double") * share / spread)
     best = seen.select("term", score.alias("score"), (share > 0).alias("toxic")).where(F.col("score") >= least)
     return best.orderBy(F.desc("score"), "term").limit(terms).collect()
 

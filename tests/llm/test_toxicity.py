@@ -121,3 +121,15 @@ def test_texts_without_a_label_stay_where_they_are(spark):
     rows = toxicity.labelled(docs, labels).collect()
     assert len(rows) == known.where(toxicity.fold(known.id) != 2).count()
     assert all(r.label == (int(r.text.split()[1]) % 2 == 0) for r in rows)
+
+
+def test_counts_of_a_large_table(spark):
+    """Of 2,000,000 rows, for which a product of four counts is beyond a long: the chi-square of plain integers, to the last bit."""
+    n, bad = 2_000_000, 300_000
+    seen = {3: (1_000_000, 200_000), 5: (900_000, 100_000), 7: (3, 3), 9: (2_000_000, 300_000)}
+    counts = spark.createDataFrame([(-1, n, bad), *((t, *x) for t, x in seen.items())], "term int, n long, a long")
+    found = {r.term: (r.score, r.toxic) for r in toxicity.telling(counts, 10, 0.0)}
+    for t, (k, a) in list(seen.items())[:3]:
+        share = a * n - k * bad
+        assert found[t] == (n * float(share) * share / float(k * bad * (n - k) * (n - bad)), share > 0)
+    assert 9 not in found
