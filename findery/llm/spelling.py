@@ -9,7 +9,8 @@ survives, so everything on its other side has to be equal, and is part of the jo
 inside that join, so candidates are never written out.
 
 Bigrams are counted over the whole vocabulary; their table is bounded by the alphabet (90 letters: 8,100 pairs). Words are
-counted before they are shuffled. A gram that many words share is split by adaptive execution. The links of a
+counted before they are shuffled. A gram that many words share is split by adaptive execution. Tables of words meet by shuffles and are
+never broadcast, as Spark takes them for as large as their files, without the rows that grams add. The links of a
 word to the root of its forms double in length each round, and a form is at least twice as frequent as its
 word, so rounds are few.
 
@@ -104,6 +105,11 @@ def keyed(vocab: DataFrame) -> DataFrame:
     return vocab.select("word").mapInArrow(run, KEYED)
 
 
+def shuffled(words: DataFrame) -> DataFrame:
+    """Joined by shuffles: a compressed file, and an explode above it, say little of the rows a broadcast would gather."""
+    return words.hint("merge")
+
+
 def near_pairs(vocab: DataFrame) -> DataFrame:
     """(a, b), a before b, of all words exactly one edit apart. Words need PREFIX + 1 letters at least."""
     marked = store(keyed(vocab))
@@ -122,7 +128,7 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     pivots = marked.select("word", "last", "length", F.inline("pivots")).select("*", F.inline(moves)).select(
         "word", "last", key("word", F.col("side"), F.col("pos"), F.col("pos") + F.col("moved"), F.col("length") + F.col("longer")))
     verified = (F.col("last") <= F.col("other_last")) & (F.levenshtein("word", "other", 1) == 1)
-    met = pivots.alias("l").join(prefixes.alias("r"), (F.col("l.key") == F.col("r.key")) & verified)
+    met = shuffled(pivots).alias("l").join(shuffled(prefixes).alias("r"), (F.col("l.key") == F.col("r.key")) & verified)
     return met.select(F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).distinct()
 
 
@@ -131,7 +137,7 @@ def roots(forms: DataFrame) -> DataFrame:
     links = store(forms.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         onward = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        longer = store(links.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("grew")))
+        longer = store(shuffled(links).join(shuffled(onward), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("grew")))
         links = longer.select("word", "root")
         if longer.where("grew").isEmpty():
             return links
@@ -145,12 +151,13 @@ def spelling_forms(docs: DataFrame, every: int = 97, letters: int = 5, least: in
     pairs = store(near_pairs(vocab))
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(
         pairs.select(F.col("b").alias("word"), F.col("a").alias("other")))
-    known = both.join(vocab.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    others = vocab.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
+    known = shuffled(both).join(shuffled(others), "other")
     best = known.groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other"))).alias("best"))
     chosen = F.col("best.less") * -1 >= F.col("n") * times
-    forms = store(vocab.join(best, "word", "left").select(
+    forms = store(shuffled(vocab).join(shuffled(best), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(chosen, F.col("best.other")).alias("form"), F.when(chosen, -F.col("best.less")).alias("form_n")))
-    return forms.join(roots(forms), "word", "left").select(
+    return shuffled(forms).join(shuffled(roots(forms)), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

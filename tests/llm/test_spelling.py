@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from llm.cases import awkward, empty
 
-from findery.llm.spelling import disjoint, spelling_forms
+from findery.llm.spelling import disjoint, near_pairs, spelling_forms
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -101,3 +101,12 @@ def test_dynamic_programming_finds_the_cheapest_disjoint_grams():
         options = [(a[1] + b[1]) for i, a in enumerate(places) for b in places[i + 1:] if b[0] - a[0] >= 2]
         chosen = disjoint(places, 2)
         assert (sum(places[i][1] for i in chosen) == min(options)) if options else not chosen
+
+
+def test_tables_of_words_are_not_broadcast(spark):
+    """However small their files are: an explode above them makes many rows of each word."""
+    words = ["house", "houses", "mouse", "river", "rivers"]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(4)], "doc_id long, text string")
+    vocab = spark.createDataFrame([(w, 4) for w in words], "word string, n long")
+    for found in (near_pairs(vocab), spelling_forms(docs, every=10**9)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString() and found.count() > 2
