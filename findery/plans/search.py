@@ -18,7 +18,7 @@ from findery.operators import terms as TM
 from findery.operators.forward import PLACE, ForwardIndex, build_forward
 from findery.operators.match import match_words
 from findery.operators.postings import SearchIndex, build_postings
-from findery.operators.score import fetch_window, score_bm25
+from findery.operators.score import fetch_window, score_bm25, score_documents
 from findery.rules import FieldRule, RuleSet
 from findery.session import store
 
@@ -92,8 +92,8 @@ def query_words(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> DataF
     )
 
 
-def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex, n: int | None = None) -> DataFrame:
-    """(query_id, index_name, doc_key, raw_score) before any window; with ``n`` at least what a window of ``n`` takes."""
+def _matching(queries: DataFrame, rules: RuleSet, index: SearchIndex) -> tuple:
+    """What scores are made of: the queries' words, how they match, the postings that types let through, and statistics."""
     words = query_words(queries, rules, index)
     modes = match_modes(rules)
     gated = index.postings.filter(FL.type_included(rules) & FL.type_not_excluded(rules))
@@ -104,7 +104,12 @@ def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex, n: in
             vocab = index.vocab_of(asked.select(F.lower("variant").alias("term")).distinct())
         return match_words(asked, vocab, modes, rules.fuzziness, index.keys)
 
-    return score_bm25(words, match, gated, index.stats, rules.all_terms, rules.operator, n)
+    return words, match, gated, index.stats
+
+
+def scored_matches(queries: DataFrame, rules: RuleSet, index: SearchIndex, n: int | None = None) -> DataFrame:
+    """(query_id, index_name, doc_key, raw_score) before any window; with ``n`` at least what a window of ``n`` takes."""
+    return score_bm25(*_matching(queries, rules, index), rules.all_terms, rules.operator, n)
 
 
 def forward_of(docs: DataFrame, rules: RuleSet, index: SearchIndex) -> ForwardIndex:
@@ -146,6 +151,28 @@ def windowed(queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchI
     return found
 
 
+def windowed_with(
+    queries: DataFrame, docs: DataFrame, rules: RuleSet, index: SearchIndex, known: DataFrame, browse: bool | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``windowed``, and its rows with what is ``known`` of their documents, which are all different.
+
+    Where every row is fetched, documents meet what is known of them before the queries, so that no row of a query moves.
+    """
+    if rules.window is not None:
+        rows = windowed(queries, docs, rules, index, browse)
+        return rows, rows.join(known, PLACE)
+    ok = runnable(queries, rules, index)
+    found = score_documents(*_matching(ok.filter(~R.is_browse()), rules, index), known, rules.all_terms, rules.operator)
+    rows, joined = (fetch_window(f) for f in found)
+    joined = joined.select(*PLACE, *[c for c in rows.columns if c not in PLACE], *[F.col(f"`{c}`") for c in known.columns if c not in PLACE])
+    if browse is None:
+        browse = not queries.filter(R.is_browse()).isEmpty()
+    if browse:
+        listed = browse_all(ok, docs, rules)
+        rows, joined = rows.unionByName(listed), joined.unionByName(listed.join(known, PLACE))
+    return rows, joined
+
+
 def sources(rows: DataFrame, rules: RuleSet, protected: DataFrame | None = None) -> DataFrame:
     """Documents, or hits with their documents' attributes, that the profile's sources let through."""
     rows = FL.filter_subtree(rows, rules.root_ids)
@@ -173,15 +200,14 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def ranked_hits(
-    rows: DataFrame, queries: DataFrame, docs: DataFrame, rules: RuleSet, as_of: str | None, protected: DataFrame | None = None,
+    hits: DataFrame, queries: DataFrame, rules: RuleSet, as_of: str | None, protected: DataFrame | None = None,
     different: bool = False,
 ) -> DataFrame:
     """Fetched rows merged, source-filtered and scored: what facets are counted on.
 
-    ``docs`` holds what the rules need of each document. Where all are ``different``, it holds those of the sources alone and
+    ``hits`` hold what the rules need of each document. Where all are ``different``, they are those of the sources alone and
     no row needs merging. No step gathers a query's rows: they are placed by document, by node and by key.
     """
-    hits = rows.join(docs, PLACE)
     if not different:
         hits = sources(ST.merge_indexes_first_wins(hits), rules, protected)
     hits = R.boost_types(hits, rules.type_boosts)
@@ -216,12 +242,16 @@ def search(
     keep = store if shared else (lambda frame: frame)
     index = index or index_for(docs, rules, cultures)
     forward = forward_of(docs, rules, index)
-    rows = keep(windowed(queries, forward.rows, rules, index, browse))
     known, different = forward.attributes(rules), all_different(forward.rows, queries)
     if different:
         # What concerns documents alone is decided before they meet the hits.
         known = sized(sources(known, rules, protected))
-    scored = store(ranked_hits(rows, queries, known, rules, as_of, protected, different))
+    if different and not shared:
+        rows, joined = windowed_with(queries, forward.rows, rules, index, known, browse)
+    else:
+        rows = keep(windowed(queries, forward.rows, rules, index, browse))
+        joined = rows.join(known, PLACE)
+    scored = store(ranked_hits(joined, queries, rules, as_of, protected, different))
     hits, facets = scored, None
     if rules.facets:
         facets = FC.facet_counts_excluding_self(scored, queries, rules.facets, as_of=as_of, node_keys=node_keys)

@@ -71,5 +71,5 @@ def store(frame: DataFrame, *partition_by: str) -> DataFrame:
     """The frame written as a table in the shared folder and read back: its lineage ends there."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    frame.write.partitionBy(*partition_by).parquet(path)
+    frame.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

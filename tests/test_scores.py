@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from findery.operators import match as M, score as S
 from findery.plans import search as PL
-from findery.rules import SortRule
+from findery.rules import FieldRule, SortRule
 from findery.workload import all_queries, tables as T
 from findery.workload.search_queries import RULES
 
@@ -118,3 +118,37 @@ def test_tasks_keep_only_rows_that_a_window_may_take():
         assert len(kept) < 200
         for q in range(3):
             assert first(kept, q) == first(rows, q)
+
+
+def test_postings_of_frequent_terms_are_not_shuffled(spark, tables, monkeypatch):
+    """Three documents hold 'red'; of more terms than may be broadcast, its postings stay where they are."""
+    words, _, postings, stats = tables
+    more = spark.createDataFrame([("i", "body", d, "red", 1, 4) for d in "gh"], postings.schema)
+    postings = postings.unionByName(more)
+    vocab = postings.groupBy("index_name", "field", "term").agg(F.count(F.lit(1)).alias("df"))
+    given = words, lambda w: M.match_words(w, vocab, {"exact", "prefix"}, 0.8), postings, stats
+    found = {}
+    for most in (0, 5, 10**6):
+        monkeypatch.setattr(S, "BROADCAST_TERMS", most)
+        frame = S.score_bm25(*given)
+        plan = frame._jdf.queryExecution().toString()
+        found[most] = rows(frame, "query_id", "doc_key", "raw_score")
+        assert ("SortMergeJoin" in plan) == (most < 10**6)
+        assert most != 5 or "BroadcastHashJoin [index_name" in plan and "LeftAnti" in plan
+    assert found[0] == found[5] == found[10**6] and {"g", "h"} <= {d for _, d, _ in found[0]}
+
+
+def test_documents_meet_their_columns_before_their_queries(spark, sf_dir, monkeypatch):
+    """No join, and so no shuffle, of the rows of queries and documents; the same hits as where the two are joined."""
+    rules = RULES.with_(best_bets=(), fields=(FieldRule("bodyText", 2.0, "exact"), FieldRule("bodytext", 5.0, "prefix")))
+    docs, queries = T.docs_text(spark, sf_dir), T.q_text(spark, sf_dir).limit(6)
+    queries = queries.unionByName(T.query_defaults(spark.createDataFrame([(-1, " ", True)], "query_id long, term string, allow_empty boolean")))
+    plans, keep = [], PL.store
+    monkeypatch.setattr(PL, "store", lambda frame: plans.append((frame.columns, frame._jdf.queryExecution().toString().split("Physical Plan")[1])) or keep(frame))
+    found = PL.search(queries, docs, rules, browse=False)
+    plan = next(p for c, p in plans if "is_best_bet" in c)
+    assert plan.index("MapInArrow") < plan.index("Join")
+    both = [PL.search(queries, docs, rules, shared=s) for s in (False, True)]
+    hits = [sorted(map(str, f.scored.drop("path", "fields").collect())) for f in both]
+    assert hits[0] == hits[1] and len(hits[0]) > found.scored.count() > 0
+    assert rows(both[0].stages["fetched"], "query_id", "doc_key", "raw_score") == rows(both[1].stages["fetched"], "query_id", "doc_key", "raw_score")
